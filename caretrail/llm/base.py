@@ -109,7 +109,7 @@ class Words:
     def text(self, i: int, keep: np.ndarray | None = None) -> bytes:
         """The words of text i, or those kept, joined by one space."""
         a, b = self.first[i], self.first[i + 1]
-        at = np.arange(a, b) if keep is None else np.flatnonzero(keep[a:b]) + a
+        at = np.arange(a, b) if keep is None else np.flatnonzero(keep) + a
         data = self.data.tobytes() if not hasattr(self, "_bytes") else self._bytes
         self._bytes = data
         return b" ".join([data[s:e] for s, e in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)])

@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,9 @@ MARK = "▁"
 #: Runs of word marks (spaces) and what follows them up to the next.
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct cuts that a task remembers; it starts afresh beyond, with the same results.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
+#: Characters of text that a task cuts at once.
+AT_ONCE = 1 << 20
 #: Longer cuts are counted by the agenda, whose work grows with n log n.
 LONG = 400
 
@@ -104,8 +107,14 @@ class MergeModel:
 
     @staticmethod
     def cuts(text: str) -> list[str]:
-        """The text with a mark in front and for each space, cut before each word."""
-        return _CUT.findall(MARK + text.replace(" ", MARK)) if text else []
+        """The text with a mark in front and for each space, cut before each word. Every
+        cut begins with a mark, which is left out."""
+        if not text:
+            return []
+        words = text.split(" ")
+        if "" not in words and MARK not in text:
+            return words
+        return [c[1:] for c in _CUT.findall(MARK + text.replace(" ", MARK))]
 
     # --- many sequences: lowest-rank pairs in step ---
 
@@ -126,11 +135,12 @@ class MergeModel:
         return self._tables
 
     def count(self, cuts: list[str]) -> np.ndarray:
-        """Tokens of each cut. Ragged arrays: sym holds the symbols of all sequences one
+        """Tokens of each cut (given without its mark). Ragged arrays: sym holds the symbols of all sequences one
         after another, row the sequence of each."""
         number, size, keys, ranks, results = self.tables()
         total = np.zeros(len(cuts), np.int64)
-        short = [i for i, c in enumerate(cuts) if len(c) <= LONG]
+        short = [i for i, c in enumerate(cuts) if len(c) < LONG]
+        cuts = [MARK + c for c in cuts]
         for i in {*range(len(cuts))} - {*short}:
             total[i] = len(self.encode_cut(cuts[i]))
         text = "".join(cuts[i] for i in short)
@@ -187,6 +197,19 @@ def _path(name: str) -> str:
     return name if os.path.isabs(name) else public_tokenizers.path(name)
 
 
+def _slices(batches, text: str):
+    """Each batch in runs of rows with about AT_ONCE characters, and their texts; a
+    longer text is a run of its own."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text))
+        size = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + AT_ONCE, "right")))
+            yield batch.slice(i, j - i), [t or "" for t in column.slice(i, j - i).to_pylist()]
+            i = j
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", check: bool = True, ids: bool = False) -> DataFrame:
     """Encodes whole texts, an end id after each, and decodes the ids again.
 
@@ -208,29 +231,31 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
 
     def run(batches):
         m = model(_path(vocabulary))
-        known: dict[str, tuple[str, int, str, bool]] = {}
+        as_ids: dict[str, str] = {}
+        as_text: dict[str, str] = {}
+        wrong: set[str] = set()
         end = str(m.end)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            if len(known) > REMEMBERED:
-                known.clear()
-            cut = [m.cuts(t) if t else [] for t in texts]
-            fresh = list({c: None for row in cut for c in row if c not in known})
-            own = [m.encode_cut(c) for c in fresh]
-            theirs = own
-            if check:  # the library puts the leading mark back itself
-                theirs = m.library.encode([c[1:].replace(MARK, " ") if c[0] == MARK else c for c in fresh], num_threads=1)
-                theirs = [o if c[0] != MARK or c == MARK else t for c, o, t in zip(fresh, own, theirs, strict=True)]
+        for batch, texts in _slices(batches, text):
+            if len(as_ids) > REMEMBERED:
+                as_ids.clear(), as_text.clear(), wrong.clear()
+            cut = [m.cuts(t) for t in texts]
+            fresh = list({c: None for row in cut for c in row if c not in as_ids})
+            own = [m.encode_cut(MARK + c) for c in fresh]
+            # the library puts the leading mark back itself, but not on nothing
+            theirs = m.library.encode([c.replace(MARK, " ") for c in fresh], num_threads=1) if check else own
             for c, o, t in zip(fresh, own, theirs, strict=True):
-                known[c] = " ".join(map(str, t)), len(t), m.decode_cut(t), o != t
+                if o != t and c:
+                    wrong.add(c)
+                    o = t
+                as_ids[c] = " ".join(map(str, o))
+                as_text[c] = m.decode_cut(o)
             n, sha, decoded, repaired, lists = [], [], [], [], []
             for row in cut:
-                got = [known[c] for c in row]
-                line = " ".join([*[g[0] for g in got], end])
-                n.append(sum([g[1] for g in got]) + 1)
+                line = " ".join([*map(as_ids.__getitem__, row), end])
+                n.append(line.count(" ") + 1)
                 sha.append(hashlib.sha256(line.encode()).hexdigest())
-                decoded.append("".join([g[2] for g in got])[1:])  # without the mark put in front
-                repaired.append(sum([g[3] for g in got]))
+                decoded.append("".join(map(as_text.__getitem__, row))[1:])  # without the mark put in front
+                repaired.append(sum(c in wrong for c in row) if wrong else 0)
                 if ids:
                     lists.append([int(x) for x in line.split(" ")])
             columns = [batch.column(batch.schema.get_field_index(c)) for c in left]
@@ -253,16 +278,15 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 4096, text: str
     def run(batches):
         m = model(_path(vocabulary))
         known: dict[str, int] = {}
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        for batch, texts in _slices(batches, text):
             if len(known) > REMEMBERED:
                 known.clear()
-            cut = [m.cuts(t) if t else [] for t in texts]
+            cut = [m.cuts(t) for t in texts]
             fresh = list({c: None for row in cut for c in row if c not in known})
             for i in range(0, len(fresh), 20_000):
                 part = fresh[i : i + 20_000]
                 known.update(zip(part, m.count(part).tolist(), strict=True))
-            size = [len(t.encode()) if t else 0 for t in texts]
+            size = [len(t.encode()) for t in texts]
             n = [sum(map(known.__getitem__, row)) for row in cut]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in left]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(size, pa.int64()), pa.array(n, pa.int64())], names=schema.names)

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces
+from . import jaccard, pieces, substring
 from .base import table
 
 VOCABULARY = "piece_bpe_32k.model"
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=5, threshold_pct=80)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_substrings(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", pieces.sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.encode(docs, VOCABULARY)
@@ -22,5 +31,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.count_tokens(docs, VOCABULARY, limit=4096)
 
 
-QUERIES = {"op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts}
 ORACLES: dict[str, str] = {}
