@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, pieces, substring
+from . import bitsliced, jaccard, phrases, pieces, substring
 from .base import table
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -15,6 +15,17 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=5, threshold_pct=80)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return bitsliced.search(bitsliced.build_index(vectors), vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, percent=5)
+    joined = pieces.sha256(F.array_join("items", ","))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", joined.alias("items_sha256"), "contaminated")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.dedup_substrings(table(spark, sf_dir, "documents"), window=50)
     return out.select("doc_id", "n_words", "n_removed", pieces.sha256(F.col("kept")).alias("kept_sha256"))
@@ -31,5 +42,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.count_tokens(docs, VOCABULARY, limit=4096)
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts}
 ORACLES: dict[str, str] = {}
