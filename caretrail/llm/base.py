@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Odd multipliers of the polynomial hashes (any odd numbers would do).
 BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 #: Bytes of text that are hashed in one go; a longer document is one piece.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .base import mix, partitions
 
 #: Rows that a task holds before it settles and sends them.
-ROWS = 1 << 21
+ROWS = 1 << 19
 #: Tags of the row that stands for a key with several owners, and of one with one owner.
 _SEVERAL, _ONE = -2, -1
 

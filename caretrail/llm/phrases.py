@@ -1,7 +1,7 @@
 """A positional inverted index of training text, and benchmark passages found in it.
 
 ``build_index`` stores the postings of all words as a table of segments: a segment
-holds whole documents of about ``SEGMENT_BYTES`` and lists, for each term, the word
+holds whole documents of about ``base.PIECE_BYTES`` and lists, for each term, the word
 positions where it occurs. Segments are made and searched where they lie, so nothing
 is shuffled and a hot term costs each segment its own list only. A phrase is searched
 from its rarest term in the segment: that list, less the term's offset, is intersected
@@ -18,31 +18,20 @@ from pyspark.sql import functions as F
 from . import base
 from .base import WORD_CHAR, Words, saved
 
-SEGMENT_BYTES = 1 << 20
 #: Benchmark text that is searched for, and held by the driver, at once.
 BLOCK_BYTES = 8 << 20
 
 _INDEX = "doc_ids array<long>, first array<int>, terms binary, starts binary, positions binary"
 
 
-def _segments(column):
-    """Runs of whole texts of about a segment's size."""
-    size = base.PIECE_BYTES
-    for at, data, bounds in base.pieces(column):
-        i = 0
-        while i < len(bounds) - 1:
-            j = len(bounds) - 1 if len(data) <= size and len(data) <= SEGMENT_BYTES else max(i + 1, int(np.searchsorted(bounds, bounds[i] + SEGMENT_BYTES, "right")) - 1)
-            yield at + i, Words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], WORD_CHAR, lower=True)
-            i = j
-
-
 def build_index(docs: DataFrame) -> DataFrame:
     """The postings of docs(doc_id, text), saved. Words are runs of letters, digits and
     non-ASCII characters, A-Z in lower case; null has none."""
 
     def run(batches):
         for batch in batches:
-            for at, words in _segments(batch.column(1)):
+            for at, data, bounds in base.pieces(batch.column(1)):
+                words = Words(data, bounds, WORD_CHAR, lower=True)
                 order = np.argsort(words.hash, kind="stable")
                 terms = words.hash[order]
                 starts = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, jaccard, phrases, pieces, substring
+from . import bitsliced, jaccard, phrases, pieces, substring, toxicity
 from .base import table
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -42,5 +42,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.count_tokens(docs, VOCABULARY, limit=4096)
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "spans")
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}

@@ -57,12 +57,12 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            starts = batch.column(2).to_pylist()
             for at, words in _words(batch.column(1)):
+                starts = batch.column(2).slice(at, words.n).to_pylist()
                 n, gone, text, spans = [], [], [], []
                 for i in range(words.n):
                     size = int(words.first[i + 1] - words.first[i])
-                    cut = _marked(size, np.array(starts[at + i] or [], np.int64), window)
+                    cut = _marked(size, np.array(starts[i] or [], np.int64), window)
                     n.append(size)
                     gone.append(int(cut.sum()))
                     text.append(words.text(i, ~cut).decode())
