@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Runs of word marks (spaces) and what follows them up to the next.
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Distinct cuts that a task remembers; it starts afresh beyond, with the same results.
+#: Distinct cuts that a task remembers; beyond, those not met
+#: again are forgotten and worked out anew, with the same results.
 REMEMBERED = 1 << 18
 #: Characters of text that a task cuts at once.
 AT_ONCE = 1 << 20
@@ -50,7 +51,7 @@ class MergeModel:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in odd}
         if any(lib.is_unused(i) for i in range(n)) or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("only merge-type models whose pieces keep to one word can be used")
-        self.score = {p: lib.get_score(i) for p, i in self.ids.items()}
+        self.cost = {p: -lib.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in odd if lib.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.end, self.unknown = lib.eos_id(), lib.unk_id()
@@ -63,14 +64,19 @@ class MergeModel:
     def symbols(self, cut: str) -> list[str]:
         """Merges adjacent pairs whose union is a piece, highest score first, leftmost
         among equals, until no pair is left."""
-        score = self.score
-        text = list(cut)
+        value, text, heappush, heappop = self.cost.get, list(cut), heapq.heappush, heapq.heappop
         n = len(text)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(-score[p], i, p) for i in range(n - 1) if (p := text[i] + text[i + 1]) in score]
+        agenda = []
+        for i in range(n - 1):
+            p = text[i] + text[i + 1]
+            if (v := value(p)) is not None:
+                agenda.append((v, i, p))
+        if not agenda:
+            return text
         heapq.heapify(agenda)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
-            _, i, p = heapq.heappop(agenda)
+            _, i, p = heappop(agenda)
             j = after[i]
             if j >= n or not text[i] or text[i] + text[j] != p:
                 continue  # one of the two has been merged meanwhile
@@ -78,10 +84,10 @@ class MergeModel:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (q := p + text[k]) in score:
-                    heapq.heappush(agenda, (-score[q], i, q))
-            if (h := before[i]) >= 0 and (q := text[h] + p) in score:
-                heapq.heappush(agenda, (-score[q], h, q))
+                if (v := value(q := p + text[k])) is not None:
+                    heappush(agenda, (v, i, q))
+            if (h := before[i]) >= 0 and (v := value(q := text[h] + p)) is not None:
+                heappush(agenda, (v, h, q))
         return [x for x in text if x]
 
     def encode_cut(self, cut: str) -> list[int]:
@@ -93,6 +99,8 @@ class MergeModel:
 
     def decode_cut(self, ids: list[int]) -> str:
         """Pieces back to text, word marks as spaces; runs of byte pieces as UTF-8."""
+        if not self.byte_of.keys() & ids:
+            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
         out, run = [], bytearray()
         for i in [*ids, None]:
             if i in self.byte_of:
@@ -123,9 +131,9 @@ class MergeModel:
         rank and result, by key."""
         if self._tables is None:
             number = {p: i for i, p in enumerate(sorted({*self.ids, *(c for p in self.ids for c in p)}))}
-            order = {s: r for r, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+            order = {c: r for r, c in enumerate(sorted(set(self.cost.values())))}
             size = len(number) + 1  # the last number: characters that no piece has
-            found = sorted((number[p[:k]] * size + number[p[k:]], order[self.score[p]], number[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+            found = sorted((number[p[:k]] * size + number[p[k:]], order[self.cost[p]], number[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
             self._tables = (number, size, *(np.array(x, np.int64) for x in zip(*found, strict=True)))
             #: Tokens that a symbol makes if it stays: bytes where it is no piece.
             self._weight = np.ones(size, np.int64)
@@ -233,13 +241,17 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
         m = model(_path(vocabulary))
         as_ids: dict[str, str] = {}
         as_text: dict[str, str] = {}
-        wrong: set[str] = set()
+        older, wrong = (as_ids, as_text), set()
         end = str(m.end)
         for batch, texts in _slices(batches, text):
-            if len(as_ids) > REMEMBERED:
-                as_ids.clear(), as_text.clear(), wrong.clear()
+            if len(as_ids) > REMEMBERED:  # what is met again moves over from the older half
+                older, as_ids, as_text = (as_ids, as_text), {}, {}
             cut = [m.cuts(t) for t in texts]
-            fresh = list({c: None for row in cut for c in row if c not in as_ids})
+            fresh = {c: None for row in cut for c in row if c not in as_ids}
+            for c in [c for c in fresh if c in older[0]]:
+                as_ids[c], as_text[c] = older[0][c], older[1][c]
+                del fresh[c]
+            fresh = list(fresh)
             own = [m.encode_cut(MARK + c) for c in fresh]
             # the library puts the leading mark back itself, but not on nothing
             theirs = m.library.encode([c.replace(MARK, " ") for c in fresh], num_threads=1) if check else own

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import _LOWER, BYTE_BASE, WORD_CHAR, Words, pieces, range_hash
 
@@ -64,7 +65,7 @@ def marginals(unary: np.ndarray, first: np.ndarray, step: np.ndarray, pairs: boo
         real = np.arange(n)[:, None] < size[rows]
         grid = np.exp(unary[np.minimum(at, len(unary) - 1)])
         live = real.sum(axis=1)
-        forward, backward = np.empty((n, m)), np.ones((n, m))
+        forward, backward = np.zeros((n, m)), np.ones((n, m))
         forward[0] = now = grid[0]
         for t in range(1, n):  # ratios T : O of the forward sums
             k = live[t]
@@ -104,11 +105,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Field:
     words = Words(np.frombuffer(b"".join(raw), np.uint8), bounds, WORD_CHAR, lower=True)
     features, first, y = token_features(words), words.first, np.array(toxic, bool)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    # distant labels: features that are far commoner in toxic documents
-    pair = np.unique(np.stack([np.repeat(doc, features.shape[1]), features.ravel()]), axis=1)
-    seen = [np.bincount(pair[1][y[pair[0]] == c], minlength=BUCKETS) for c in (False, True)]
+    # distant labels: features that are far commoner in toxic documents, counted by the
+    # different neighbours they have, so that copies of a document count once
+    beside = np.r_[np.uint64(0), words.hash, np.uint64(0)]
+    around = (beside[:-2] * np.uint64(3) ^ beside[2:]).view(np.int64)
+    pair = np.unique(np.stack([features.ravel(), np.repeat(around, features.shape[1]), np.repeat(y[doc], features.shape[1])]), axis=1)
+    seen = [np.bincount(pair[0][pair[2] == c], minlength=BUCKETS) for c in (0, 1)]
     odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / ((~y).sum() + 1))
-    marked = (odds >= 3) & (seen[1] >= 10)
+    marked = (odds >= 3) & (seen[1] >= max(3, 0.012 * y.sum()))
     label = marked[features].any(axis=1) & y[doc]
     # gradient steps (Adam) on the likelihood of the labels
     inner = doc[1:] == doc[:-1]
@@ -162,7 +166,7 @@ def score(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame
     have no tokens and get the score of that. Other columns are kept, but for those
     that bear one of the new names."""
     left = [c for c in docs.columns if c not in ("score", "predicted", "spans", text)]
-    schema = docs.select(*left).schema.add("score", "double").add("spans", "array<long>")
+    schema = docs.select(*left).schema.add("score", "double").add("spans", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
