@@ -76,7 +76,8 @@ def meet(df: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[Rows]], later:
             out = [(p, False, at[edge[p] : edge[p + 1]], flag) for p in range(n) if edge[p] < edge[p + 1]]
             # known rows pass through, dealt evenly
             at = np.flatnonzero(known)
-            out += [(p, True, x, tag) for p, x in enumerate(np.array_split(at, min(n, 1 + len(at) // 50_000))) if len(x)]
+            turn = int(part[0])
+            out += [((turn + p) % n, True, x, tag) for p, x in enumerate(np.array_split(at, min(n, 1 + len(at) // 10_000))) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.bool_())] + [pa.array([_pack(col[o[2]] if col is not None else o[3][o[2]]) for o in out], pa.binary()) for col in (key, owner, None)], names=["part", "known", "key", "owner", "tag"])
 
         count = 0

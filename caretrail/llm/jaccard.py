@@ -15,7 +15,8 @@ no pivot tells them apart; so pivots stand at the shingles:
 4. A region whose members are all connected by now is finished. Others are joined,
    in place if small; larger ones get new pivots, each document goes to the nearest
    (distance a) and, as a boundary document, to all pivots within a + 2r; the parts
-   are joined recursively. Parts that do not shrink are joined block by block.
+   are joined recursively. Where the windows triple a
+   region's members, nothing is gained: it is joined block by block.
 
 Nothing is dropped or capped: the groups are those of all linked pairs. Shingles are
 compared by 64-bit hashes.
@@ -46,15 +47,33 @@ def _least(n: np.ndarray, pct: int) -> np.ndarray:
     return (n * pct + 99) // 100
 
 
+def _shared(n, pct: int):
+    """K: how many of the indexed shingles of a set of n two linked sets share. Small
+    sets are indexed whole."""
+    return np.where(n <= 100, _least(n, pct), np.maximum(1, np.where(n <= 400, 2 * n // 5, n // 10)))
+
+
+def _shared_at_least(n, pct: int):
+    """The least K among the sizes that a set of n may link to. K grows with n but for
+    its steps, so it is the least of the first sizes of each stretch."""
+    low, high = _least(n, pct), n * 100 // pct
+    out = _shared(low, pct)
+    for m in (101, 401):
+        out = np.where((low <= m) & (m <= high), np.minimum(out, _shared(np.int64(m), pct)), out)
+    return np.maximum(1, out)
+
+
 def features(docs: DataFrame, k: int, pct: int) -> DataFrame:
-    """doc_id, n (set size), sig (two hashes of the set) and the indexed shingles."""
+    """doc_id, n (set size), k (indexed shingles it shares with any set it links to, at
+    least), sig (two hashes of the set) and the indexed shingles."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for at, sets in _sets(batch.column(1), k):
                 n = np.array([len(s) for s in sets], np.int64)
-                take = np.minimum(n, n - _least(n, pct) + np.maximum(1, n // 10))
+                take = np.minimum(n, n - _least(n, pct) + _shared(n, pct))
+                share = _shared_at_least(n, pct)
                 flat = np.concatenate(sets)
                 first = np.r_[0, np.cumsum(n)]
                 sig = []
@@ -62,9 +81,9 @@ def features(docs: DataFrame, k: int, pct: int) -> DataFrame:
                     sums = np.r_[np.uint64(0), np.cumsum(mix(flat + np.uint64(salt)))]
                     sig.append(mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64)).view(np.int64))
                 index = pa.array([s[:t].view(np.int64) for s, t in zip(sets, take, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), pa.array(n), pa.array(sig[0]), pa.array(sig[1]), index], names=["doc_id", "n", "sig", "sig2", "indexed"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), pa.array(n), pa.array(share), pa.array(sig[0]), pa.array(sig[1]), index], names=["doc_id", "n", "k", "sig", "sig2", "indexed"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, sig long, sig2 long, indexed array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, k long, sig long, sig2 long, indexed array<long>")
 
 
 def _emit(batch):
@@ -122,7 +141,14 @@ def _joined(group: pd.DataFrame, k: int, pct: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, threshold_pct: int = 80, region: int = 200, depth: int = 3) -> DataFrame:
+def _blocks(big: DataFrame, region: int) -> DataFrame:
+    """Parts cut into blocks of half a region, each pair of blocks a part of its own."""
+    blocks = big.withColumn("g", F.ceil(F.col("m") * 2 / region)).withColumn("b", F.pmod(F.xxhash64("x"), F.col("g")))
+    pairs = blocks.select("part", "x", "dist", "comp", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("o"))
+    return pairs.select(F.concat_ws("/", "part", F.least("b", "o"), F.greatest("b", "o")).alias("part"), "x", "dist", "comp")
+
+
+def jaccard_groups(docs: DataFrame, k: int = 5, threshold_pct: int = 80, region: int = 256, depth: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id of every document of docs(doc_id, text).
 
     Words are split at ASCII white space, A-Z in lower case; a set holds the distinct
@@ -139,8 +165,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold_pct: int = 80, region:
     classes = sized.groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("rep"))
 
     # 1. shingles of two documents or more, and the documents with enough of them
-    shared = saved(meet(sized.select("doc_id", "indexed", "sig"), _emit).select(F.col("key").alias("s"), F.col("owner").alias("x")).distinct(), "shared")
-    slim = sized.select(F.col("doc_id").alias("x"), F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * pct + 99) / 100) / 10)).cast("long").alias("k")).dropDuplicates(["x"])
+    shared = saved(meet(sized.select("doc_id", "indexed", "sig"), _emit).select(F.col("key").alias("s"), F.col("owner").alias("x")), "shared")
+    slim = sized.select(F.col("doc_id").alias("x"), "k").dropDuplicates(["x"])
     able = shared.groupBy("x").count().join(slim, "x").where("count >= k").select("x", "k")
     rows = saved(shared.join(able, "x"), "able")
 
@@ -169,21 +195,21 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold_pct: int = 80, region:
     for level in range(depth + 1):
         big = open_.where(F.col("m") > region)
         leaves.append(open_.where(F.col("m") <= region).select("part", "x", "dist", "comp"))
-        if not big.limit(1).count():
+        if big.isEmpty():
             break
-        if level == depth:  # blocks of members, each pair of blocks one part
-            blocks = big.withColumn("g", F.ceil(F.col("m") * 2 / region)).withColumn("b", F.pmod(F.xxhash64("x"), F.col("g")))
-            pairs = blocks.select("part", "x", "dist", "comp", "b", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-            leaves.append(pairs.select(F.concat_ws("/", "part", F.least("b", "o"), F.greatest("b", "o")).alias("part"), "x", "dist", "comp"))
+        if level == depth:
+            leaves.append(_blocks(big, region))
             break
         salt = F.pmod(F.xxhash64("x", F.lit(level)), F.lit(8))
         new = big.groupBy("part", salt.alias("salt")).agg(F.min("x").alias("p")).select("part", "p")
-        near = saved(distances(big.select("part", "x", "comp").join(new, "part").where("x <> p"), texts, k).withColumn("dist", dist), "near")
+        near = saved(distances(big.select("part", "x", "comp", "m").join(new, "part").where("x <> p"), texts, k).withColumn("dist", dist), "near")
         more.append(near.where(linked).select(F.col("x").alias("a"), F.col("p").alias("b")))
-        own = new.join(big.select("part", F.col("x").alias("p"), "comp"), ["part", "p"]).select("part", F.col("p").alias("x"), "p", "comp", F.lit(0.0).alias("dist"))
+        own = new.join(big.select("part", F.col("x").alias("p"), "comp", "m"), ["part", "p"]).select("part", F.col("p").alias("x"), "p", "comp", "m", F.lit(0.0).alias("dist"))
         best = F.min("dist").over(W.partitionBy("part", "x"))
-        sub = near.select("part", "x", "p", "comp", "dist").union(own).withColumn("best", best).where(F.col("dist") <= F.col("best") + 2 * (1 - pct / 100) + 1e-9)
-        sub = sub.select(F.concat_ws("/", "part", "p").alias("part"), "x", "dist", "comp")
+        sub = near.select("part", "x", "p", "comp", "m", "dist").union(own).withColumn("best", best).where(F.col("dist") <= F.col("best") + 2 * (1 - pct / 100) + 1e-9)
+        grown = sub.groupBy("part").agg(F.count("*").alias("all"), F.first("m").alias("m")).where("all > 3 * m").select("part")
+        leaves.append(_blocks(big.join(grown, "part", "left_semi"), region))
+        sub = sub.join(grown, "part", "left_anti").select(F.concat_ws("/", "part", "p").alias("part"), "x", "dist", "comp")
         open_ = saved(sub.join(size(sub).select("part", "m"), "part"), "open")
     last = leaves[0]
     for leaf in leaves[1:]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, jaccard, phrases, pieces, substring, toxicity
+from . import bitsliced, jaccard, licenses, ordering, phrases, pieces, substring, toxicity
 from .base import table
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -15,6 +15,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=5, threshold_pct=80)
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.training_order(table(spark, sf_dir, "documents"), length=2048, key=17)
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return bitsliced.search(bitsliced.build_index(vectors), vectors.where("vec_id % 100 = 0"), k=10)
@@ -42,11 +46,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.count_tokens(docs, VOCABULARY, limit=4096)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "spans")
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_training_order": op2_training_order, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
