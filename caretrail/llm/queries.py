@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, jaccard, licenses, ordering, phrases, pieces, substring, toxicity
+from . import bitsliced, jaccard, licenses, lines, ordering, phrases, pieces, substring, toxicity
 from .base import table
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -35,6 +35,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", pieces.sha256(F.col("kept")).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", pieces.sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.encode(docs, VOCABULARY)
@@ -56,5 +61,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "spans")
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_training_order": op2_training_order, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_training_order": op2_training_order, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op6_line_dedup": op6_line_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
