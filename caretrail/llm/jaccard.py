@@ -87,18 +87,19 @@ def features(docs: DataFrame, k: int, pct: int) -> DataFrame:
 
 
 def _emit(batch):
-    """(shingle, document) rows; of a batch's equal sets only the first."""
+    """(shingle, document, K) rows; of a batch's equal sets only the first."""
     batch = batch.take(pa.array(np.unique(batch.column(2).to_numpy(), return_index=True)[1]))
     index = batch.column(1)
     key = index.flatten().to_numpy()
-    yield key, np.repeat(batch.column(0).to_numpy(), index.value_lengths().to_numpy()), np.zeros(len(key), np.int64)
+    yield key, *(np.repeat(batch.column(c).to_numpy(), index.value_lengths().to_numpy()) for c in (0, 3))
 
 
 def distances(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """pairs(x, p, ...) with the sizes n_x, n_p and the intersection of their sets."""
     extra = [c for c in pairs.columns if c not in ("x", "p")]
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("x"), "x").join(side("p"), "p").select("x", "p", *extra, "text_x", "text_p")
+    # both sides grow with the corpus: neither is broadcast, however small it is by now
+    both = pairs.join(side("x").hint("merge"), "x").join(side("p").hint("merge"), "p").select("x", "p", *extra, "text_x", "text_p")
     schema = pairs.select("x", "p", *extra).schema.add("n_x", "long").add("n_p", "long").add("both", "long")
 
     def run(batches):
@@ -165,10 +166,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold_pct: int = 80, region:
     classes = sized.groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("rep"))
 
     # 1. shingles of two documents or more, and the documents with enough of them
-    shared = saved(meet(sized.select("doc_id", "indexed", "sig"), _emit).select(F.col("key").alias("s"), F.col("owner").alias("x")), "shared")
-    slim = sized.select(F.col("doc_id").alias("x"), "k").dropDuplicates(["x"])
-    able = shared.groupBy("x").count().join(slim, "x").where("count >= k").select("x", "k")
-    rows = saved(shared.join(able, "x"), "able")
+    shared = meet(sized.select("doc_id", "indexed", "sig", "k"), _emit).select(F.col("key").alias("s"), F.col("owner").alias("x"), F.col("tag").alias("k"))
+    rows = saved(shared.withColumn("m", F.count("*").over(W.partitionBy("x"))).where("m >= k").drop("m"), "able")
 
     # 2. pivots and regions
     pivots = rows.groupBy("s").agg(F.min("x").alias("p"), F.count("*").alias("m")).where("m > 1")
@@ -177,7 +176,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold_pct: int = 80, region:
     held = held.withColumn("sum", F.sum("c").over(up.rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(W.partitionBy("x")))
     part = saved(held.where("all >= k and sum > floor((k - 1) / 2)").select("x", "p"), "regions")
     ids = part.select(F.col("x").alias("doc_id")).union(part.select("p")).distinct()
-    texts = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     # 3. distances to the pivot
     linked = f"100 * both >= {pct} * (n_x + n_p - both)"
