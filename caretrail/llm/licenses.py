@@ -8,9 +8,8 @@ more to it, so that ``bands`` bands of one hash miss it with a probability of
 (2/3) ** bands (4e-9 for 48). The retrieved templates are verified exactly: the share of
 their shingles in the window must reach ``percent``.
 
-A window without any shingle of a template shares no MinHash with it. So texts without
-any of the words that the templates' shingles need are left out first, by plain
-substring tests inside the scan.
+A window with the asked share of a template's shingles holds one of a few words that
+these have (see ``_anchors``). So texts and windows without any are left out first.
 """
 
 from __future__ import annotations
@@ -59,6 +58,20 @@ def _windows(size: Column, length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.lit(length).alias("length"), (i * length).alias("start")))
 
 
+def _anchors(templates: list[list[str]], percent: int) -> list[str]:
+    """Words such that a window with the asked share of any template's shingles holds
+    one of them: few, and the same for many templates where they can be."""
+    chosen: list[str] = []
+    for shingles in sorted(templates, key=len):
+        words = sorted({w for s in shingles for w in s.split()}, key=lambda w: (-len(w), w))
+        held = lambda w, left: sum(w in s for s in left)
+        left = [s for s in shingles if not any(a in s for a in chosen)]
+        while 100 * len(left) >= percent * len(shingles):
+            chosen.append(best := max(words, key=lambda w: (held(w, left), len(w))))
+            left = [s for s in left if best not in s]
+    return chosen
+
+
 def _any_contains(parts: Column, anchor: str) -> Column:
     return F.exists(parts, lambda x: x.contains(anchor))
 
@@ -82,13 +95,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, p
     """
     spark = docs.sparkSession
     known = template_table(spark, templates or TEMPLATES, k)
-    # of each shingle its longest word: a text with the shingle has the word
-    need = known.select(F.explode("shingles").alias("s")).select(F.split("s", " ").alias("w")).collect()
-    anchors = sorted({max(r.w, key=lambda x: (len(x), x)) for r in need})
-    anchors = [a for a in anchors if not any(b != a and b in a for b in anchors)]
+    anchors = _anchors([r.shingles for r in known.select("shingles").collect()], percent)
     lengths = sorted({r.length for r in known.select("length").collect()})
-    low = F.lower("text")
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(reduce(lambda a, b: a | b, [low.contains(x) for x in anchors], F.lit(False)))
+    hint = "(?iu)" + "|".join(anchors)
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike(hint))
     some = some.select("doc_id", _words(F.col("text")).alias("words")).where(F.size("words") >= k)
     starts = [_windows(F.size("words"), n) for n in lengths]
     cut = some.select("doc_id", "words", F.explode(F.concat(*starts)).alias("at")).select("doc_id", "at.length", "at.start", F.slice("words", F.col("at.start") + 1, 2 * F.col("at.length")).alias("part"))
