@@ -59,7 +59,7 @@ def _windows(size: Column, length: int) -> Column:
 
 
 def _anchors(templates: list[list[str]], percent: int) -> list[str]:
-    """Words such that a window with the asked share of any template's shingles holds
+    """Long words such that a window with the asked share of any template's shingles holds
     one of them: few, and the same for many templates where they can be."""
     chosen: list[str] = []
     for shingles in sorted(templates, key=len):
@@ -67,7 +67,7 @@ def _anchors(templates: list[list[str]], percent: int) -> list[str]:
         held = lambda w, left: sum(w in s for s in left)
         left = [s for s in shingles if not any(a in s for a in chosen)]
         while 100 * len(left) >= percent * len(shingles):
-            chosen.append(best := max(words, key=lambda w: (held(w, left), len(w))))
+            chosen.append(best := max(words, key=lambda w: (min(len(w), 7) if held(w, left) else 0, held(w, left))))
             left = [s for s in left if best not in s]
     return chosen
 
