@@ -1 +1 @@
-"""Part of the caretrail engine."""
+"""Registered queries and the SQL they are held against."""
