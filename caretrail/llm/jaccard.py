@@ -87,11 +87,12 @@ def features(docs: DataFrame, k: int, pct: int) -> DataFrame:
 
 
 def _emit(batch):
-    """(shingle, document, K) rows; of a batch's equal sets only the first."""
-    batch = batch.take(pa.array(np.unique(batch.column(2).to_numpy(), return_index=True)[1]))
-    index = batch.column(1)
-    key = index.flatten().to_numpy()
-    yield key, *(np.repeat(batch.column(c).to_numpy(), index.value_lengths().to_numpy()) for c in (0, 3))
+    """(shingle, document, K) rows; of equal sets in a run of them only the first."""
+    for i in range(0, batch.num_rows, 1024):
+        part = batch.slice(i, 1024)
+        part = part.take(pa.array(np.unique(part.column(2).to_numpy(), return_index=True)[1]))
+        index = part.column(1)
+        yield index.flatten().to_numpy(), *(np.repeat(part.column(c).to_numpy(), index.value_lengths().to_numpy()) for c in (0, 3))
 
 
 def distances(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:

@@ -15,6 +15,7 @@ counts as empty.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -31,7 +32,7 @@ MARK = "▁"
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct cuts that a task remembers; beyond, those not met
 #: again are forgotten and worked out anew, with the same results.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Characters of text that a task cuts at once.
 AT_ONCE = 1 << 20
 #: Longer cuts are counted by the agenda, whose work grows with n log n.
@@ -54,6 +55,7 @@ class MergeModel:
         self.cost = {p: -lib.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in odd if lib.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.last_byte = max(self.byte_of, default=-1)
         self.end, self.unknown = lib.eos_id(), lib.unk_id()
         if len(self.bytes) != 256:
             raise ValueError("the model must have a piece for each byte")
@@ -99,7 +101,7 @@ class MergeModel:
 
     def decode_cut(self, ids: list[int]) -> str:
         """Pieces back to text, word marks as spaces; runs of byte pieces as UTF-8."""
-        if not self.byte_of.keys() & ids:
+        if ids and min(ids) > self.last_byte:
             return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
         out, run = [], bytearray()
         for i in [*ids, None]:
@@ -239,19 +241,18 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
 
     def run(batches):
         m = model(_path(vocabulary))
-        as_ids: dict[str, str] = {}
-        as_text: dict[str, str] = {}
-        older, wrong = (as_ids, as_text), set()
+        known: dict[str, str] = {}  # decimal ids of a cut
+        older, odd, wrong = known, {}, set()
         end = str(m.end)
+        gc.disable()  # no cycles are made; the many small tuples would set it off
         for batch, texts in _slices(batches, text):
-            if len(as_ids) > REMEMBERED:  # what is met again moves over from the older half
-                older, as_ids, as_text = (as_ids, as_text), {}, {}
+            if len(known) > REMEMBERED:  # what is met again moves over from the older half
+                older, known = known, {}
             cut = [m.cuts(t) for t in texts]
-            fresh = {c: None for row in cut for c in row if c not in as_ids}
-            for c in [c for c in fresh if c in older[0]]:
-                as_ids[c], as_text[c] = older[0][c], older[1][c]
+            fresh = {c: None for row in cut for c in row if c not in known}
+            for c in [c for c in fresh if c in older]:
+                known[c] = older[c]
                 del fresh[c]
-            fresh = list(fresh)
             own = [m.encode_cut(MARK + c) for c in fresh]
             # the library puts the leading mark back itself, but not on nothing
             theirs = m.library.encode([c.replace(MARK, " ") for c in fresh], num_threads=1) if check else own
@@ -259,14 +260,19 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
                 if o != t and c:
                     wrong.add(c)
                     o = t
-                as_ids[c] = " ".join(map(str, o))
-                as_text[c] = m.decode_cut(o)
+                known[c] = " ".join(map(str, o))
+                if (back := m.decode_cut(o)) != " " + c.replace(MARK, " "):
+                    odd[c] = back
             n, sha, decoded, repaired, lists = [], [], [], [], []
-            for row in cut:
-                line = " ".join([*map(as_ids.__getitem__, row), end])
+            for whole, row in zip(texts, cut, strict=True):
+                line = " ".join([*map(known.__getitem__, row), end])
                 n.append(line.count(" ") + 1)
                 sha.append(hashlib.sha256(line.encode()).hexdigest())
-                decoded.append("".join(map(as_text.__getitem__, row))[1:])  # without the mark put in front
+                if odd and any(c in odd for c in row):
+                    back = "".join([odd.get(c, " " + c.replace(MARK, " ")) for c in row])[1:]
+                else:  # every cut decodes to itself behind a space; the first one is ours
+                    back = whole.replace(MARK, " ")
+                decoded.append(back)
                 repaired.append(sum(c in wrong for c in row) if wrong else 0)
                 if ids:
                     lists.append([int(x) for x in line.split(" ")])
