@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from .. import config as C
 from . import segments
 
-_SUBJECT = W.partitionBy("subject_id")
+def _subject():
+    return W.partitionBy("subject_id")
+
 
 
 def next_types(windows: DataFrame) -> DataFrame:
-    return windows.select("subject_id", "window_ord", "type_id", F.lead("type_id").over(_SUBJECT.orderBy("window_ord")).alias("next_type"))
+    return windows.select("subject_id", "window_ord", "type_id", F.lead("type_id").over(_subject().orderBy("window_ord")).alias("next_type"))
 
 
 def next_tokens(rows: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ def remap(ids: DataFrame, table: DataFrame, unknown: int = -1) -> DataFrame:
 
 def items(tokens: DataFrame) -> DataFrame:
     """Tokens fused to readable items: observation pairs and marked codes as one."""
-    w = _SUBJECT.orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    w = _subject().orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     item = F.sum(F.when(F.col("kind").isin("OBS_VALUE", "MARK"), 0).otherwise(1)).over(w) - 1
     return tokens.withColumn("item", item).groupBy("subject_id", "item").agg(F.min("idx").alias("idx"), F.count("*").alias("n_tokens"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "surface"))), lambda x: x["surface"]), "=").alias("text"))
 

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.numeric import HOUR_US
 
-_SUBJECT = W.partitionBy("subject_id")
+def _subject():
+    return W.partitionBy("subject_id")
+
 _UNK, _POST = C.WINDOW_TYPES["UNK"], C.WINDOW_TYPES["POST_DISCHARGE"]
 
 
 def bundles(tokens: DataFrame) -> DataFrame:
     """Candidate tokens with bundle: those close in index and in time belong together."""
-    w = _SUBJECT.orderBy("idx")
+    w = _subject().orderBy("idx")
     clinical = F.sum(F.when(F.col("category").isin(*C.CLINICAL), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))
     cand = tokens.withColumn("clinical", clinical).where(F.col("action").isin(*C.ACTIVE))
     apart = (F.col("idx") - F.lag("idx").over(w) > C.BUNDLE_GAP_IDX) | (F.abs(F.col("t_us") - F.lag("t_us").over(w)) > int(C.BUNDLE_GAP_H * HOUR_US))
@@ -31,7 +33,7 @@ def chains(tokens: DataFrame) -> DataFrame:
     cand = bundles(tokens)
     any_ = lambda c: F.max(F.col(c).cast("int"))
     b = cand.groupBy("subject_id", "bundle").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.min_by("t_us", "idx").alias("t_lo"), F.max_by("t_us", "idx").alias("t_hi"), F.min_by("clinical", "idx").alias("c_lo"), F.max_by("clinical", "idx").alias("c_hi"), any_("adm").alias("adm"), any_("dis").alias("dis"), any_("dea").alias("dea"))
-    w = _SUBJECT.orderBy("bundle")
+    w = _subject().orderBy("bundle")
     prev = lambda c: F.lag(c).over(w)
     brk = prev("hi").isNull() | (F.col("dis") == 1) | (F.col("dea") == 1) | (F.col("lo") - prev("hi") - 1 > C.CHAIN_TOKENS) | (F.col("c_lo") - prev("c_hi") > 0) | (F.col("t_lo") - prev("t_hi") > int(C.CHAIN_GAP_H * HOUR_US))
     b = b.withColumn("brk", F.when(brk, 1).otherwise(0))
@@ -66,7 +68,7 @@ def merged_bundles(tokens: DataFrame, site_change: bool = True) -> DataFrame:
     is_open = F.col("turn").isNotNull()
     after = F.when(F.col("c_dea") == 1, _UNK).when(F.col("c_dis") == 1, _POST).otherwise(_UNK)
     out = out.withColumn("type", F.when(is_open, F.coalesce("at.type_id", F.lit(_UNK))).otherwise(after)).withColumn("site", F.when(is_open, F.col("at.site"))).drop("at")
-    w = _SUBJECT.orderBy("merged")
+    w = _subject().orderBy("merged")
     before = F.lag("site").over(w)
     same_site = (F.col("site") == before) if site_change else before.isNotNull()
     preserved = is_open & (F.col("type") != _UNK) & (F.col("type") == F.lag("type").over(w)) & F.col("site").isNotNull() & same_site
@@ -82,7 +84,7 @@ def window_tokens(tokens: DataFrame, site_change: bool = True) -> DataFrame:
     rows = tokens.join(mark, ["subject_id", "idx"], "left")
     starts = (F.col("idx") == 0) | (F.col("starts") == 1)
     rows = rows.withColumn("start", F.coalesce(starts, F.lit(False)))
-    w = _SUBJECT.orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    w = _subject().orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("window_ord", F.sum(F.col("start").cast("int")).over(w) - 1)
     return rows.withColumn("brk", F.coalesce((F.col("kept") == 1) & ~F.col("start"), F.lit(False))).drop("starts", "kept", "start")
 
