@@ -179,3 +179,18 @@ def aliases(text: Column) -> Column:
     inner = F.regexp_extract_all(text, F.lit(r"\(([^()]*)\)"), F.lit(1))
     outer = F.trim(F.regexp_replace(F.regexp_replace(text, r"\([^()]*\)", " "), r"\s+", " "))
     return F.array_distinct(F.filter(F.concat(F.array(text), inner, F.array(outer)), lambda x: x != ""))
+
+
+def dot_forms(code: Column) -> Column:
+    """A code's letters and digits, plain and with a dot at every place inside."""
+    base = F.regexp_replace(F.upper(code), "[^0-9A-Z]", "")
+    n = F.length(base)
+    dotted = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.substring(base, F.lit(1), i), F.lit("."), F.substring(base, i + 1, n)))
+    return F.when(n == 0, _nothing()).when(n == 1, F.array(base)).otherwise(F.concat(F.array(base), dotted))
+
+
+def low_specificity(code: Column) -> Column:
+    """Medication spellings that say too little: empty, unknown, or a short number."""
+    c = normal(code)
+    short = c.rlike(r"\A(RXNORM//)?[0-9]{1,4}\z")
+    return (c == "") | c.isin("UNK", "<UNK>", "MEDICATION//UNK") | short | (c.startswith("NDC//") & (F.length(F.regexp_replace(c, "[^0-9]", "")) < 10))

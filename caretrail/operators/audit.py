@@ -179,3 +179,17 @@ def policies(tokens: DataFrame, gap_h: float = 6.0) -> DataFrame:
     hist = hist.withColumn("upto", F.sum("k").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("windows", F.sum("k").over(W.partitionBy("policy")))
     at = lambda q: F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("windows") - 1)), F.col("n")))
     return hist.groupBy("policy").agg(F.first("windows").alias("windows"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("n").alias("largest"))
+
+
+def rank_stats(chosen: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Where chosen(code) stand in ranked(code, n), commonest first."""
+    r = ranked.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "code")))
+    m = r.join(chosen.select("code"), "code", "left_semi")
+    return m.agg(F.count("*").alias("matched"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.percentile("rank", F.lit(0.5)).alias("median_rank"), F.min("rank").alias("min_rank"), F.max("rank").alias("max_rank"))
+
+
+def error_metrics(pairs: DataFrame, min_count: int) -> DataFrame:
+    """var_id, n, mae and rmse of pairs(var_id, value, predicted), worst first by mae."""
+    e = F.col("value") - F.col("predicted")
+    m = pairs.groupBy("var_id").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return m.where(F.col("n") >= min_count)

@@ -137,3 +137,19 @@ def quantised(samples: DataFrame, levels: int = 2, size: int = 256, seed: int =
         return pd.Series(out)
 
     return samples.withColumn("code", code("value"))
+
+
+def embedding_table(vocab: DataFrame, embeddings: DataFrame, dims: int) -> DataFrame:
+    """raw_id, vector (scaled to length 1; zeros if there is none of that many
+    dimensions) and has_vector of vocab(code, raw_id) with embeddings(code, vector)."""
+    good = embeddings.where(F.size("vector") == dims)
+    j = vocab.join(good, "code", "left")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    scaled = F.when(norm > 0, F.transform("vector", lambda x: x / norm)).otherwise(F.col("vector"))
+    return j.select("raw_id", F.coalesce(scaled, F.array_repeat(F.lit(0.0), dims)).alias("vector"), F.col("vector").isNotNull().alias("has_vector"))
+
+
+def window_type_by_key(rows: DataFrame) -> DataFrame:
+    """The type of a window by the first of its tokens that bears one (the rule of the
+    collator; segmentation looks at the first token only)."""
+    return rows.groupBy("subject_id", "window_ord").agg(F.coalesce(F.min_by("type_id", F.when(F.col("type_id").isNotNull(), F.col("idx"))), F.lit(0)).alias("type_id"))

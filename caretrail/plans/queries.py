@@ -12,7 +12,7 @@ from .. import config as C
 from ..functions import numeric as N
 from ..functions import routing as R
 from ..functions import text as T
-from ..operators import audit, collate, segments, timeline, vocab
+from ..operators import audit, collate, demographics, segments, timeline, vocab
 from ..sources import adapters as A
 from . import oracle as O
 
@@ -469,3 +469,92 @@ def index_manifest(spark, d):
 @query()
 def rvq_tokens(spark, d):
     return collate.quantised(audit.value_samples(coded(spark, d), audit.measurement_ids(coded(spark, d), 5)))
+
+
+# --- further operators ---
+
+STATIC = "sx as (select distinct subject_id, case when subject_id % 2 = 0 then 31 else 30 end as sex, epoch_us(timestamp '1950-01-01' + to_days((subject_id * 700)::int)) as birth_us from m)"
+ASOF = "(select arg_max(numeric_value, pos) from ev where ev.subject_id = an.subject_id and u = '{}' and numeric_value is not null and t_us <= anchor_us)"
+ANCHOR = "an as (select subject_id, coalesce(min(t_us) filter (where p in ('HOSPITAL_ADMISSION','ICU_ADMISSION','ED_REGISTRATION','TRANSFER_TO','ADMISSION')), min(t_us)) + 864000000000 as anchor_us from ev group by 1)"
+
+
+def with_static(m: DataFrame) -> DataFrame:
+    """Events with a birth and a gender row for each subject, before all others."""
+    s = m.select("subject_id").distinct()
+    birth = s.select("subject_id", F.lit(-2).cast("long").alias("event_id"), F.expr("timestamp '1950-01-01' + make_dt_interval(subject_id * 700)").alias("time"), F.lit("MEDS_BIRTH").alias("code"))
+    sex = s.select("subject_id", F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("timestamp").alias("time"), F.when(F.col("subject_id") % 2 == 0, "GENDER//M").otherwise("GENDER//F").alias("code"))
+    both = birth.union(sex).withColumn("t_us", F.unix_micros("time")).withColumn("numeric_value", F.lit(None).cast("double"))
+    return A.ordered(m.drop("pos").unionByName(both), "event_id")
+
+
+@query(O.with_ctes(O.coded, ", ".join([STATIC, ANCHOR, f"k as (select an.*, sex, birth_us, {ASOF.format('BMI (KG/M2)')} as bmi0, {ASOF.format('WEIGHT (LBS)')} as w, {ASOF.format('HEIGHT (INCHES)')} as h from an join sx using (subject_id))", "k1 as (select *, coalesce(bmi0, case when h > 0 then w * 703.0 / (h * h) end) as bmi, (anchor_us - birth_us) / 31557600000000 as age from k)"]), "select subject_id, row_number() over (partition by subject_id order by o) - 1 as ord, token_id, round(value, 6) as value from (select subject_id, 1 as o, sex as token_id, null::double as value from k1 union all select subject_id, 2, 32 + (age >= 18)::int + (age >= 40)::int + (age >= 65)::int + (age >= 80)::int, null from k1 where age >= 0 union all select subject_id, 3, 37 + (bmi >= 18.5)::int + (bmi >= 25)::int + (bmi >= 30)::int + (bmi >= 35)::int + (bmi >= 40)::int, null from k1 where bmi > 0 union all select subject_id, 4, 43, h * 2.54 from k1 where h > 0 union all select subject_id, 5, 44, w * 0.45359237 from k1 where w > 0)"))
+def demographic_specials(spark, d):
+    m = A.meds(spark, d)
+    anchor = timeline.anchors(m).withColumn("anchor_us", F.col("anchor_us") + 240 * N.HOUR_US)
+    return demographics.summary_tokens(with_static(m), anchor).withColumn("value", F.round("value", 6))
+
+
+@query(O.with_ctes(O.coded, "k as (select code, regexp_replace(upper(list_last(string_split(code, '//'))), '[^0-9A-Z]', '', 'g') as b from c where category = 'DIAGNOSIS')", "select code, array_to_string(list_concat([b], list_transform(range(1, length(b)), lambda i: substr(b, 1, i::int) || '.' || substr(b, i::int + 1))), '|') as forms from k where length(b) > 1"))
+def dot_forms(spark, d):
+    last = F.element_at(F.split("code", "//"), -1)
+    return coded(spark, d).where("category = 'DIAGNOSIS'").select("code").distinct().select("code", F.array_join(T.dot_forms(last), "|").alias("forms"))
+
+
+@query(O.coded("select code, u in ('UNK','<UNK>','MEDICATION//UNK') or regexp_matches(u, '^(RXNORM//)?[0-9]{1,4}$') or (starts_with(u, 'NDC//') and length(regexp_replace(u, '[^0-9]', '', 'g')) < 10) as low from c"))
+def low_specificity(spark, d):
+    return A.meds(spark, d).select("code").distinct().select("code", T.low_specificity(F.col("code")).alias("low"))
+
+
+@query(O.with_ctes(O.coded, "r as (select *, row_number() over (order by n desc, code) as rank from (select code, count(*) as n from ev group by 1))", "select count(*) as matched, round(avg(rank), 6) as mean_rank, median(rank) as median_rank, min(rank) as min_rank, max(rank) as max_rank from r where code in (select code from c where category = 'MEDICATION')"))
+def consensus_rank(spark, d):
+    ev = coded(spark, d)
+    return audit.rank_stats(ev.where("category = 'MEDICATION'").select("code").distinct(), ev.groupBy("code").agg(F.count("*").alias("n")))
+
+
+@query("select l_suppkey as var_id, count(*) as n, round(avg(abs(l_quantity - l_extendedprice / 2000)), 6) as mae, round(sqrt(avg((l_quantity - l_extendedprice / 2000) ** 2)), 6) as rmse from lineitem group by 1 having count(*) >= 500")
+def eval_metrics(spark, d):
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("var_id"), F.col("l_quantity").cast("double").alias("value"), (F.col("l_extendedprice") / 2000).cast("double").alias("predicted"))
+    return audit.error_metrics(x, 500).select("var_id", "n", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"))
+
+
+@query("select p_partkey as raw_id, e.vec_id is not null as has_vector, round(coalesce(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x))), 0), 4) as norm from part left join (select * from embeddings where len(embedding) = 64 and vec_id % 2 = 0) e on e.vec_id = p_partkey")
+def embedding_fill(spark, d):
+    v = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("code"), F.col("p_partkey").alias("raw_id"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 2 = 0").select(F.col("vec_id").alias("code"), F.col("embedding").cast("array<double>").alias("vector"))
+    t = collate.embedding_table(v, e, 64)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    back = t.join(e.withColumnRenamed("code", "raw_id").withColumnRenamed("vector", "raw"), "raw_id", "left")
+    long = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
+    return back.select("raw_id", "has_vector", F.round(F.coalesce(long * norm, F.lit(0.0)), 4).alias("norm"))
+
+
+@query(O.segmented("select subject_id, window_ord, coalesce(arg_min(type_id, idx) filter (where type_id is not null), 0) as type_id from wt group by 1, 2"))
+def collator_types(spark, d):
+    return collate.window_type_by_key(segments.window_tokens(tokens(spark, d)))
+
+
+@query(O.segmented("select subject_id, count(*) filter (where type_id = 0) as unknown, count(*) filter (where n_tokens <= 2) as micro, count(*) as n from ws group by 1"))
+def unknown_windows(spark, d):
+    w = segments.windows(tokens(spark, d))
+    return w.groupBy("subject_id").agg(F.count_if(F.col("type_id") == 0).alias("unknown"), F.count_if(F.col("n_tokens") <= 2).alias("micro"), F.count("*").alias("n"))
+
+
+@query(O.coded(f"select case when category = 'MEDICATION' then case when starts_with(u, 'INFUSION') then 'INFUSION' else 'MEDICATION' end else 'PROCEDURE' end as domain, {O.MARK} as action, count(*) as n from ev where category in ('MEDICATION','PROCEDURE') and {O.MARK} is not null group by 1, 2"))
+def process_pairs(spark, d):
+    ev = coded(spark, d).where("category in ('MEDICATION','PROCEDURE')")
+    domain = F.when(F.col("category") == "MEDICATION", F.when(F.upper("code").startswith("INFUSION"), "INFUSION").otherwise("MEDICATION")).otherwise("PROCEDURE")
+    return ev.select(domain.alias("domain"), R.marker(F.col("code")).alias("action")).where("action is not null").groupBy("domain", "action").agg(F.count("*").alias("n"))
+
+
+@query("select k as key, min(t) as target from (select regexp_replace(upper(p_type), '[^A-Z0-9]', '', 'g') as k, lower(p_type) as t from part) where length(k) >= 4 group by 1 having count(distinct t) = 1")
+def crosswalk_build(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    rows = part.select(F.lit("MEDICATION").alias("category"), F.col("p_type").alias("label"), F.lower("p_type").alias("target"), F.col("p_partkey").alias("ord"))
+    return vocab.crosswalk(rows).select("key", "target")
+
+
+@query(O.coded("select code, 'RXNORM//161' as parent, count(*) as n from ev where starts_with(code, 'MEDICATION//START//') group by 1"))
+def parent_lookup(spark, d):
+    ev = coded(spark, d)
+    p = vocab.sample_parents(ev).select(F.col("key"), "parent")
+    return ev.withColumn("key", F.upper("code")).join(p, "key").groupBy("code", "parent").agg(F.count("*").alias("n"))
