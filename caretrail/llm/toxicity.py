@@ -159,13 +159,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, sample_chars:
     return fit([r.text for r in both], [r.toxic for r in both])
 
 
-def score(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
-    """docs without text, and score (0 to 1), predicted (1 if score >= 0.5) and spans:
+def score(docs: DataFrame, field: Field | None, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs, without text unless keep_text, and score (0 to 1), predicted (1 if score >= 0.5) and spans:
     start, stop, start, stop, ... of runs of tokens with a marginal of 0.5 or more, as
     byte offsets in the UTF-8 text. Without a field, score is 0. Null and empty texts
     have no tokens and get the score of that. Other columns are kept, but for those
     that bear one of the new names."""
-    left = [c for c in docs.columns if c not in ("score", "predicted", "spans", text)]
+    left = [c for c in docs.columns if c not in ("score", "predicted", "spans") and (keep_text or c != text)]
     schema = docs.select(*left).schema.add("score", "double").add("spans", T.ArrayType(T.LongType()))
 
     def run(batches):
@@ -191,5 +191,5 @@ def score(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame
                 keep = [batch.column(batch.schema.get_field_index(c)).slice(at, n) for c in left]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(value, pa.float64()), pa.array(spans, pa.list_(pa.int64()))], names=schema.names)
 
-    out = docs.select(*left, F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
+    out = docs.select(*dict.fromkeys([*left, text])).mapInArrow(run, schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
