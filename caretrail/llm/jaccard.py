@@ -164,7 +164,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold_pct: int = 80, region:
     pct = threshold_pct
     feats = saved(features(docs, k, pct), "sets")
     sized = feats.where("doc_id is not null and n > 0")
-    classes = sized.groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("rep"))
+    classes = saved(sized.groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
     # 1. shingles of two documents or more, and the documents with enough of them
     shared = meet(sized.select("doc_id", "indexed", "sig", "k"), _emit).select(F.col("key").alias("s"), F.col("owner").alias("x"), F.col("tag").alias("k"))

@@ -62,4 +62,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_training_order": op2_training_order, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op6_line_dedup": op6_line_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity}
-ORACLES: dict[str, str] = {}
+#: Words of a text in SQL: runs outside a class of characters, A-Z in lower case or not.
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_WORDS = "list_filter(string_split_regex({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": f"""with recursive d as (select doc_id, {_SPACED.format(_LOW)} as w from documents),
+ s as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+ n as (select doc_id, count(*) as n from s group by 1),
+ p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+ e as (select a, b from l union all select b, a from l),
+ r(doc_id, c) as (select doc_id, doc_id from d union select e.b, r.c from r join e on e.a = r.doc_id)
+ select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.c) as component_id from d join r using (doc_id) left join n using (doc_id) group by 1""",
+    "op3_topk": """with e as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select q.vec_id as query_id, e.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * e.v[i]))::bigint as score from e q join e on q.vec_id <> e.vec_id and len(q.v) = len(e.v) where q.vec_id % 100 = 0)
+ select query_id, rank, vec_id, score from (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from s) where rank <= 10""",
+    "op4_decontamination": f"""with d as (select doc_id, {_WORDS.format(_LOW)} as w from documents), b as (select cast(item_id as varchar) as item_id, {_WORDS.format(_LOW)} as w from benchmark),
+ q as (select distinct item_id, array_to_string(w[i:i + 12], ' ') as s, least(len(w), 13) as n from (select item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) as i from b where len(w) > 0)),
+ z as (select distinct n from q),
+ o as (select doc_id, i, z.n, array_to_string(w[i:i + z.n - 1], ' ') as s from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d) x, z where i + z.n - 1 <= len(w)),
+ m as (select doc_id, i, o.n, item_id from o join q using (s, n)),
+ h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) group by 1),
+ t as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id)), ',') as items from m group by 1)
+ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
+ from d left join h using (doc_id) left join t using (doc_id)""",
+    "op5_substring_dedup": f"""with d as (select doc_id, {_SPACED.format("coalesce(text, '')")} as w from documents),
+ x as (select doc_id, i, hash(w[i:i + 49]) as h1, md5_number(array_to_string(w[i:i + 49], ' ')) as h2 from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+ f as (select h1, h2, min(doc_id) as f from x group by 1, 2),
+ g as (select distinct doc_id, unnest(range(i, i + 50)) as p from x join f using (h1, h2) where f < doc_id),
+ k as (select doc_id, list(p) as gone from g group by 1)
+ select d.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed, sha256(array_to_string(case when gone is null then w else list_filter(w, lambda a, i: not list_contains(gone, i)) end, ' ')) as kept_sha256 from d left join k using (doc_id)""",
+}
