@@ -25,7 +25,7 @@ def measurement_ids(events: DataFrame, min_count: int) -> DataFrame:
     """code, var_id (from 1, commonest first) and n of numeric measurement codes. The
     numbering is over distinct codes, which are few."""
     k = _numeric(events).where("category = 'MEASUREMENT'").groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    return k.withColumn("var_id", F.row_number().over(W.orderBy(F.desc("n"), "code")))
+    return k.withColumn("var_id", F.row_number().over(W.orderBy(F.desc("n"), "code")).cast("long"))
 
 
 def _mapped(events: DataFrame, ids: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def policies(tokens: DataFrame, gap_h: float = 6.0) -> DataFrame:
 
 def rank_stats(chosen: DataFrame, ranked: DataFrame) -> DataFrame:
     """Where chosen(code) stand in ranked(code, n), commonest first."""
-    r = ranked.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "code")))
+    r = ranked.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "code")).cast("long"))
     m = r.join(chosen.select("code"), "code", "left_semi")
     return m.agg(F.count("*").alias("matched"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.percentile("rank", F.lit(0.5)).alias("median_rank"), F.min("rank").alias("min_rank"), F.max("rank").alias("max_rank"))
 

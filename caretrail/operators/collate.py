@@ -35,7 +35,7 @@ def overflow(windows: DataFrame, most: int) -> DataFrame:
 def compact(tokens: DataFrame) -> DataFrame:
     """kind, surface, dense_id (from 1) and n of the surfaces that occur."""
     k = tokens.groupBy("kind", "surface").agg(F.count("*").alias("n"))
-    return k.withColumn("dense_id", F.row_number().over(W.orderBy("kind", "surface")))
+    return k.withColumn("dense_id", F.row_number().over(W.orderBy("kind", "surface")).cast("long"))
 
 
 def token_ids(tokens: DataFrame, first: int = 100) -> DataFrame:
@@ -109,7 +109,7 @@ def unpack(packed: DataFrame) -> DataFrame:
 def index(events: DataFrame, splits: DataFrame, per_shard: int) -> DataFrame:
     """subject_id, shard, subject_idx, split and n: where each subject's timeline lies."""
     n = events.groupBy("subject_id").agg(F.count("*").alias("n")).withColumn("shard", F.floor(F.col("subject_id") / per_shard))
-    n = n.withColumn("subject_idx", F.row_number().over(W.partitionBy("shard").orderBy("subject_id")) - 1)
+    n = n.withColumn("subject_idx", F.row_number().over(W.partitionBy("shard").orderBy("subject_id")).cast("long") - 1)
     return n.join(splits, "subject_id", "left").select("subject_id", "shard", "subject_idx", F.coalesce("split", F.lit("<missing>")).alias("split"), "n")
 
 

@@ -45,4 +45,4 @@ def summary_tokens(events: DataFrame, anchor: DataFrame | None = None) -> DataFr
         token(F.col("height") > 0, F.lit(HEIGHT), F.col("height") * CM_PER_INCH),
         token(F.col("weight") > 0, F.lit(WEIGHT), F.col("weight") * KG_PER_LB),
     ))
-    return k.select("subject_id", F.posexplode(rows).alias("ord", "t")).select("subject_id", "ord", "t.token_id", "t.value")
+    return k.select("subject_id", F.posexplode(rows).alias("ord", "t")).select("subject_id", F.col("ord").cast("long").alias("ord"), "t.token_id", "t.value")

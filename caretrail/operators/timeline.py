@@ -74,7 +74,7 @@ def tokens(events: DataFrame) -> DataFrame:
     hooked = F.coalesce(F.col("label").isin(*C.BOUNDARY_LABELS), F.col("action").isin(*C.ACTIVE), F.lit(False))
     keep = [F.when(structural, F.col(c)).alias(c) for c in ("label", "action", "type_id", "site")] + [(structural & F.col(c)).alias(c) for c in FLAGS]
     token_category = F.when(structural, "STRUCTURAL").otherwise(F.col("category"))
-    out = out.select("subject_id", "pos", "tok_ord", F.col("tok.kind").alias("kind"), F.col("tok.surface").alias("surface"), F.col("tok.value").alias("value"), token_category.alias("category"), "raw_us", "t_us", F.when(F.col("tok_ord") == 0, F.col("gap")).otherwise(0).alias("dt_us"), (structural & hooked).alias("hook"), *keep)
+    out = out.select("subject_id", "pos", F.col("tok_ord").cast("long").alias("tok_ord"), F.col("tok.kind").alias("kind"), F.col("tok.surface").alias("surface"), F.col("tok.value").alias("value"), token_category.alias("category"), "raw_us", "t_us", F.when(F.col("tok_ord") == 0, F.col("gap")).otherwise(0).alias("dt_us"), (structural & hooked).alias("hook"), *keep)
     return out.withColumn("idx", F.row_number().over(W.partitionBy("subject_id").orderBy("pos", "tok_ord")).cast("long") - 1)
 
 

@@ -27,7 +27,7 @@ def code_counts(events: DataFrame) -> DataFrame:
 
 def numbered(codes: DataFrame, *by: str) -> DataFrame:
     """codes(category, entry) with raw_id from 1 in the order of the entry; 0 is unknown."""
-    return codes.withColumn("raw_id", F.row_number().over(W.partitionBy("category").orderBy(*(by or ("entry",)))))
+    return codes.withColumn("raw_id", F.row_number().over(W.partitionBy("category").orderBy(*(by or ("entry",)))).cast("long"))
 
 
 def resolve(events: DataFrame, vocab: DataFrame, parents: DataFrame | None = None, crosswalk: DataFrame | None = None, residual: DataFrame | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def crosswalk(concepts: DataFrame) -> DataFrame:
 def coverage_vocab(counts: DataFrame, target: float, most: int) -> DataFrame:
     """The commonest codes up to the one that reaches the target share, most at most."""
     w = W.orderBy(F.desc("n"), "code")
-    k = counts.withColumn("raw_id", F.row_number().over(w)).withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(W.partitionBy(F.lit(1))))
+    k = counts.withColumn("raw_id", F.row_number().over(w).cast("long")).withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(W.partitionBy(F.lit(1))))
     return k.where((F.col("raw_id") <= most) & ((F.col("raw_id") == 1) | (F.col("before") / F.col("total") < target))).select("code", "n", "raw_id")
 
 

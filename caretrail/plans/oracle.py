@@ -90,12 +90,12 @@ tk as (select a.subject_id, a.pos, row_number() over (partition by a.subject_id,
 H = 3_600_000_000
 BUNDLES = f""", cd0 as (select *, sum(case when category in ({quoted(C.CLINICAL)}) then 1 else 0 end) over (partition by subject_id order by idx) as cl from tk),
 cd1 as (select *, lag(idx) over w as pi, lag(t_us) over w as pt from cd0 where action in ({quoted(C.ACTIVE)}) window w as (partition by subject_id order by idx)),
-cd as (select *, sum(case when idx - pi > {C.BUNDLE_GAP_IDX} or abs(t_us - pt) > {int(C.BUNDLE_GAP_H * H)} then 1 else 0 end) over (partition by subject_id order by idx) as bundle from cd1),
+cd as (select *, cast(sum(case when idx - pi > {C.BUNDLE_GAP_IDX} or abs(t_us - pt) > {int(C.BUNDLE_GAP_H * H)} then 1 else 0 end) over (partition by subject_id order by idx) as bigint) as bundle from cd1),
 b0 as (select subject_id, bundle, min(idx) as lo, max(idx) as hi, min(t_us) as t_lo, max(t_us) as t_hi, min(cl) as c_lo, max(cl) as c_hi, bool_or(adm) as adm, bool_or(dis) as dis, bool_or(dea) as dea from cd group by 1, 2),
 b1 as (select *, case when lag(hi) over w is null or dis or dea or lo - lag(hi) over w - 1 > {C.CHAIN_TOKENS} or c_lo > lag(c_hi) over w or t_lo - lag(t_hi) over w > {int(C.CHAIN_GAP_H * H)} then 1 else 0 end as brk from b0 window w as (partition by subject_id order by bundle)),
 b2 as (select *, sum(brk) over (partition by subject_id order by bundle) as chain from b1),
 b3 as (select *, first(dis and not dea) over (partition by subject_id, chain order by bundle) as open_end, sum(case when brk = 0 and adm then 1 else 0 end) over (partition by subject_id, chain order by bundle) as nth from b2),
-b as (select *, sum(case when brk = 1 or (open_end and adm and nth = 1) then 1 else 0 end) over (partition by subject_id order by bundle) - 1 as merged from b3),
+b as (select *, cast(sum(case when brk = 1 or (open_end and adm and nth = 1) then 1 else 0 end) over (partition by subject_id order by bundle) - 1 as bigint) as merged from b3),
 mc as (select cd.*, b.merged from cd join b using (subject_id, bundle))"""
 MERGED = """, t0 as (select subject_id, merged, min(idx) as lo, max(idx) as hi, min(t_us) as t_lo, min(idx) filter (where tra) as ft, min(idx) filter (where action in ('open_next','close_open')) as fo, bool_or(action in ('close_current','close_open')) as cl from mc group by 1, 2),
 t1 as (select *, case when ft is not null or (fo is not null and cl) then 'close_open' when fo is not null then 'open_next' else 'close_current' end as bundle_action from t0),
@@ -113,9 +113,9 @@ WINDOWS = """, fl as (select subject_id, turn as idx, 1 as rank, type, site as w
 fs as (select * from fl where not preserved qualify row_number() over (partition by subject_id, idx order by rank desc) = 1),
 kp as (select distinct subject_id, idx from fl where preserved),
 wt as (select tk.*, fs.type as o_type, fs.w_site, fs.bundle_action as o_action, fs.open_us, (fs.idx is not null or tk.idx = 0) as starts, kp.idx is not null as kept,
-  sum(case when fs.idx is not null or tk.idx = 0 then 1 else 0 end) over (partition by tk.subject_id order by tk.idx) - 1 as window_ord
+  cast(sum(case when fs.idx is not null or tk.idx = 0 then 1 else 0 end) over (partition by tk.subject_id order by tk.idx) - 1 as bigint) as window_ord
  from tk left join fs on tk.subject_id = fs.subject_id and tk.idx = fs.idx left join kp on tk.subject_id = kp.subject_id and tk.idx = kp.idx),
-w0 as (select subject_id, window_ord, count(*) as n_tokens, min(idx) as lo, max(idx) as hi, min(t_us) as start_us, max(t_us) as end_us, sum(case when kept and not starts then 1 else 0 end) as n_breaks,
+w0 as (select subject_id, window_ord, count(*) as n_tokens, min(idx) as lo, max(idx) as hi, min(t_us) as start_us, max(t_us) as end_us, cast(sum(case when kept and not starts then 1 else 0 end) as bigint) as n_breaks,
   max(case when starts then o_type end) as o_type, max(case when starts then w_site end) as w_site, max(case when starts then o_action end) as opening_action, max(case when starts then open_us end) as opening_us,
   arg_min(coalesce(type_id, -1), idx) as f_type, arg_min(site, idx) filter (where site is not null) as any_site from wt group by 1, 2),
 ws as (select w0.subject_id, window_ord, case when coalesce(o_type, 0) <> 0 then o_type else greatest(f_type, 0) end as type_id, coalesce(w_site, any_site) as site, opening_action, opening_us,

@@ -380,7 +380,7 @@ def next_window_type(spark, d):
     return collate.next_types(segments.windows(tokens(spark, d)))
 
 
-@query(O.timeline("select subject_id, idx, sum(case when raw_us is distinct from prev then 1 else 0 end) over (partition by subject_id order by idx) - 1 as grp from (select *, lag(raw_us) over (partition by subject_id order by idx) as prev from tk)"))
+@query(O.timeline("select subject_id, idx, cast(sum(case when raw_us is distinct from prev then 1 else 0 end) over (partition by subject_id order by idx) - 1 as bigint) as grp from (select *, lag(raw_us) over (partition by subject_id order by idx) as prev from tk)"))
 def time_groups(spark, d):
     return segments.time_groups(tokens(spark, d)).select("subject_id", "idx", "grp")
 
@@ -432,7 +432,7 @@ def compact_vocab(spark, d):
     return collate.compact(tokens(spark, d))
 
 
-@query("select family, lo, hi, sum(hi - lo + 1) over (order by lo rows between unbounded preceding and current row) - (hi - lo + 1) as dense_offset from (values " + ", ".join(f"('{k}', {v}, {v + 99})" for k, v in C.FAMILY_OFFSETS.items()) + ") t(family, lo, hi)")
+@query("select family, lo::bigint as lo, hi::bigint as hi, (sum(hi - lo + 1) over (order by lo rows between unbounded preceding and current row) - (hi - lo + 1))::bigint as dense_offset from (values " + ", ".join(f"('{k}', {v}, {v + 99})" for k, v in C.FAMILY_OFFSETS.items()) + ") t(family, lo, hi)")
 def runtime_blocks(spark, d):
     return collate.blocks(spark, {k: (v, 100) for k, v in C.FAMILY_OFFSETS.items()})
 
