@@ -142,12 +142,13 @@ def _packed(groups: Column, most: int, target: int, tail: int) -> Column:
     return F.aggregate(groups, zero, add, finish)
 
 
-def chunks(tokens: DataFrame, most: int = C.CHUNK_MAX, smallest: int = C.CHUNK_MIN, fraction: float = C.CHUNK_FRACTION, tail: int = C.CHUNK_TAIL) -> DataFrame:
+def chunks(tokens: DataFrame, most: int = C.CHUNK_MAX, smallest: int = C.CHUNK_MIN, fraction: float = C.CHUNK_FRACTION, tail: int = C.CHUNK_TAIL, breaks: bool = True) -> DataFrame:
     """subject_id, window_ord, chunk_ord, len, from_pos: chunks of windows, packed from
-    groups of equal times so that none holds more than ``most`` tokens."""
+    groups of equal times so that none holds more than ``most`` tokens. Without breaks,
+    a transition inside a window does not end its chunk."""
     rows = time_groups(window_tokens(tokens), "window_ord", most=most)
     groups = rows.groupBy("subject_id", "window_ord", "grp").agg(F.count("*").alias("len"), F.max(F.col("brk").cast("int")).alias("brk"))
-    packs = groups.groupBy("subject_id", "window_ord").agg(F.sort_array(F.collect_list(F.struct("grp", "len", (F.col("brk") == 1).alias("brk")))).alias("g"))
+    packs = groups.groupBy("subject_id", "window_ord").agg(F.sort_array(F.collect_list(F.struct("grp", "len", ((F.col("brk") == 1) & F.lit(breaks)).alias("brk")))).alias("g"))
     target = max(smallest, int(most * fraction))
     sized = packs.select("subject_id", "window_ord", _packed(F.transform("g", lambda x: F.struct(x["len"].alias("len"), x["brk"].alias("brk"))), most, target, tail).alias("sizes"))
     out = sized.select("subject_id", "window_ord", F.posexplode("sizes").alias("chunk_ord", "len"))
@@ -155,6 +156,14 @@ def chunks(tokens: DataFrame, most: int = C.CHUNK_MAX, smallest: int = C.CHUNK_M
     return out.withColumn("from_pos", F.coalesce(before, F.lit(0)))
 
 
+def rebalanced(tokens: DataFrame, **sizes) -> DataFrame:
+    """Dense windows cut into windows of their own: subject_id, window_ord (anew), parent
+    (the window it was part of), len, from_pos."""
+    c = chunks(tokens, breaks=False, **sizes)
+    order = W.partitionBy("subject_id").orderBy("window_ord", "chunk_ord")
+    return c.select("subject_id", (F.row_number().over(order).cast("long") - 1).alias("new"), F.col("window_ord").alias("parent"), "len", "from_pos").withColumnRenamed("new", "window_ord")
+
+
 def trajectories(tokens: DataFrame, cutoff_h: float = C.CUTOFF_H) -> DataFrame:
     """Tokens' windows grouped into admission chains: subject_id, window_ord, part,
     trajectory_ord. A discharge sets a cut-off; what begins after it starts a new

@@ -558,3 +558,13 @@ def parent_lookup(spark, d):
     ev = coded(spark, d)
     p = vocab.sample_parents(ev).select(F.col("key"), "parent")
     return ev.withColumn("key", F.upper("code")).join(p, "key").groupBy("code", "parent").agg(F.count("*").alias("n"))
+
+
+@query()
+def rebalanced(spark, d):
+    return segments.rebalanced(tokens(spark, d), most=32, smallest=8, tail=4)
+
+
+@query(O.coded("select subject_id, pos, case when numeric_value is null then 0 else least(greatest(1 + floor(least(greatest((ln(1 + least(greatest(numeric_value, 1), 400)) - ln(2)) / (ln(401) - ln(2)), 0), 1) * 3)::int, 1), 4) end as dosage_bin from ev where category = 'MEDICATION'"))
+def med_attrs(spark, d):
+    return coded(spark, d).where("category = 'MEDICATION'").select("subject_id", "pos", N.bin_id(F.col("numeric_value"), "dosage").alias("dosage_bin"))

@@ -146,3 +146,35 @@ def test_trajectory_cut(spark):
     assert [(r.window_ord, r.part, r.trajectory_ord, r.n_tokens) for r in rows] == [(0, 0, 0, 2), (1, 0, 0, 1), (1, 1, 1, 1), (2, 0, 1, 2)]
     clock = {r.idx: (r.trajectory_ord, r.t_us / H) for r in S.trajectory_clock(frame(spark, [h]).withColumn("dt_us", F.lit(1))).collect()}
     assert clock[2] == (0, 40.0) and clock[3] == (1, 0.0) and clock[5] == (1, 2.0)
+
+
+def packed(groups, most, target, tail):
+    """Chunk sizes by the greedy rule, over (length, break) groups."""
+    out, cur, forced = [], 0, False
+    for n, brk in groups:
+        if cur and (brk or cur + n > most or cur >= target):
+            out.append((cur, forced))
+            cur, forced = n, brk
+        else:
+            forced = forced or (brk and cur == 0)
+            cur += n
+    if out and cur < tail and not forced and out[-1][0] + cur <= most:
+        out[-1] = (out[-1][0] + cur, out[-1][1])
+    else:
+        out.append((cur, forced))
+    return [n for n, _ in out]
+
+
+def test_chunks_like_sequential(spark, histories):
+    df = frame(spark, histories)
+    rows = S.time_groups(S.window_tokens(df), "window_ord", most=6).orderBy("subject_id", "idx").collect()
+    groups = {}
+    for r in rows:
+        g = groups.setdefault((r.subject_id, r.window_ord), {}).setdefault(r.grp, [0, False])
+        g[0] += 1
+        g[1] |= r.brk
+    got = {}
+    for r in S.chunks(df, most=6, smallest=2, fraction=0.5, tail=2).orderBy("subject_id", "window_ord", "chunk_ord").collect():
+        got.setdefault((r.subject_id, r.window_ord), []).append(r.len)
+    for k, g in groups.items():
+        assert got[k] == packed([tuple(g[i]) for i in sorted(g)], 6, 3, 2), k
