@@ -104,7 +104,20 @@ class Words:
         self.ends = np.flatnonzero(ok & (~after | cut[1:])) + 1
         #: first[i]:first[i + 1] are the words of text i.
         self.first = np.searchsorted(self.starts, bounds)
-        self.hash = range_hash((_LOWER if lower else _EXACT)[data], self.starts, self.ends, BYTE_BASE)
+        self.hash = self.hashed(self.ends, lower)
+
+    def hashed(self, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+        """Hashes of the bytes from each word's start to the given end in it, a run of
+        words at a time, so that a very long text takes no more memory than others."""
+        out = np.empty(len(self.starts), np.uint64)
+        table, i = (_LOWER if lower else _EXACT), 0
+        while i < len(out):
+            at = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.ends, at + PIECE_BYTES, "right")))
+            values = table[self.data[at : int(self.ends[j - 1])]]
+            out[i:j] = range_hash(values, self.starts[i:j] - at, ends[i:j] - at, BYTE_BASE)
+            i = j
+        return out
 
     def text(self, i: int, keep: np.ndarray | None = None) -> bytes:
         """The words of text i, or those kept, joined by one space."""

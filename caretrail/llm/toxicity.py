@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import _LOWER, BYTE_BASE, WORD_CHAR, Words, pieces, range_hash
+from .base import WORD_CHAR, Words, pieces
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5)
@@ -44,8 +44,7 @@ class Field:
 
 
 def token_features(words: Words) -> np.ndarray:
-    values = _LOWER[words.data]
-    cut = [range_hash(values, words.starts, np.minimum(words.ends, words.starts + k), BYTE_BASE) ^ np.uint64(k) for k in PREFIXES]
+    cut = [words.hashed(np.minimum(words.ends, words.starts + k)) ^ np.uint64(k) for k in PREFIXES]
     return np.stack([x % np.uint64(BUCKETS) for x in (words.hash, *cut)], axis=1).astype(np.int64)
 
 

@@ -298,3 +298,34 @@ def test_toxicity(spark):
     assert any("zyxxy" in rows[0][1].encode()[a:b].decode() for a, b in zip(hit.spans[::2], hit.spans[1::2], strict=True))
     assert toxicity.train(df, marks.limit(0)) is None
     assert {x.score for x in toxicity.score(df, None).collect()} == {0.0}
+
+
+CLASH = "doc_id long, text string, gone string, score string, x long, p long, s long, n long, k long, m long, part string, component long, slot long, found long, tokens string, _id long"
+
+
+@pytest.mark.parametrize("rows", [[], [(None,) * 16], [(1, None, *[None] * 14), (1, None, *[None] * 14), (2, "a b c d e f", "g", "s", *[1] * 6, "p", 1, 1, 1, "t", 1)]])
+def test_odd_tables(spark, rows):
+    df = spark.createDataFrame(rows, CLASH)
+    bench = spark.createDataFrame([(None, None), ("1", "a b c d e f")], "item_id string, text string")
+    marks = spark.createDataFrame([(None, None), (2, 1)], "doc_id long, toxic int")
+    n = len(rows)
+    assert jaccard.jaccard_groups(df).count() == n
+    assert substring.dedup_substrings(df).count() == n
+    assert phrases.contamination(df, bench).count() == n
+    assert lines.dedup_lines(df).count() == n
+    assert pieces.encode(df, "piece_bpe_32k.model").count() == n
+    assert pieces.count_tokens(df, "piece_bpe_32k.model").count() == n
+    assert ordering.training_order(df).count() == n
+    assert licenses.scan(df).count() == 0
+    assert toxicity.score(df, toxicity.train(df, marks)).count() == n
+    vectors = df.select(F.col("doc_id").alias("vec_id"), F.lit(None).cast("array<float>").alias("embedding"), "score")
+    assert bitsliced.search(bitsliced.build_index(vectors), vectors).count() == 0
+
+
+def test_very_long_text(spark):
+    words = [f"w{i % 5003}" for i in range(400_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:200_000])), (3, "x" * 3_000_000), (4, " ".join([*words, "more"]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(df).collect()}
+    assert got == {1: (5003, 1), 2: (5003, 1), 3: (1, 3), 4: (5004, 1)}
+    gone = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup_substrings(df).collect()}
+    assert gone == {1: (400_000, 0), 2: (200_000, 200_000), 3: (1, 0), 4: (400_001, 400_000)}
