@@ -244,8 +244,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
         known: dict[str, str] = {}  # decimal ids of a cut
         older, odd, wrong = known, {}, set()
         end = str(m.end)
-        gc.disable()  # no cycles are made; the many small tuples would set it off
         for batch, texts in _slices(batches, text):
+            gc.disable()  # no cycles are made here; the many small tuples would set it off
             if len(known) > REMEMBERED:  # what is met again moves over from the older half
                 older, known = known, {}
             cut = [m.cuts(t) for t in texts]
@@ -276,6 +276,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
                 repaired.append(sum(c in wrong for c in row) if wrong else 0)
                 if ids:
                     lists.append([int(x) for x in line.split(" ")])
+            gc.enable()  # workers are used again for other functions
             columns = [batch.column(batch.schema.get_field_index(c)) for c in left]
             columns += [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string()), pa.array(repaired, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(lists, pa.list_(pa.int32()))] if ids else []), names=schema.names)
