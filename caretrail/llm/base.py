@@ -34,13 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there, so a
-    lost executor repeats nothing before it. The files go when the session ends."""
+    lost executor repeats nothing before it. The files go when ``dropped`` is called or
+    the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing still to be computed reads."""
+    for df in tables:
+        spark = df.sparkSession
+        there = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def partitions(spark: SparkSession) -> int:

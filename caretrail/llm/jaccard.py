@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import NOT_SPACE, Words, mix, pieces, saved, shingle_sets
+from .base import NOT_SPACE, Words, dropped, mix, pieces, saved, shingle_sets
 from .components import components
 from .exchange import meet
 
@@ -184,14 +184,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold_pct: int = 80, region:
     dist = F.lit(1.0) - F.col("both") / (F.col("n_x") + F.col("n_p") - F.col("both"))
     far = saved(distances(part.where("x <> p"), texts, k).withColumn("dist", dist), "distances")
     links = far.where(linked).select(F.col("x").alias("a"), F.col("p").alias("b"))
-    groups = saved(components(links), "groups")
+    groups = components(links)
 
     # 4. regions with members that are not connected yet
     member = far.select("x", "p", "dist").union(part.select("p").distinct().select(F.col("p").alias("x"), "p", F.lit(0.0)))
     member = member.join(groups.select(F.col("node").alias("x"), "component"), "x", "left").select(F.col("p").cast("string").alias("part"), "x", "dist", F.coalesce("component", "x").alias("comp"))
     size = lambda m: m.groupBy("part").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     open_ = saved(member.join(size(member).select("part", "m"), "part"), "open")
-    leaves, more = [], []
+    leaves, more, used = [], [], [rows, part, texts, far, open_]
     for level in range(depth + 1):
         big = open_.where(F.col("m") > region)
         leaves.append(open_.where(F.col("m") <= region).select("part", "x", "dist", "comp"))
@@ -211,6 +211,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold_pct: int = 80, region:
         leaves.append(_blocks(big.join(grown, "part", "left_semi"), region))
         sub = sub.join(grown, "part", "left_anti").select(F.concat_ws("/", "part", "p").alias("part"), "x", "dist", "comp")
         open_ = saved(sub.join(size(sub).select("part", "m"), "part"), "open")
+        used += [near, open_]
     last = leaves[0]
     for leaf in leaves[1:]:
         last = last.union(leaf)
@@ -221,6 +222,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold_pct: int = 80, region:
     for found in [same, last.groupBy("part").applyInPandas(lambda g: _joined(g, k, pct), "a long, b long"), *more]:
         links = links.union(found)
     final = components(links)
+    dropped(*used)
 
     whole = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "sig2", "n", F.coalesce("component", "rep").alias("component"))
     out = feats.select("doc_id", "n", "sig", "sig2").join(whole, ["sig", "sig2", "n"], "left")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import NOT_SPACE, Words, pieces, saved
+from .base import NOT_SPACE, Words, dropped, pieces, saved
 from .exchange import meet
 
 #: A perfect difference set (fixed values): all of 1..30 are differences modulo 31.
@@ -123,6 +123,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, period: int = PERIOD) ->
     gone = meet(some.select("doc_id", "text", "anchors"), windows, later=True)
     gone = gone.groupBy("owner").agg(F.collect_set("tag").alias("starts")).withColumnRenamed("owner", "doc_id")
     cut = saved(some.select("doc_id", "text").join(gone, "doc_id"), "cut")
+    dropped(some)
     rest = docs.join(cut.select("doc_id"), "doc_id", "left_anti").withColumn("starts", F.lit(None).cast("array<long>"))
     return _kept(cut.union(rest), window)
 
