@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
+    for record in _records:
+        record.append(out)
     return out
 
 
+_records: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded():
+    """Collects the tables that are saved meanwhile."""
+    _records.append(tables := [])
+    try:
+        yield tables
+    finally:
+        _records[:] = [r for r in _records if r is not tables]
+
+
+def unread(tables: list[DataFrame], docs: DataFrame) -> list[DataFrame]:
+    """Those of some saved tables that the plan of docs does not read."""
+    files = docs.inputFiles()
+    return [t for t in tables if not any(t.scratch.rsplit("/", 1)[1] in f for f in files)]
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes saved tables that nothing still to be computed reads."""
     for df in tables:
