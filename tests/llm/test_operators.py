@@ -221,6 +221,36 @@ def test_line_groups_like_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == [find(i) != i for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("small", [64, 2])
+def test_near_lines_by_edit_distance_alone(spark, monkeypatch, small):
+    monkeypatch.setattr(lines, "SMALL", small)
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    texts = []
+    for n in [5, 6, 9, 10, 14, 15, 16, 18, 19, 20, 24, 25, 40, 60] * 3:
+        w = [r.choice(vocabulary) for _ in range(n)]
+        for _ in range(5):
+            c = list(w)
+            for _ in range(r.randint(0, n // 5 + 1)):
+                k = r.randrange(len(c))
+                c[k : k + r.randint(0, 1)] = [r.choice(vocabulary) for _ in range(r.randint(0, 1))]
+            texts.append(" ".join(c))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if min(len(texts[i].split()), len(texts[j].split())) >= 5 and lines.alike(texts[i], texts[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {x.doc_id: bool(x.n_removed) for x in lines.dedup_lines(docs(spark, texts), near=None).collect()}
+    assert [got[i] for i in range(len(texts))] == [find(i) != i for i in range(len(texts))]
+
+
 def test_edit_distance():
     r = random.Random(2)
     for _ in range(300):
