@@ -36,7 +36,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), near=None)
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), near=None, short=True)
     return out.select("doc_id", "n_lines", "n_removed", pieces.sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 

@@ -221,6 +221,12 @@ def test_line_groups_like_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == [find(i) != i for i in range(len(texts))]
 
 
+def test_short_lines_that_repeat_exactly(spark):
+    texts = ["short line\none\nshort  LINE", "one\n中文没有空格的一行", "中文没有空格的一行\nshort lines\n\n"]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(docs(spark, texts), near=None, short=True).collect()}
+    assert got == {0: ("short line\none", 1), 1: ("中文没有空格的一行", 1), 2: ("short lines\n\n", 1)}
+
+
 @pytest.mark.parametrize("small", [64, 2])
 def test_near_lines_by_edit_distance_alone(spark, monkeypatch, small):
     monkeypatch.setattr(lines, "SMALL", small)
