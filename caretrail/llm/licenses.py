@@ -2,7 +2,8 @@
 
 Texts are cut into overlapping windows, as wide as twice a template and half
 overlapping, so that some window holds any notice whole. Windows and templates are sets
-of k-word shingles. MinHash bands of the windows are joined with those of the templates;
+of k-word shingles; a template of fewer words is one shingle of all of them, and its
+windows are cut into shingles of as many. MinHash bands of the windows are joined with those of the templates;
 a window that holds a template of length L has a Jaccard similarity of about 1/3 or
 more to it, so that ``bands`` bands of one hash miss it with a probability of
 (2/3) ** bands (4e-9 for 48). The retrieved templates are verified exactly: the share of
@@ -28,6 +29,7 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "All-rights-reserved": "All rights reserved",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
@@ -38,7 +40,12 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _WORD), lambda x: x != "")
 
 
-def _shingles(words: Column, k: int) -> Column:
+def _k(length: Column, k: int) -> Column:
+    """Words of a shingle of a template of length words."""
+    return F.least(length, F.lit(k))
+
+
+def _shingles(words: Column, k: Column) -> Column:
     """The distinct k-word shingles of an array of at least k words."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " ")))
 
@@ -77,10 +84,12 @@ def _any_contains(parts: Column, anchor: str) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str], k: int) -> DataFrame:
-    """license, its number of words and its shingles. A template needs k words."""
+    """license, its number of words and its shingles. A template needs a word."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, body string")
-    rows = rows.withColumn("words", _words(F.col("body"))).where(F.size("words") >= k)
-    return rows.select("license", F.size("words").alias("length"), _shingles(F.col("words"), k).alias("shingles"))
+    rows = rows.withColumn("words", _words(F.col("body"))).withColumn("length", F.size("words"))
+    if empty := [r.license for r in rows.where("length < 1").select("license").collect()]:
+        raise ValueError(f"templates without words: {empty}")
+    return rows.select("license", "length", _shingles(F.col("words"), _k(F.col("length"), k)).alias("shingles"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, percent: int = 80, bands: int = 48) -> DataFrame:
@@ -88,8 +97,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, p
     hold, in how many windows, and how many of its total shingles the best one has.
 
     Words are runs of letters, digits and non-ASCII characters in lower case. A window
-    counts if 100 * found >= percent * total. Null and empty texts and those of fewer
-    than k words hold none. templates is a bounded list (its text goes into the plan).
+    counts if 100 * found >= percent * total. Null and empty texts hold none. templates is a bounded list (its text goes into the plan).
     Rows that repeat a doc_id are counted together, those with a null one as well; other
     columns are not read.
     """
@@ -99,11 +107,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, p
     lengths = sorted({r.length for r in known.select("length").collect()})
     hint = "(?iu)" + "|".join(anchors)
     some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike(hint))
-    some = some.select("doc_id", _words(F.col("text")).alias("words")).where(F.size("words") >= k)
+    some = some.select("doc_id", _words(F.col("text")).alias("words"))
     starts = [_windows(F.size("words"), n) for n in lengths]
     cut = some.select("doc_id", "words", F.explode(F.concat(*starts)).alias("at")).select("doc_id", "at.length", "at.start", F.slice("words", F.col("at.start") + 1, 2 * F.col("at.length")).alias("part"))
     hints = reduce(lambda a, b: a | b, [_any_contains(F.col("part"), a) for a in anchors], F.lit(False))
-    cut = cut.where((F.size("part") >= k) & hints).select("doc_id", "length", "start", _shingles(F.col("part"), k).alias("shingles"))
+    size = _k(F.col("length"), k)
+    cut = cut.where((F.size("part") >= size) & hints).select("doc_id", "length", "start", _shingles(F.col("part"), size).alias("shingles"))
     keyed = lambda df, *keep: df.select(*keep, "length", "shingles", F.posexplode(_bands(F.col("shingles"), bands)).alias("band", "least"))
     mine = keyed(known.withColumn("start", F.lit(0)), "license").select("license", "length", F.col("shingles").alias("template"), "band", "least")
     met = keyed(cut, "doc_id", "start").join(F.broadcast(mine), ["length", "band", "least"])

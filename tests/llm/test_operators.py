@@ -294,6 +294,20 @@ def test_license_scan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_each_license_template_and_short_ones(spark):
+    filler = " ".join(f"word{i} filling" for i in range(40))
+    names = sorted(licenses.TEMPLATES)
+    texts = [x for n in names for x in (licenses.TEMPLATES[n] + ".", f"{filler}\n{licenses.TEMPLATES[n].upper()} {filler}")]
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs(spark, texts)).collect()}
+    assert "All-rights-reserved" in names and got == {(i, names[i // 2]) for i in range(len(texts))}
+    own = {"spdx": "SPDX-License-Identifier: X11", "one": "unlicensed", "long": "one two three four five six seven"}
+    texts = ["unlicensed", f"{filler} SPDX-License-Identifier: X11", "spdx license", "all rights", f"one two three four five six seven {filler}", ""]
+    got = {(r.doc_id, r.license, r.found, r.total) for r in licenses.scan(docs(spark, texts), own).collect()}
+    assert got == {(0, "one", 1, 1), (1, "spdx", 1, 1), (4, "long", 3, 3)}
+    with pytest.raises(ValueError):
+        licenses.scan(docs(spark, texts), {"none": "..."})
+
+
 def test_marginals_like_brute_force():
     r = np.random.default_rng(4)
     unary, first, step = r.normal(0, 2, 9), np.array([0, 4, 4, 9]), r.normal(0, 1, (2, 2))
