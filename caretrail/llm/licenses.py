@@ -3,10 +3,11 @@
 Texts are cut into overlapping windows, as wide as twice a template and half
 overlapping, so that some window holds any notice whole. Windows and templates are sets
 of k-word shingles; a template of fewer words is one shingle of all of them, and its
-windows are cut into shingles of as many. MinHash bands of the windows are joined with those of the templates;
-a window that holds a template of length L has a Jaccard similarity of about 1/3 or
-more to it, so that ``bands`` bands of one hash miss it with a probability of
-(2/3) ** bands (4e-9 for 48). The retrieved templates are verified exactly: the share of
+windows are cut into shingles of as many. MinHash bands of the windows are joined with those of the templates.
+The least Jaccard similarity j of a template to a window that holds the asked share of
+it follows from its length (1/6 for five words, which make one shingle of six), and
+``bands`` bands of one hash miss it with a probability of (1 - j) ** bands. Each length
+has as many bands as bring that to MISS or less (see ``_needed``). The retrieved templates are verified exactly: the share of
 their shingles in the window must reach ``percent``.
 
 A window with the asked share of a template's shingles holds one of a few words that
@@ -15,6 +16,7 @@ these have (see ``_anchors``). So texts and windows without any are left out fir
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,9 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
+#: Most that the probability of missing a window that counts may be.
+MISS = 4e-9
+
 _WORD = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
 
 
@@ -50,13 +55,17 @@ def _shingles(words: Column, k: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " ")))
 
 
-def _bands(shingles: Column, bands: int) -> Column:
-    """The smallest hash of a set for each of the seeds."""
+def _needed(total: int, length: int, k: int, percent: int) -> int:
+    """Bands for a template of length words and total distinct shingles: a window has at
+    most 2 * length + 1 - k of them, k the words of a shingle."""
+    found = max(1, -(-total * percent // 100))
+    alike = found / (total + max(2 * length + 1 - k, found) - found)
+    return 1 if alike >= 1 else math.ceil(math.log(MISS) / math.log(1 - alike))
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(seed))))
 
-    return F.array(*[least(b) for b in range(bands)])
+def _bands(shingles: Column, bands: Column) -> Column:
+    """The smallest hash of a set for each of the seeds."""
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
 
 
 def _windows(size: Column, length: int) -> Column:
@@ -99,12 +108,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, p
     Words are runs of letters, digits and non-ASCII characters in lower case. A window
     counts if 100 * found >= percent * total. Null and empty texts hold none. templates is a bounded list (its text goes into the plan).
     Rows that repeat a doc_id are counted together, those with a null one as well; other
-    columns are not read.
+    columns are not read. bands is the least number of bands.
     """
     spark = docs.sparkSession
     known = template_table(spark, templates or TEMPLATES, k)
     anchors = _anchors([r.shingles for r in known.select("shingles").collect()], percent)
-    lengths = sorted({r.length for r in known.select("length").collect()})
+    needed: dict[int, int] = {}
+    for r in known.select("length", F.size("shingles").alias("total")).collect():
+        needed[r.length] = max(bands, needed.get(r.length, 0), _needed(r.total, r.length, min(r.length, k), percent))
+    lengths = sorted(needed)
+    seeds = F.element_at(F.create_map(*[F.lit(x) for pair in needed.items() for x in pair]), F.col("length"))
     hint = "(?iu)" + "|".join(anchors)
     some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike(hint))
     some = some.select("doc_id", _words(F.col("text")).alias("words"))
@@ -113,7 +126,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, p
     hints = reduce(lambda a, b: a | b, [_any_contains(F.col("part"), a) for a in anchors], F.lit(False))
     size = _k(F.col("length"), k)
     cut = cut.where((F.size("part") >= size) & hints).select("doc_id", "length", "start", _shingles(F.col("part"), size).alias("shingles"))
-    keyed = lambda df, *keep: df.select(*keep, "length", "shingles", F.posexplode(_bands(F.col("shingles"), bands)).alias("band", "least"))
+    keyed = lambda df, *keep: df.select(*keep, "length", "shingles", F.posexplode(_bands(F.col("shingles"), seeds)).alias("band", "least"))
     mine = keyed(known.withColumn("start", F.lit(0)), "license").select("license", "length", F.col("shingles").alias("template"), "band", "least")
     met = keyed(cut, "doc_id", "start").join(F.broadcast(mine), ["length", "band", "least"])
     found = F.size(F.array_intersect("shingles", "template"))

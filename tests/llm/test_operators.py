@@ -308,6 +308,13 @@ def test_each_license_template_and_short_ones(spark):
         licenses.scan(docs(spark, texts), {"none": "..."})
 
 
+def test_license_bands_suffice_for_short_templates(spark):
+    assert licenses._needed(1, 5, 5, 80) >= 107 and (5 / 6) ** licenses._needed(1, 5, 5, 80) <= licenses.MISS
+    # one band alone would miss most of these windows
+    texts = [f"a{i} b{i} c{i} d{i} e{i} released under the mit license f{i} g{i} h{i} i{i} j{i}" for i in range(200)]
+    assert licenses.scan(docs(spark, texts), {"MIT": licenses.TEMPLATES["MIT"]}, bands=1).count() == 200
+
+
 def test_marginals_like_brute_force():
     r = np.random.default_rng(4)
     unary, first, step = r.normal(0, 2, 9), np.array([0, 4, 4, 9]), r.normal(0, 1, (2, 2))
