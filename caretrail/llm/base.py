@@ -39,7 +39,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     out = spark.read.schema(df.schema).parquet(path)
@@ -76,6 +76,12 @@ def dropped(*tables: DataFrame) -> None:
         there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of earlier plans: Spark deletes them once the driver's
+    collector has taken the plan they belong to."""
+    spark._jvm.java.lang.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
