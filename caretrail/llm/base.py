@@ -62,12 +62,6 @@ def recorded():
         _records[:] = [r for r in _records if r is not tables]
 
 
-def unread(tables: list[DataFrame], docs: DataFrame) -> list[DataFrame]:
-    """Those of some saved tables that the plan of docs does not read."""
-    files = docs.inputFiles()
-    return [t for t in tables if not any(t.scratch.rsplit("/", 1)[1] in f for f in files)]
-
-
 def dropped(*tables: DataFrame) -> None:
     """Deletes saved tables that nothing still to be computed reads."""
     for df in tables:

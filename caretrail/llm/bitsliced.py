@@ -22,6 +22,8 @@ from .base import saved
 
 #: Rows of a block, and queries that go to a block together.
 ROWS, QUERIES = 8192, 64
+#: Integers are held to this much either way, and scores to what a long holds.
+LARGEST, LONG = 1 << 62, (1 << 63) - 1
 
 
 def _bitmap(bits: np.ndarray) -> np.ndarray:
@@ -61,8 +63,6 @@ def _scores(slices: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, int]:
     high = int(size.max()).bit_length() if dims else 0
     narrow = bits + int(dims).bit_length() + 1
     width = narrow + high + 1
-    if width > 62:
-        raise ValueError("components are too large for 64-bit scores")
     flipped = {j: ~slices[j] for j in np.flatnonzero(query < 0).tolist()}
     total = [np.zeros((width, words), np.uint64)] * 2
     for b in range(high - 1, -1, -1):
@@ -95,6 +95,27 @@ def _top(total: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([sure, numbers(equal)[: max(0, k - len(sure))]])
 
 
+def _fits(slices: np.ndarray, low: np.ndarray, query: np.ndarray) -> bool:
+    """Whether all sums over these slices stay within 62 bits."""
+    dims, bits, _ = slices.shape
+    high = max(int(query.max()), -int(query.min())).bit_length()
+    reach = max(bits, max(int(low.max()), -int(low.min())).bit_length())
+    return reach + high + dims.bit_length() + 2 <= 62
+
+
+def _large(slices: np.ndarray, low: np.ndarray, query: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same top rows and their scores with integers of any size: for the few blocks
+    and queries with components beyond what the slices' sums can hold."""
+    bits = np.unpackbits(slices.view(np.uint8), axis=-1, bitorder="little")
+    keep = np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little"))
+    score = np.zeros(len(keep), object)
+    for j, (q, base) in enumerate(zip(query.tolist(), low.tolist(), strict=True)):
+        value = sum((bits[j, b, keep].astype(object) << b for b in range(bits.shape[1])), np.zeros(len(keep), object))
+        score += (value + base) * q
+    order = sorted(range(len(keep)), key=lambda i: (-max(-LONG - 1, min(LONG, score[i])), i))[:k]
+    return keep[order], np.array([max(-LONG - 1, min(LONG, score[i])) for i in order], np.int64)
+
+
 def usable(column: str) -> F.Column:
     return F.col(column).isNotNull() & (F.size(column) > 0) & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
@@ -111,11 +132,11 @@ def build_index(vectors: DataFrame, scale: int = 1024) -> DataFrame:
         ids = rows["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         flat = rows["embedding"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        value = np.floor(flat * scale).astype(np.int64)[order]
+        value = np.clip(np.floor(flat * float(scale)), -float(LARGEST), float(LARGEST)).astype(np.int64)[order]
         low = value.min(axis=0)
-        value -= low
+        value = value.view(np.uint64) - low.view(np.uint64)
         bits = max(1, int(value.max()).bit_length())
-        slices = np.stack([_bitmap((value >> b & 1).T.astype(bool)) for b in range(bits)], axis=1)
+        slices = np.stack([_bitmap((value >> np.uint64(b) & np.uint64(1)).T.astype(bool)) for b in range(bits)], axis=1)
         return pa.table({"dims": pa.array([flat.shape[1]], pa.int32()), "block": rows["block"][:1], "ids": pa.array([ids[order].tolist()], pa.list_(pa.int64())), "low": pa.array([low.tolist()], pa.list_(pa.int64())), "bits": pa.array([bits], pa.int32()), "slices": pa.array([slices.tobytes()], pa.binary())})
 
     made = blocks.groupBy("dims", "block").applyInArrow(build, "dims int, block int, ids array<long>, low array<long>, bits int, slices binary")
@@ -129,10 +150,13 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024)
     queries(vec_id, embedding) are a stated query set: they go to all blocks, QUERIES at
     a time. Vectors of queries and index that are null, empty, or hold a null or a
     non-finite component take no part; vectors of different lengths don't meet. Rows
-    that repeat a vec_id each count as a row.
+    that repeat a vec_id each count as a row, though none is a candidate of a query of that
+    id. Integers beyond 2**62 either way count as that much; sums are exact, and scores
+    beyond a long count, and rank, as the largest or smallest one. Other columns are not
+    read; empty tables give an empty result.
     """
     good = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable("embedding") & F.col("vec_id").isNotNull())
-    q = good.select("vec_id", F.size("embedding").alias("dims"), F.transform("embedding", lambda x: F.floor(x * F.lit(float(scale)))).alias("q"))
+    q = good.select("vec_id", F.size("embedding").alias("dims"), F.transform("embedding", lambda x: F.floor(F.least(F.greatest(x * F.lit(float(scale)), F.lit(-float(LARGEST))), F.lit(float(LARGEST))))).alias("q"))
     parts = max(1, -(-q.count() // QUERIES))
     q = q.groupBy("dims", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("vec_id", "q")).alias("queries"))
     where = index.select("dims", "block").distinct()
@@ -148,9 +172,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024)
                 out = []
                 for one in row["queries"].as_py():
                     query = np.array(one["q"], np.int64)
+                    others = everything & ~_bitmap(ids == one["vec_id"])
+                    if not _fits(slices, low, query):
+                        top, score = _large(slices, low, query, others, k)
+                        out += zip([one["vec_id"]] * len(top), ids[top].tolist(), score.tolist(), strict=True)
+                        continue
                     total, add = _scores(slices, query)
                     add += int((query * low).sum())
-                    top = _top(total, everything & ~_bitmap(ids == one["vec_id"]), k)
+                    top = _top(total, others, k)
                     word, bit = top // 64, (top % 64).astype(np.uint64)
                     score = sum(((total[i][word] >> bit & np.uint64(1)).astype(np.int64) << i for i in range(len(total))), np.zeros(len(top), np.int64)) + add
                     out += zip([one["vec_id"]] * len(top), ids[top].tolist(), score.tolist(), strict=True)

@@ -173,10 +173,67 @@ def test_training_order(spark, corpus):
     assert ordering.training_order(df.limit(0)).count() == 0
 
 
+def permuted(x, n, key):
+    """The slot of number x among n, with plain integers."""
+    half, top = max(1, -(-max(n - 1, 1).bit_length() // 2)), (1 << 64) - 1
+    while True:
+        left, right = x >> half, x & ((1 << half) - 1)
+        for k in ordering._round_keys(key):
+            m = (right + k) * 0x9E3779B97F4A7C15 & top
+            m = (m ^ m >> 29) * 0xBF58476D1CE4E5B9 & top
+            left, right = right, left ^ m >> (64 - half)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_slots_like_plain_integers(spark, corpus):
+    length, want, number = 64, {}, 0
+    sizes = [len((t or "").encode()) // length + 1 for t in corpus]
+    for d, size in enumerate(sizes):
+        for k in range(size):
+            want[d, k] = permuted(number, sum(sizes), 17)
+            number += 1
+    got = {(r.doc_id, r.seq): r.slot for r in ordering.training_order(docs(spark, corpus), length=length).collect()}
+    assert got == want
+
+
 def test_shards_resume(spark, corpus, tmp_path):
-    order = ordering.training_order(docs(spark, corpus), length=64, slots_per_shard=8)
-    ordering.write_shards(order, str(tmp_path / "s"))
-    assert [r.slot for r in ordering.read_from(spark, str(tmp_path / "s"), 13, 8).collect()] == list(range(13, order.count()))
+    df = docs(spark, corpus).union(spark.createDataFrame([(None, "x", 1, "")], EXTRA))
+    order = ordering.training_order(df, length=64, slots_per_shard=8)
+    want = {r.slot: (r.doc_id, r.seq, r.n_ids, bytes(r.payload)) for r in order.collect()}
+    path, stride = str(tmp_path / "s"), 24 + 128
+    for _ in range(2):  # a repeated run leaves the same files
+        assert ordering.write_shards(order, path).agg(F.sum("slots")).first()[0] == len(want)
+    for s, (_, _, _, payload) in want.items():
+        with open(f"{path}/{s // 8}.bin", "rb") as f:
+            f.seek(s % 8 * stride + 24)
+            assert f.read(128) == payload
+    for at in (0, 13, 16, len(want) - 1):
+        rows = ordering.read_from(spark, path, at, 8).collect()
+        assert [r.slot for r in rows] == list(range(at, len(want)))
+        assert all(want[r.slot] == (r.doc_id, r.seq, r.n_ids, bytes(r.payload)) for r in rows)
+
+
+def test_training_order_of_token_ids(spark):
+    rows = [(1, [5, 0, 65534]), (2, None), (3, []), (4, list(range(300)))]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumn("text", F.lit("x"))
+    back = {}
+    for r in sorted(ordering.training_order(df, length=16, ids="ids").collect(), key=lambda r: r.seq):
+        back.setdefault(r.doc_id, []).extend(np.frombuffer(r.payload, "<u2")[: r.n_ids].tolist())
+    assert back == {d: [*(x + 1 for x in ids or []), 0] for d, ids in rows}
+
+
+def test_topk_with_large_components(spark):
+    vectors = [[1e15, 0.5], [-1e15, 0.25], [1e30, 1.0], [-1e30, -1.0], [0.5, 0.5], [1.0, 2.0], [3e9, -3e9]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    ints = [[max(-(1 << 62), min(1 << 62, int(np.floor(1024 * x)))) for x in v] for v in vectors]
+    got = sorted(tuple(r) for r in bitsliced.search(bitsliced.build_index(df), df, k=3).select("query_id", "rank", "vec_id", "score").collect())
+    want = []
+    for q, a in enumerate(ints):
+        score = {j: max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b, strict=True)))) for j, b in enumerate(ints) if j != q}
+        want += [(q, n + 1, j, score[j]) for n, j in enumerate(sorted(score, key=lambda j: (-score[j], j))[:3])]
+    assert got == want
 
 
 def test_line_dedup(spark):
