@@ -54,7 +54,9 @@ def pack(codes: Column, base: int) -> Column:
 
 
 def unpack(packed: Column, base: int, n: int) -> Column:
-    return F.array(*[F.floor(packed / base**i).cast("long") % base for i in range(n)])
+    """The digits of a packed number that fits a long, by whole-number division."""
+    digit = lambda i: F.call_function("div", packed, F.lit(base**i)) % base if base**i < 1 << 63 else F.lit(0).cast("long")
+    return F.array(*[digit(i).cast("long") for i in range(n)])
 
 
 def hash_lane(text: Column, buckets: int) -> Column:

@@ -9,6 +9,11 @@ from .. import config as C
 from .routing import normal, starts_any
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parts(code: Column) -> Column:
     return F.transform(F.split(code, "//"), lambda x: F.trim(x))
 
@@ -69,8 +74,8 @@ def diagnosis_candidates(code: Column) -> Column:
     s = F.upper(code)
     last = F.element_at(F.split(s, "//"), -1)
     found = F.when(starts_any(s, ("DIAGNOSIS//ICD//9//", "DIAGNOSIS//ICD//10//")), last).otherwise(icd(s))
-    system = F.when(F.substring(found, 1, 1).rlike("[A-Z]"), "ICD10CM").otherwise("ICD9CM")
-    return F.when(F.coalesce(found, F.lit("")) == "", _nothing()).otherwise(_spellings(system, found))
+    system = lambda x: F.when(F.substring(x, 1, 1).rlike("[A-Z]"), "ICD10CM").otherwise("ICD9CM")
+    return bound(found, lambda x: F.when(F.coalesce(x, F.lit("")) == "", _nothing()).otherwise(_spellings(system(x), x)))
 
 
 def _prefixed(system: str, *forms: Column) -> Column:
@@ -130,23 +135,24 @@ def ndc(code: Column) -> Column:
 
 def medication_candidates(code: Column) -> Column:
     """Spellings to look a medication up by, in order; the code itself is the last."""
-    s, m = F.upper(code), medication_parts(code)
-    entity, domain, action = m["entity"], m["domain"], m["action"]
 
     def coded(text):
         rx, nd = _found(text, r"RXNORM\W*([0-9]{3,9})"), _found(text, r"NDC\W*([0-9]{4,5}-?[0-9]{3,4}-?[0-9]{1,2})")
         return F.concat(F.when(rx.isNotNull(), _prefixed("RXNORM", rx)).otherwise(_nothing()), F.when(nd.isNotNull(), _prefixed("NDC", nd, ndc(nd))).otherwise(_nothing()))
 
-    explicit = F.concat(coded(s), F.when(entity.isNotNull(), coded(entity)).otherwise(_nothing()))
-    number = F.coalesce(_found(entity, r"\b([0-9]{3,11})\b"), _found(s, r"\b([0-9]{3,11})\b"))
-    numeric = F.when((F.size(explicit) == 0) & number.isNotNull(), _prefixed("RXNORM", number)).otherwise(_nothing())
-    named = (
-        F.when(entity.isNull(), _nothing())
-        .when(domain == "MEDICATION", F.array_compact(F.array(F.concat(F.lit("MEDICATION//"), entity), F.when(action.isNotNull(), F.concat(F.lit("MEDICATION//"), entity, F.lit("//"), action)), entity)))
-        .when(domain == "INFUSION", F.array(F.concat(F.lit("INFUSION//"), entity), entity))
-        .otherwise(F.array(entity))
-    )
-    return F.when(code.isNull(), _nothing()).otherwise(F.array_distinct(F.concat(explicit, numeric, named, F.array(code))))
+    def spelled(m):
+        s, entity, domain, action = F.upper(code), m["entity"], m["domain"], m["action"]
+        number = F.coalesce(_found(entity, r"\b([0-9]{3,11})\b"), _found(s, r"\b([0-9]{3,11})\b"))
+        named = (
+            F.when(entity.isNull(), _nothing())
+            .when(domain == "MEDICATION", F.array_compact(F.array(F.concat(F.lit("MEDICATION//"), entity), F.when(action.isNotNull(), F.concat(F.lit("MEDICATION//"), entity, F.lit("//"), action)), entity)))
+            .when(domain == "INFUSION", F.array(F.concat(F.lit("INFUSION//"), entity), entity))
+            .otherwise(F.array(entity))
+        )
+        explicit = F.concat(coded(s), F.when(entity.isNotNull(), coded(entity)).otherwise(_nothing()))
+        return bound(explicit, lambda e: F.concat(F.when((F.size(e) == 0) & number.isNotNull(), _prefixed("RXNORM", number)).otherwise(e), named, F.array(code)))
+
+    return F.when(code.isNull(), _nothing()).otherwise(F.array_distinct(bound(medication_parts(code), spelled)))
 
 
 def candidates(code: Column, category: Column) -> Column:

@@ -30,14 +30,15 @@ def numbered(codes: DataFrame, *by: str) -> DataFrame:
     return codes.withColumn("raw_id", F.row_number().over(W.partitionBy("category").orderBy(*(by or ("entry",)))).cast("long"))
 
 
-def resolve(events: DataFrame, vocab: DataFrame, parents: DataFrame | None = None, crosswalk: DataFrame | None = None, residual: DataFrame | None = None) -> DataFrame:
+def resolve(events: DataFrame, vocab: DataFrame, parents: DataFrame | None = None, crosswalk: DataFrame | None = None, residual: DataFrame | None = None, drop_unknowns: bool = False, hashed: bool = True) -> DataFrame:
     """category, code, n, stage, hit and gid of each distinct code.
 
     Candidate spellings are listed with their stage and place; the first that the
     vocabulary(category, entry, raw_id) holds decides. parents(category, key, parent)
     and crosswalk(category, key, target) add spellings; a name that is the lexical key
     of one entry only stands for it; residual(category, entry, raw_id) comes after; the
-    rest fall into hash buckets behind it.
+    rest fall into hash buckets behind it, or, if not hashed, get the family's unknown id
+    (stage unk). With drop_unknowns what no table holds is left out.
     """
     codes = code_counts(events)
     up = F.upper("code")
@@ -64,7 +65,9 @@ def resolve(events: DataFrame, vocab: DataFrame, parents: DataFrame | None = Non
     names = F.array(*map(F.lit, STAGES))
     key = F.get(T.residual_candidates(F.col("code"), F.col("base"), F.col("category")), F.lit(0))
     tail = F.crc32(F.encode(key, "UTF-8")) % C.RESIDUAL_BUCKETS + 1 + _offset("_residual")
-    out = codes.join(best, ["category", "code"], "left")
+    out = codes.join(best, ["category", "code"], "inner" if drop_unknowns else "left")
+    if not hashed:
+        return out.select("category", "code", "n", F.coalesce(F.get(names, F.col("b.stage_no")), F.lit("unk")).alias("stage"), "b.entry", F.coalesce("b.gid", _offset("")).alias("gid")).withColumnRenamed("entry", "hit")
     return out.select("category", "code", "n", F.coalesce(F.get(names, F.col("b.stage_no")), F.lit(STAGES[-1])).alias("stage"), F.coalesce("b.entry", key).alias("hit"), F.coalesce(F.col("b.gid"), tail).alias("gid"))
 
 
@@ -133,11 +136,20 @@ def budget(counts: DataFrame, size: int, floor: int) -> DataFrame:
 # --- small tables for the shared test data ---
 
 
+#: Base codes that stay out of the vocabulary, so that each later stage has its code, and
+#: entries that stand for them.
+LEFT_OUT = ("ICD10CM//A12.3", "DIAGNOSIS//ICD//9//V5867", "MEDICATION//Acetaminophen//Administered", "MEDICATION//Hydromorphone (Dilaudid)//Administered", "PROCEDURE//CT scan")
+ADDED = (("DIAGNOSIS", "ICD10CM//A123"), ("DIAGNOSIS", "TEXT//diagnosis icd 9 v5867"), ("MEDICATION", "RXNORM//161"), ("PROCEDURE", "PROCEDURE//CPT//99213"))
+
+
 def sample_vocab(events: DataFrame) -> DataFrame:
-    """Two in three of the base codes, in order: every stage has something to do."""
+    """Two in three of the base codes, in order, without LEFT_OUT and the started drugs,
+    and ADDED: every stage has something to do, at every size."""
     bases = code_counts(events).select("category", F.col("base").alias("entry")).distinct()
+    bases = bases.where(~F.col("entry").isin(*LEFT_OUT) & ~F.col("entry").startswith("MEDICATION//DRUG"))
     some = bases.withColumn("r", F.row_number().over(W.partitionBy("category").orderBy("entry"))).where("r % 3 <> 0").drop("r")
-    return numbered(some)
+    added = events.sparkSession.createDataFrame(ADDED, "category string, entry string")
+    return numbered(some.union(added).distinct())
 
 
 def sample_parents(events: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ w0 as (select subject_id, window_ord, count(*) as n_tokens, min(idx) as lo, max(
   arg_min(coalesce(type_id, -1), idx) as f_type, arg_min(site, idx) filter (where site is not null) as any_site from wt group by 1, 2),
 ws as (select w0.subject_id, window_ord, case when coalesce(o_type, 0) <> 0 then o_type else greatest(f_type, 0) end as type_id, coalesce(w_site, any_site) as site, opening_action, opening_us,
   k.bundle_action as closing_action, case when c_any then t_lo end as closing_us, coalesce(c_dis or c_dea, false) as closing_discharge, n_tokens, n_breaks, w0.lo, w0.hi, start_us, end_us
- from w0 left join (select *, coalesce(turn - 1, hi) as e from mb where not preserved and bundle_action <> 'open_next') k on k.subject_id = w0.subject_id and k.e = w0.hi)"""
+ from w0 left join (select *, coalesce(turn - 1, hi) as e from mb where not preserved and bundle_action <> 'open_next' qualify row_number() over (partition by subject_id, e order by turn is null desc) = 1) k on k.subject_id = w0.subject_id and k.e = w0.hi)"""
 
 
 def events(select: str) -> str:

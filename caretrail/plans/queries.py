@@ -157,11 +157,15 @@ def numeric_bins(spark, d):
     return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", N.bin_id(F.col("l_quantity").cast("double"), "dosage").alias("bin"))
 
 
-@query("select l_orderkey, l_linenumber, (l_partkey % 256) + 256 * (l_suppkey % 256) as packed, l_partkey % 256 as c0, l_suppkey % 256 as c1 from lineitem")
+RVQ_PARTS = ("l_orderkey % 256", "l_partkey % 256", "l_suppkey % 256", "l_linenumber", "l_orderkey // 256 % 256", "l_partkey // 256 % 256", "255", "l_linenumber + 100")
+
+
+@query("select l_orderkey, l_linenumber, (" + " + ".join(f"({c})::hugeint * {256**i}" for i, c in enumerate(RVQ_PARTS)) + ")::bigint as packed, " + ", ".join(f"({c})::bigint as c{i}" for i, c in enumerate(RVQ_PARTS)) + " from lineitem")
 def pack_rvq(spark, d):
-    x = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.array(F.col("l_partkey") % 256, F.col("l_suppkey") % 256).cast("array<bigint>").alias("codes"))
-    x = x.withColumn("packed", N.pack(F.col("codes"), 256)).withColumn("back", N.unpack(F.col("packed"), 256, 2))
-    return x.select("l_orderkey", "l_linenumber", "packed", F.col("back")[0].alias("c0"), F.col("back")[1].alias("c1"))
+    digits = F.array(*[F.expr(c.replace("//", "div")).cast("long") for c in RVQ_PARTS])
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", digits.alias("codes"))
+    x = x.withColumn("packed", N.pack(F.col("codes"), 256)).withColumn("back", N.unpack(F.col("packed"), 256, 8))
+    return x.select("l_orderkey", "l_linenumber", "packed", *[F.col("back")[i].alias(f"c{i}") for i in range(8)])
 
 
 # --- canonical spellings ---
@@ -199,20 +203,46 @@ def surfaces(spark, d):
 
 # --- vocabularies ---
 
-VOC = f"bc as (select category, {O.BASE} as base, count(*) as n from ev where category in ('DIAGNOSIS','PROCEDURE','MEDICATION') group by 1, 2), rk as (select *, row_number() over (partition by category order by base) as r from bc), vo as (select category, base, row_number() over (partition by category order by base) as raw_id from rk where r % 3 <> 0)"
-
-
-@query(O.with_ctes(O.coded, VOC, "select ev.category, case when vo.raw_id is not null then 'exact' else 'other' end as stage, count(*) as n from (select *, " + O.BASE + " as base from ev where category in ('DIAGNOSIS','PROCEDURE','MEDICATION')) ev left join vo on vo.category = ev.category and vo.base = ev.base group by 1, 2"))
+VOC = f"""bc as (select category, {O.BASE} as base, count(*) as n from ev where category in ('DIAGNOSIS','PROCEDURE','MEDICATION') group by 1, 2),
+ rk as (select *, row_number() over (partition by category order by base) as r from bc where base not in ({O.quoted(vocab.LEFT_OUT)}) and not starts_with(base, 'MEDICATION//DRUG')),
+ vo as (select category, base, row_number() over (partition by category order by base) as raw_id from (select category, base from rk where r % 3 <> 0 union values {', '.join(f"('{a}', '{b}')" for a, b in vocab.ADDED)}))"""
+#: What each code of the test tables meets first: spelled out by family, not by the cascade's own steps.
+STAGE = """case when vo.raw_id is not null then 'exact'
+ when ev.category = 'DIAGNOSIS' and exists (select 1 from vo v where v.category = 'DIAGNOSIS' and v.base in ('ICD10CM//' || replace(list_last(string_split(upper(ev.code), '//')), '.', ''), replace(list_last(string_split(upper(ev.code), '//')), '.', ''))) then 'canonicalized'
+ when ev.category = 'PROCEDURE' and exists (select 1 from vo v where v.category = 'PROCEDURE' and v.base in ('CPT//' || list_last(string_split(ev.code, '//')), 'ICD10PCS//' || list_last(string_split(ev.code, '//')))) then 'canonicalized'
+ when ev.category = 'MEDICATION' and exists (select 1 from vo v where v.category = 'MEDICATION' and v.base <> ev.base and regexp_matches(ev.code, '^(RXNORM|NDC|INFUSION)') and v.base in ('RXNORM//' || list_last(string_split(ev.code, '//')), 'INFUSION//' || list_last(string_split(ev.code, '//')))) then 'canonicalized'
+ when starts_with(ev.code, 'MEDICATION//START//') then 'parent_lookup'
+ when ev.code in ('MEDICATION//Hydromorphone (Dilaudid)//Administered', 'PROCEDURE//START//CT scan') then 'crosswalk_lookup'
+ when ev.code = 'DIAGNOSIS//ICD//9//V5867' then 'lexical_bridge'
+ when starts_with(ev.code, 'MEDICATION//Acetaminophen') then 'residual_exact' else 'residual_hash' end"""
+STAGED = f"(select *, {O.BASE} as base from ev where category in ('DIAGNOSIS','PROCEDURE','MEDICATION')) ev left join vo on vo.category = ev.category and vo.base = ev.base"
+
+
+@query(O.with_ctes(O.coded, VOC, f"select ev.category, case when vo.raw_id is not null then 'exact' else 'other' end as stage, count(*) as n from {STAGED} group by 1, 2"))
 def vocab_hits(spark, d):
     ev = coded(spark, d)
     r = vocab.resolve(ev, vocab.sample_vocab(ev))
     return r.groupBy("category", F.when(F.col("stage") == "exact", "exact").otherwise("other").alias("stage")).agg(F.sum("n").alias("n"))
 
 
-@query()
-def resolve_cascade(spark, d):
+def cascade(spark, d, **more) -> DataFrame:
     ev = coded(spark, d)
-    return vocab.resolve(ev, vocab.sample_vocab(ev), vocab.sample_parents(ev), vocab.sample_crosswalk(spark), vocab.sample_residual(spark))
+    return vocab.resolve(ev, vocab.sample_vocab(ev), vocab.sample_parents(ev), vocab.sample_crosswalk(spark), vocab.sample_residual(spark), **more)
+
+
+@query(O.with_ctes(O.coded, VOC, f"select ev.category, ev.code, count(*) as n, any_value({STAGE}) as stage from {STAGED} group by 1, 2"))
+def resolve_cascade(spark, d):
+    return cascade(spark, d).select("category", "code", "n", "stage")
+
+
+@query(O.with_ctes(O.coded, VOC, f"select * from (select ev.category, ev.code, any_value({STAGE}) as stage from {STAGED} group by 1, 2) where stage <> 'residual_hash'"))
+def resolve_known(spark, d):
+    return cascade(spark, d, drop_unknowns=True).select("category", "code", "stage")
+
+
+@query(O.with_ctes(O.coded, VOC, f"select category, code, 1000000 + case category when 'PROCEDURE' then 200000 when 'MEDICATION' then 400000 else 0 end as gid from (select ev.category, ev.code, any_value({STAGE}) as stage from {STAGED} group by 1, 2) where stage = 'residual_hash'"))
+def resolve_unk(spark, d):
+    return cascade(spark, d, hashed=False).where("stage = 'unk'").select("category", "code", "gid")
 
 
 @query("select k as key, min(p_name) as name from (select *, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') as k from part) where length(k) >= 4 and regexp_matches(k, '[A-Z]') group by 1 having count(distinct p_name) = 1")
@@ -385,21 +415,55 @@ def time_groups(spark, d):
     return segments.time_groups(tokens(spark, d)).select("subject_id", "idx", "grp")
 
 
-@query()
+def recursive(sql: str) -> str:
+    return "with recursive" + sql.removeprefix("with")
+
+
+def chunked(select: str, most: int, target: int, tail: int, breaks: bool) -> str:
+    """Greedy packing, a group of equal times after the other."""
+    ctes = f"""g0 as (select *, sum(case when same then 0 else 1 end) over (partition by subject_id, window_ord order by idx) as tie from (select subject_id, window_ord, idx, kept and not starts as brk, coalesce(raw_us, t_us) = lag(coalesce(raw_us, t_us)) over (partition by subject_id, window_ord order by idx) is true as same from wt)),
+ g1 as (select *, (row_number() over (partition by subject_id, window_ord, tie order by idx) - 1) // {most} as slice from g0),
+ g2 as (select subject_id, window_ord, tie, slice, count(*) as len, {'bool_or(brk)' if breaks else 'false'} as brk from g1 group by 1, 2, 3, 4),
+ g as materialized (select subject_id, window_ord, row_number() over (partition by subject_id, window_ord order by tie, slice) as grp, len, brk from g2),
+ st(subject_id, window_ord, grp, len, cur, chunk, brk) as (select subject_id, window_ord, grp, len, len, 0, brk from g where grp = 1
+  union all select g.subject_id, g.window_ord, g.grp, g.len, case when not g.brk and cur + g.len <= {most} and cur < {target} then cur + g.len else g.len end, case when not g.brk and cur + g.len <= {most} and cur < {target} then chunk else chunk + 1 end, g.brk
+  from st join g on g.subject_id = st.subject_id and g.window_ord = st.window_ord and g.grp = st.grp + 1),
+ c0 as (select subject_id, window_ord, chunk, sum(len) as len, arg_min(brk, grp) as brk from st group by 1, 2, 3),
+ c1 as (select *, lag(len) over w as before, lead(chunk) over w is null as ends from c0 window w as (partition by subject_id, window_ord order by chunk)),
+ c2 as (select subject_id, window_ord, case when ends and before is not null and len < {tail} and not brk and before + len <= {most} then chunk - 1 else chunk end as chunk_ord, len from c1),
+ ck as (select *, (sum(len) over (partition by subject_id, window_ord order by chunk_ord) - len)::bigint as from_pos from (select subject_id, window_ord, chunk_ord, sum(len)::bigint as len from c2 group by 1, 2, 3))"""
+    return recursive(O.with_ctes(O.segmented, ctes.replace("c0 as", "ch0 as").replace("from c0", "from ch0").replace("c1 as", "ch1 as").replace("from c1", "from ch1").replace("c2 as", "ch2 as").replace("from c2", "from ch2"), select))
+
+
+TRAJECTORIES = f"""wm as materialized (select *, case when closing_discharge then closing_us + {int(C.CUTOFF_H * O.H)} end as own from ws),
+ tj(subject_id, window_ord, first, split_us, cut, t) as (select subject_id, window_ord, 0, null::bigint, own, 0 from wm where window_ord = 0
+  union all select w.subject_id, w.window_ord, f.t + (w.start_us > f.cut is true)::int, case when w.start_us > f.cut is not true and w.type_id = 5 and w.end_us > f.cut then f.cut end,
+   case when own is not null then own when w.start_us > f.cut or (w.type_id = 5 and w.end_us > f.cut) then null else f.cut end, f.t + (w.start_us > f.cut is true or (w.type_id = 5 and w.end_us > f.cut) is true)::int
+  from tj f join wm w on w.subject_id = f.subject_id and w.window_ord = f.window_ord + 1),
+ tt as (select wt.*, (wt.t_us > split_us is true)::int as part, first + (wt.t_us > split_us is true)::int as trajectory_ord from wt join tj on tj.subject_id = wt.subject_id and tj.window_ord = wt.window_ord)"""
+
+
+@query(chunked("select * from ck", C.CHUNK_MAX, max(C.CHUNK_MIN, int(C.CHUNK_MAX * C.CHUNK_FRACTION)), C.CHUNK_TAIL, True))
 def chunks(spark, d):
     return segments.chunks(tokens(spark, d))
 
 
-@query()
+@query(recursive(O.with_ctes(O.segmented, TRAJECTORIES, "select subject_id, window_ord, part, min(trajectory_ord) as trajectory_ord, count(*) as n_tokens, min(t_us) as start_us, min(idx) as lo from tt group by 1, 2, 3")))
 def trajectories(spark, d):
     return segments.trajectories(tokens(spark, d))
 
 
-@query()
+@query(recursive(O.with_ctes(O.segmented, TRAJECTORIES, "select subject_id, trajectory_ord, idx, greatest(t_us - min(t_us) over (partition by subject_id, trajectory_ord), 0) as t_us, case when idx = min(idx) over (partition by subject_id, trajectory_ord) then 0 else dt_us end as dt_us from tt")))
 def trajectory_clock(spark, d):
     return segments.trajectory_clock(tokens(spark, d))
 
 
+@query(O.segmented("select subject_id, count(*) as windows, sum(n_tokens)::bigint as n_tokens from ws group by 1"))
+def full_subject_trajectories(spark, d):
+    t = segments.trajectories(tokens(spark, d), mode="full_subject")
+    return t.groupBy("subject_id").agg(F.count("*").alias("windows"), F.sum("n_tokens").alias("n_tokens"))
+
+
 POLICY = """po as (select 'current' as policy, * from ws0 union all select 'structural', * from ws1 union all select 'gap', * from ws2)"""
 
 
@@ -560,7 +624,7 @@ def parent_lookup(spark, d):
     return ev.withColumn("key", F.upper("code")).join(p, "key").groupBy("code", "parent").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(chunked("select subject_id, row_number() over (partition by subject_id order by window_ord, chunk_ord) - 1 as window_ord, window_ord as parent, len, from_pos from ck", 32, max(8, int(32 * C.CHUNK_FRACTION)), 4, False))
 def rebalanced(spark, d):
     return segments.rebalanced(tokens(spark, d), most=32, smallest=8, tail=4)
 

@@ -55,3 +55,5 @@ def test_numbers(spark):
     assert [r[0] for r in df.select(N.nearest_rank(F.col("v"), 0.5)).collect()] == [0.0, 3.0, 5.0]
     df = spark.createDataFrame([([3, 250],)], "v array<bigint>")
     assert df.select(N.unpack(N.pack(F.col("v"), 256), 256, 2)).first()[0] == [3, 250]
+    df = spark.createDataFrame([([*range(1, 8), 100],), ([255] * 7 + [127],)], "v array<bigint>")
+    assert [r[0] for r in df.select(N.unpack(N.pack(F.col("v"), 256), 256, 8)).collect()] == [[*range(1, 8), 100], [255] * 7 + [127]]

@@ -6,10 +6,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from caretrail.operators import vocab
 from caretrail.plans import queries as core
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SOME = ["route_category", "transition_rules", "var_stats", "canon_med", "surfaces", "vocab_hits", "obs_vocab", "decision_table", "raw_summary", "timeline_tokens", "merged_bundles", "windows", "policy_percentiles", "remap_ids"]
+SOME = ["route_category", "transition_rules", "var_stats", "canon_med", "surfaces", "vocab_hits", "obs_vocab", "decision_table", "raw_summary", "timeline_tokens", "merged_bundles", "windows", "policy_percentiles", "remap_ids", "pack_rvq", "resolve_cascade", "resolve_known", "resolve_unk", "chunks", "trajectories", "trajectory_clock", "rebalanced"]
 
 
 def plain(df):
@@ -46,4 +47,11 @@ def test_registry():
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the shared tables are not there")
 def test_resolution_stages(spark):
     stages = {r.stage for r in core.resolve_cascade(spark, DATA).select("stage").distinct().collect()}
-    assert {"exact", "residual_hash", "residual_exact"} <= stages
+    assert stages == {*vocab.STAGES}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the shared tables are not there")
+@pytest.mark.parametrize("name, most", [("windows", 3), ("chunks", 3), ("trajectories", 3), ("trajectory_clock", 3)])
+def test_segmentation_stays_on_one_partitioning(spark, name, most):
+    plan = core.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line for line in plan.splitlines()) <= most

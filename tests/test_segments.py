@@ -178,3 +178,21 @@ def test_chunks_like_sequential(spark, histories):
         got.setdefault((r.subject_id, r.window_ord), []).append(r.len)
     for k, g in groups.items():
         assert got[k] == packed([tuple(g[i]) for i in sorted(g)], 6, 3, 2), k
+
+
+def test_trajectories_like_sequential(spark, histories):
+    df = frame(spark, histories)
+    limit, want = int(C.CUTOFF_H * H), {}
+    state = {}
+    for w in S.windows(df).orderBy("subject_id", "window_ord").collect():
+        cut, t = state.get(w.subject_id, (None, 0))
+        over = cut is not None and w.start_us > cut
+        inside = cut is not None and not over and w.type_id == C.WINDOW_TYPES["POST_DISCHARGE"] and w.end_us > cut
+        t += over
+        for x in histories[w.subject_id][w.lo : w.hi + 1]:
+            want[w.subject_id, x["idx"]] = t + (inside and x["t_us"] > cut)
+        own = w.closing_us + limit if w.closing_discharge else None
+        state[w.subject_id] = (own if own is not None else None if over or inside else cut, t + inside)
+    got = {(r.subject_id, r.idx): r.trajectory_ord for r in S.trajectory_clock(df.withColumn("dt_us", F.lit(1))).collect()}
+    assert got == want and max(want.values()) > 1
+    assert {r.trajectory_ord for r in S.trajectories(df, mode="full_subject").collect()} == {0}
