@@ -79,3 +79,29 @@ NUMERIC_BINS = {"dosage": (4, 1.0, 400.0, True), "rate": (4, 1.0, 200.0, True),
 #: demographic token ids
 DEMOGRAPHIC_AGE = (18, 40, 65, 80)
 DEMOGRAPHIC_BMI = (18.5, 25, 30, 35, 40)
+
+# --- further fixed values: reserved observation values, process ids, lanes, word lists ---
+OBSERVATION_VALUES = {"UNK": 1, "N/A": 2, "NA": 2, "NONE": 3, "NULL": 3, "": 4}
+OBSERVATION_VALUE_LANE = 80_000
+PROCESS_ACTIONS = {"START": 1, "END": 2, "STOP": 3}
+PROCESS_DOMAINS = {"MEDICATION": 1, "PROCEDURE": 2, "INFUSION": 3}
+PROCESS_ACTION_OFFSET, PROCESS_ENTITY_OFFSET, ENTITY_LANE = 2_400_000, 2_420_000, 900_000
+LANES = ("logits_struct", "logits_rvq", "logits_meas", "logits_medtok")
+#: block: lane
+BLOCK_LANES = {
+    "special": "logits_struct", "structural": "logits_struct", "measurement_value": "logits_rvq", "measurement_code": "logits_meas", "observation_code": "logits_meas", "observation_value": "logits_meas",
+    "diagnosis": "logits_medtok", "diagnosis_residual": "logits_medtok", "procedure": "logits_medtok", "procedure_residual": "logits_medtok", "medication": "logits_medtok", "medication_residual": "logits_medtok",
+}
+BLOCK_CATEGORIES = {"special": 0, "measurement": 1, "observation": 1, "diagnosis": 2, "procedure": 3, "medication": 4, "structural": 5}
+MARKER_PARTS = ("MED_MARKER::START", "MED_MARKER::END", "MED_MARKER::STOP", "//START//", "//END//", "//STOP//", "INFUSION_START", "INFUSION_END")
+DOSE_FORM_WORDS = ("IV", "IVPB", "PO", "IM", "SC", "SQ", "SUBCUT", "SUBCUTANEOUS", "ORAL", "INJECTION", "INJECTABLE", "SOLUTION", "SOLN", "TABLET", "TABLETS", "CAPSULE", "CAPSULES", "SUSPENSION", "SYRUP", "ELIXIR", "VIAL", "BAG", "DRIP", "PUSH", "BOLUS", "FLUSH", "CONCENTRATE", "IMMEDIATE", "RELEASE", "EXTENDED", "ER", "XR", "SR", "DR")
+RARE_KEYWORDS = ("CARDIAC ARREST", "CODE BLUE", "CPR", "DEFIB", "ROSC", "SEPSIS", "SEPTIC SHOCK", "MASSIVE TRANSFUSION", "STROKE", "HEMORRH", "INTUB", "REINTUBATION", "ECMO", "CRRT", "DIALYSIS", "RRT")
+CRITICAL_KEYWORDS = ("CPR", "CARDIAC ARREST", "CODE BLUE", "SEPSIS", "SEPTIC", "SHOCK", "VASOPRESS", "INTUB", "VENT", "ECMO", "CRRT", "DIALYSIS", "RRT", "RAPID RESPONSE", "RESUS", "STROKE", "HEMORRH", "BLEED", "TRANSFUS", "ARREST")
+SURFACE_PATHS = {
+    "structural_transition_overlay": "STRUCTURAL path (window/boundary/overlay tokens)", "measurement_numeric_dense": "MEASUREMENT path (code2id + cVAE/RVQ value tokens)",
+    "measurement_numeric_sparse": "MEASUREMENT path or promote to STRUCTURAL if transitional", "measurement_non_numeric_or_invalid": "DROP/STRUCTURAL review (not RVQ)",
+    "medtok_semantic_core": "MEDTOK path (diag/proc/med canonicalization/vocab)", "medication_attributes_or_admin": "Medication attr stream or DROP/meta",
+    "medication_numeric_or_attributes": "Medication numeric/attr side-channel", "admin_or_low_value_meta": "DROP/meta unless downstream task requires", "other_unclassified": "Manual review",
+}
+#: system: spellings of a code of it, in order
+SYSTEM_SPELLINGS = {"RXNORM": ("{}", "RXNORM//{}"), "SNOMED": ("{}", "SNOMED//{}", "SNOMED/{}"), "NDC": ("NDC//{}", "{}"), "CPT4": ("CPT//{}", "{}"), "HCPCS": ("HCPCS//{}", "{}"), "ICD10PCS": ("ICD10PCS//{}", "{}"), "ICD9PROC": ("ICD9PROC//{}", "{}"), "ICD9_PROC": ("ICD9PROC//{}", "{}")}

@@ -61,3 +61,28 @@ def unpack(packed: Column, base: int, n: int) -> Column:
 
 def hash_lane(text: Column, buckets: int) -> Column:
     return F.crc32(F.encode(text, "UTF-8")) % buckets + 1
+
+
+def number_text(x: Column) -> Column:
+    """A number to three decimals, without zeros and a point at its end."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.3f", x), "0+$", ""), r"\.$", "")
+
+
+def gap_input(hours: Column, most: float = 672.0) -> Column:
+    """A gap in hours as a model's input: clipped, on a log scale."""
+    return F.log1p(F.least(F.greatest(hours, F.lit(0.0)), F.lit(most)))
+
+
+def age_input(years: Column, most: float = 100.0) -> Column:
+    """An age as a model's input, 0 to 1; 0 if missing."""
+    return F.when(finite(years), F.least(F.greatest(years, F.lit(0.0)), F.lit(most)) / most).otherwise(0.0)
+
+
+def level_id(base: int, level: Column, stride: int, code: Column) -> Column:
+    """The token id of a code of one level of a stack."""
+    return F.lit(base) + level * stride + code
+
+
+def level_code(token: Column, base: int, stride: int) -> tuple[Column, Column]:
+    """The level and the code of such a token id."""
+    return F.call_function("div", token - base, F.lit(stride)), (token - base) % stride

@@ -200,3 +200,72 @@ def low_specificity(code: Column) -> Column:
     c = normal(code)
     short = c.rlike(r"\A(RXNORM//)?[0-9]{1,4}\z")
     return (c == "") | c.isin("UNK", "<UNK>", "MEDICATION//UNK") | short | (c.startswith("NDC//") & (F.length(F.regexp_replace(c, "[^0-9]", "")) < 10))
+
+
+def simplified(text: Column) -> Column:
+    """A medication's words without dose forms, routes and numbers; null if none is left."""
+    words = F.regexp_extract_all(F.upper(text), F.lit("[A-Z0-9]+"), F.lit(0))
+    kept = F.filter(words, lambda w: ~w.isin(*C.DOSE_FORM_WORDS) & ~w.rlike("^[0-9]+[A-Z]*$"))
+    return F.nullif(F.array_join(kept, " "), F.lit(""))
+
+
+def _varied(names: Column) -> Column:
+    return F.array_distinct(F.concat(names, F.flatten(F.transform(names, lambda x: aliases(x)))))
+
+
+def medication_aliases(code: Column) -> Column:
+    """A medication's names, in order: as it came, its entity, plain and with its domain,
+    their variants, and all of them simplified."""
+    text = F.trim(code)
+
+    def named(m):
+        domain = F.when(m["domain"].isin("MEDICATION", "INFUSION"), F.concat_ws("//", m["domain"], m["entity"]))
+        return _varied(F.array_compact(F.array(text, m["entity"], F.when(m["entity"].isNotNull(), domain))))
+
+    with_simple = lambda a: F.concat(a, F.array_compact(F.transform(a, lambda x: simplified(x))))
+    return F.when(text == "", _nothing()).otherwise(F.array_distinct(bound(bound(medication_parts(text), named), with_simple)))
+
+
+def procedure_aliases(code: Column) -> Column:
+    """A procedure's names, in order: as it came, without PROCEDURE//, without an interval
+    marker, its last part, and their variants."""
+    text = F.trim(code)
+    rest = F.when(F.upper(text).startswith("PROCEDURE//"), F.substring(text, 12, 1 << 20))
+    p = F.filter(F.transform(F.split(rest, "//"), lambda x: F.trim(x)), lambda x: x != "")
+    marked = F.upper(F.get(p, F.lit(0))).isin("START", "END", "STOP") & (F.size(p) > 1)
+    names = F.array_compact(F.array(text, rest, F.when(marked, F.array_join(F.slice(p, 2, 999), "//")), F.try_element_at(p, F.lit(-1))))
+    return F.when(text == "", _nothing()).otherwise(_varied(F.array_distinct(names)))
+
+
+def lexical_keys(code: Column, category: Column) -> Column:
+    """The distinct lexical keys of a code's names, in order."""
+    names = F.when(category == "MEDICATION", medication_aliases(code)).when(category == "PROCEDURE", procedure_aliases(code)).otherwise(F.array(code))
+    return F.array_distinct(F.array_compact(F.transform(names, lambda x: lexical_key(x))))
+
+
+def is_diagnosis(code: Column) -> Column:
+    """Whether a code may stand in a vocabulary of diagnoses."""
+    c = F.upper(code)
+    last = F.element_at(F.split(c, "//"), -1)
+    found = last.rlike(r"\b[A-TV-Z][0-9][0-9A-Z](?:\.[0-9A-Z]{1,4})?\b") | last.rlike(r"\b[0-9]{3}(?:\.[0-9A-Z]{1,2})?\b")
+    other = F.lit(False)
+    for x in ("MEDICATION//", "INFUSION", "PROCEDURE//", "DRG//", "CPT//", "HCPCS"):
+        other = other | c.contains(x)
+    return starts_any(c, ("DIAGNOSIS//ICD//", "ICD10CM", "ICD9CM")) | (~other & ~F.substring_index(c, "//", 1).isin(*C.MEASUREMENT_PREFIXES) & found)
+
+
+def is_procedure(code: Column) -> Column:
+    """Whether a code may stand in a vocabulary of procedures."""
+    c = F.upper(code)
+    last = F.element_at(F.split(c, "//"), -1)
+    found = last.rlike("[0-9]") & (last.rlike("^[0-9A-HJ-NP-Z]{7}$") | last.rlike(r"^([0-9]{2}\.[0-9]{1,2}|[0-9]{3,4})$"))
+    other = c.contains("MEDICATION//") | c.contains("INFUSION") | c.contains("DRG//")
+    return starts_any(c, ("PROCEDURE//", "ICD10PCS", "ICD9PROC", "CPT", "HCPCS", "SNOMED//", "SNOMED/")) | (~other & ~F.substring_index(c, "//", 1).isin(*C.MEASUREMENT_PREFIXES) & found)
+
+
+def is_medication(code: Column) -> Column:
+    """Whether a code may stand in a vocabulary of medications."""
+    c = F.upper(code)
+    last = F.element_at(F.split(c, "//"), -1)
+    found = last.rlike(r"NDC\W*[0-9]{4,5}-?[0-9]{3,4}-?[0-9]{1,2}") | last.rlike("^[0-9]{3,11}$")
+    return starts_any(c, ("RXNORM", "NDC", "MEDICATION//", "INFUSION")) | (~F.substring_index(c, "//", 1).isin(*C.MEASUREMENT_PREFIXES, "PROCEDURE") & found)

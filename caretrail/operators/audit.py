@@ -193,3 +193,118 @@ def error_metrics(pairs: DataFrame, min_count: int) -> DataFrame:
     e = F.col("value") - F.col("predicted")
     m = pairs.groupBy("var_id").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
     return m.where(F.col("n") >= min_count)
+
+
+def thresholds(counts: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    """How many of counts(n) each limit is not below, and their share."""
+    t = counts.select("n", F.explode(F.array(*map(F.lit, limits))).alias("limit"))
+    return t.groupBy("limit").agg(F.count_if(F.col("n") <= F.col("limit")).alias("codes"), F.round(F.avg((F.col("n") <= F.col("limit")).cast("double")), 6).alias("share"))
+
+
+def stats_by_id(stats: DataFrame, n_ids: int) -> DataFrame:
+    """Variable statistics of all ids from 1 to n_ids; (0, 1, 0) for those without values."""
+    ids = stats.sparkSession.range(1, n_ids + 1).withColumnRenamed("id", "var_id")
+    s = ids.join(stats, "var_id", "left")
+    return s.select("var_id", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("std", F.lit(1.0)).alias("std"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def worst(metrics: DataFrame, by: str, k: int) -> DataFrame:
+    return metrics.orderBy(F.desc(by), "var_id").limit(k)
+
+
+def examples(rows: DataFrame, bucket: str, k: int, *order: str) -> DataFrame:
+    """The first k rows of each bucket."""
+    return rows.withColumn("nth", F.row_number().over(W.partitionBy(bucket).orderBy(*order))).where(F.col("nth") <= k)
+
+
+def worst_codes(table: DataFrame, k: int) -> DataFrame:
+    """Codes of a decision table by events that were missed, then by subjects and events."""
+    return table.withColumn("uncaptured_events", F.col("events_total") - F.col("captured_events")).orderBy(F.desc("uncaptured_events"), F.desc("subjects_with_code"), F.desc("events_total"), "code").limit(k)
+
+
+def token_flow(events: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Of each subject its events, those that gave tokens or none, tokens by kind, and how
+    many events gave one, two or more tokens. events are classified."""
+    sizes = tokens.groupBy("subject_id", "pos").agg(F.count("*").alias("size"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("STRUCT", "MEAS", "OBS_CODE", "CODE", "MARK")])
+    t = sizes.groupBy("subject_id").agg(F.count("*").alias("emitted"), F.sum("size").alias("tokens"), F.count_if(F.col("size") == 1).alias("single"), F.count_if(F.col("size") == 2).alias("pairs"), F.count_if(F.col("size") > 2).alias("larger"), *[F.sum(k).alias(k.lower()) for k in ("STRUCT", "MEAS", "OBS_CODE", "CODE", "MARK")])
+    e = events.groupBy("subject_id").agg(F.count("*").alias("events"), F.count_if(F.col("category") == "OTHER").alias("unrouted"))
+    names = [c for c in t.columns if c != "subject_id"]
+    return e.join(t, "subject_id", "left").select("subject_id", "events", "unrouted", *[F.coalesce(c, F.lit(0)).alias(c) for c in names]).withColumn("dropped", F.col("events") - F.col("emitted"))
+
+
+def outcomes(resolved: DataFrame) -> DataFrame:
+    """Of each coded category its codes and events, mapped ones (not by hash), and their
+    rate. resolved is what ``vocab.resolve`` returns."""
+    r = resolved.groupBy("category").agg(F.sum("n").alias("events"), F.sum(F.when(F.col("stage") != "residual_hash", F.col("n")).otherwise(0)).alias("mapped"), F.count("*").alias("codes"))
+    return r.withColumn("mapped_rate", F.round(F.col("mapped") / F.col("events"), 6))
+
+
+def leading(tokens: DataFrame) -> DataFrame:
+    """Of each subject how many tokens, and clinical ones, stand before its first transition."""
+    first = F.min(F.when(F.col("action").isin(*C.ACTIVE), F.col("idx"))).over(W.partitionBy("subject_id"))
+    before = F.col("first").isNull() | (F.col("idx") < F.col("first"))
+    return tokens.withColumn("first", first).groupBy("subject_id").agg(F.count_if(before).alias("tokens"), F.count_if(before & F.col("category").isin(*C.CLINICAL)).alias("clinical"), F.max(F.col("first").isNotNull()).alias("has_transition"))
+
+
+def bundle_prefixes(bundled: DataFrame) -> DataFrame:
+    """Prefixes that occur in bundles(subject_id, bundle, surface, action), by action."""
+    p = R.prefix(F.upper("surface"))
+    return bundled.groupBy(p.alias("prefix"), "action").agg(F.count("*").alias("n"), F.count_distinct("subject_id", "bundle").alias("bundles"), F.count_distinct("subject_id").alias("subjects"))
+
+
+def bundle_pairs(bundled: DataFrame) -> DataFrame:
+    """Pairs of distinct prefixes that share a bundle. A bundle has few prefixes: its pairs
+    are made of its own set, not of a join."""
+    s = bundled.groupBy("subject_id", "bundle").agg(F.sort_array(F.collect_set(R.prefix(F.upper("surface")))).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return s.select(F.explode(pairs).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
+
+
+POLICIES = ("current", "all_structural", "gap_only", "current_plus_gap", "structural_or_gap", "transition_like", "transition_like_plus_gap", "marker_or_transition", "marker_or_transition_plus_gap", "custom_contains", "custom_contains_plus_gap")
+
+
+def boundary_reasons(gap_h: float, contains: tuple[str, ...]) -> dict[str, Column]:
+    """Each policy's test whether a token (with item_gap, the time since the one before) is
+    a boundary."""
+    text = F.upper(F.concat_ws(" | ", F.col("surface"), F.when(F.col("hook"), "HOOK").otherwise(""), F.col("category")))
+    gap = F.coalesce(F.col("item_gap") >= int(gap_h * HOUR_US), F.lit(False))
+    hook, structural = F.col("hook"), F.col("category") == "STRUCTURAL"
+    moves = structural & F.coalesce(F.col("action").isin(*C.ACTIVE), F.lit(False))
+    marks, named = R.has_any(text, C.MARKER_PARTS), R.has_any(text, contains)
+    tests = (hook, structural, gap, hook | gap, structural | gap, moves, moves | gap, moves | marks, moves | marks | gap, named, named | gap)
+    return dict(zip(POLICIES, tests, strict=True))
+
+
+def policy_measures(tokens: DataFrame, gap_h: float = 6.0, contains: tuple[str, ...] = ("ICU",)) -> DataFrame:
+    """Under each of the eleven policies: boundaries (close candidates count as one),
+    windows, and percentiles of their tokens and hours (nearest rank, from histograms)."""
+    w = W.partitionBy("subject_id").orderBy("idx")
+    rows = tokens.withColumn("item_gap", F.when(F.col("idx") > 0, F.col("dt_us")))
+    tests = boundary_reasons(gap_h, contains)
+    rows = rows.select("subject_id", "idx", "t_us", F.explode(F.array(*[F.struct(F.lit(k).alias("policy"), v.alias("hit")) for k, v in tests.items()])).alias("p")).select("subject_id", "idx", "t_us", "p.policy", "p.hit")
+    own = W.partitionBy("subject_id", "policy").orderBy("idx")
+    last = F.last(F.when(F.col("hit"), F.struct("idx", "t_us")), ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("last", last)
+    near = (F.col("idx") - F.col("last.idx") <= C.BUNDLE_GAP_IDX) & (F.abs(F.col("t_us") - F.col("last.t_us")) <= int(C.BUNDLE_GAP_H * HOUR_US))
+    rows = rows.withColumn("bound", F.col("hit") & ~F.coalesce(near, F.lit(False)))
+    rows = rows.withColumn("w", F.sum(F.when((F.col("idx") == 0) | F.col("bound"), 1).otherwise(0)).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    sizes = rows.groupBy("policy", "subject_id", "w").agg(F.count("*").cast("double").alias("tokens"), (F.floor((F.max("t_us") - F.min("t_us")) / HOUR_US)).cast("double").alias("hours"), F.max("bound").alias("bound"))
+    long = sizes.select("policy", F.explode(F.array(F.struct(F.lit("tokens").alias("measure"), F.col("tokens").alias("v")), F.struct(F.lit("hours").alias("measure"), F.col("hours").alias("v")))).alias("x"), "bound").select("policy", "x.measure", "x.v", "bound")
+    hist = long.groupBy("policy", "measure", "v").agg(F.count("*").alias("k"), F.count_if("bound").alias("b"))
+    order = W.partitionBy("policy", "measure").orderBy("v")
+    hist = hist.withColumns({"upto": F.sum("k").over(order.rowsBetween(W.unboundedPreceding, 0)), "windows": F.sum("k").over(W.partitionBy("policy", "measure"))})
+    at = lambda q: F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("windows") - 1)), F.col("v")))
+    return hist.groupBy("policy", "measure").agg(F.first("windows").alias("windows"), F.sum("b").alias("boundaries"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max("v").alias("largest"))
+
+
+def surface_paths(table: DataFrame) -> DataFrame:
+    """Where the codes of each surface go."""
+    s = table.withColumn("surface", surface(table))
+    return s.groupBy("surface", F.coalesce(R.lookup(C.SURFACE_PATHS, F.col("surface")), F.lit("Manual review")).alias("path")).agg(F.count("*").alias("codes"))
+
+
+def unique_subjects(splits: DataFrame) -> DataFrame:
+    """splits, if no subject has two rows; else an error when it is read."""
+    n = F.count("*").over(W.partitionBy("subject_id"))
+    checked = splits.withColumn("n", n)
+    return checked.where(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("subject in two rows: "), F.col("subject_id")))).otherwise(F.lit(True))).drop("n")

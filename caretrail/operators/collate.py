@@ -153,3 +153,98 @@ def window_type_by_key(rows: DataFrame) -> DataFrame:
     """The type of a window by the first of its tokens that bears one (the rule of the
     collator; segmentation looks at the first token only)."""
     return rows.groupBy("subject_id", "window_ord").agg(F.coalesce(F.min_by("type_id", F.when(F.col("type_id").isNotNull(), F.col("idx"))), F.lit(0)).alias("type_id"))
+
+
+def chunk_tokens(tokens: DataFrame, **sizes) -> DataFrame:
+    """window_tokens with chunk_ord and at, the place in the chunk."""
+    chunk = segments.chunks(tokens, **sizes).groupBy("subject_id", "window_ord").agg(F.sort_array(F.collect_list("from_pos")).alias("from"))
+    w = W.partitionBy("subject_id", "window_ord")
+    rows = segments.window_tokens(tokens).withColumn("nth", F.row_number().over(w.orderBy("idx")) - 1).join(chunk, ["subject_id", "window_ord"])
+    rows = rows.withColumn("chunk_ord", F.size(F.filter("from", lambda x: x <= F.col("nth"))) - 1)
+    return rows.withColumn("at", F.col("nth") - F.get("from", F.col("chunk_ord"))).drop("from", "nth")
+
+
+def chunk_targets(rows: DataFrame) -> DataFrame:
+    """Of each chunk of chunk_tokens its tokens, hours from its start, the offset of its
+    start in its window, and whether it ends the window."""
+    c = rows.groupBy("subject_id", "window_ord", "chunk_ord").agg(F.count("*").alias("n_tokens"), F.min("t_us").alias("start_us"), F.max("t_us").alias("end_us"))
+    w = W.partitionBy("subject_id", "window_ord")
+    return c.select("subject_id", "window_ord", "chunk_ord", "n_tokens", (F.col("end_us") - F.col("start_us")).alias("span_us"), (F.col("start_us") - F.min("start_us").over(w)).alias("offset_us"), (F.col("chunk_ord") == F.max("chunk_ord").over(w)).alias("ends_window"))
+
+
+def chunk_next(rows: DataFrame) -> DataFrame:
+    """Each token of chunk_tokens with the next of its chunk, and whether it is the last."""
+    w = W.partitionBy("subject_id", "window_ord", "chunk_ord").orderBy("idx")
+    return rows.select("subject_id", "idx", "window_ord", "chunk_ord", "surface", F.lead("surface").over(w).alias("next_surface"), F.lead("idx").over(w).isNull().alias("chunk_end"))
+
+
+def window_targets(windows: DataFrame) -> DataFrame:
+    """Of each window its tokens and span, and the type, tokens and span of the next one."""
+    w = _subject().orderBy("window_ord")
+    span = F.col("end_us") - F.col("start_us")
+    t = windows.select("subject_id", "window_ord", "type_id", "n_tokens", span.alias("span_us"))
+    return t.select("*", F.lead("type_id").over(w).alias("next_type"), F.lead("n_tokens").over(w).alias("next_tokens"), F.lead("window_ord").over(w).isNotNull().alias("has_next"))
+
+
+def numeric_channel(value: Column) -> tuple[Column, Column]:
+    """A finite number and 1, else 0 and 0."""
+    ok = F.coalesce(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+    return F.when(ok, value).otherwise(0.0), ok.cast("int")
+
+
+def content_budget(length: int, specials: Column, markers: bool = True) -> Column:
+    """How many content tokens a chunk of that length has room for."""
+    return F.greatest(F.lit(1), F.lit(length - (2 if markers else 0)) - specials)
+
+
+def chunk_suffix(last: Column, next_type: Column, end_mode: str = "end_token") -> Column:
+    """The marker that ends a chunk: CONTINUE, END, or in the mode next_type the type of
+    the next window if there is one."""
+    following = F.lit(C.TYPE_TOKEN) + F.when(next_type.between(0, len(C.WINDOW_TYPES) - 1), next_type).otherwise(C.WINDOW_TYPES["UNK"])
+    end = F.when(next_type.isNotNull(), following).otherwise(C.END_TOKEN) if end_mode == "next_type" else F.lit(C.END_TOKEN)
+    return F.when(~last, C.CONTINUE_TOKEN).otherwise(end)
+
+
+def trajectory_index(rows: DataFrame, per_shard: int = 512) -> DataFrame:
+    """subject_id, trajectory_ord, n_tokens, trajectory_id and shard of tokens with a
+    trajectory_ord: ids count trajectories in order, a bounded stretch of subjects a task."""
+    t = rows.groupBy("subject_id", "trajectory_ord").agg(F.count("*").alias("n_tokens")).withColumn("b", F.shiftright("subject_id", 12))
+    start = t.groupBy("b").agg(F.count("*").alias("k"))
+    start = start.select("b", F.coalesce(F.sum("k").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    nth = F.row_number().over(W.partitionBy("b").orderBy("subject_id", "trajectory_ord")).cast("long") - 1
+    out = t.withColumn("nth", nth).join(start, "b").withColumn("trajectory_id", F.col("start") + F.col("nth"))
+    return out.select("subject_id", "trajectory_ord", "n_tokens", "trajectory_id", F.floor(F.col("trajectory_id") / per_shard).alias("shard"))
+
+
+def write_trajectories(rows: DataFrame, path: str, per_shard: int = 512) -> None:
+    """Tokens with a trajectory_ord as Parquet, ``per_shard`` trajectories a shard."""
+    index = trajectory_index(rows, per_shard).drop("n_tokens")
+    out = rows.join(index, ["subject_id", "trajectory_ord"])
+    out.repartition("shard").sortWithinPartitions("trajectory_id", "idx").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+ATTRIBUTES = ("type_id", "adm", "tra", "dis", "dea", "edl", "icu", "orl")
+
+
+def attributes(tokens: DataFrame) -> Column:
+    """The integer attributes that a token has, as a map."""
+    each = [F.struct(F.lit(c).alias("key"), F.col(c).cast("long").alias("value")) for c in ATTRIBUTES if c in tokens.columns]
+    return F.map_from_entries(F.filter(F.array(*each), lambda x: x["value"].isNotNull() & ((x["key"] == "type_id") | (x["value"] != 0))))
+
+
+def csr(rows: DataFrame) -> DataFrame:
+    """One row a subject of rows(subject_id, idx, attrs): offsets, keys (in order) and
+    values of all maps end to end."""
+    one = rows.select("subject_id", "idx", F.array_sort(F.map_entries("attrs")).alias("e")).groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("idx", "e"))).alias("x"))
+    sizes = F.transform("x", lambda r: F.size(r["e"]))
+    offsets = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    flat = F.flatten("x.e")
+    return one.select("subject_id", offsets.alias("offsets"), F.transform(flat, lambda e: e["key"]).alias("keys"), F.transform(flat, lambda e: e["value"]).alias("values"))
+
+
+def uncsr(packed: DataFrame) -> DataFrame:
+    """The maps of ``csr`` again: subject_id, idx and attrs."""
+    i = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("offsets") - 2), lambda i: F.struct(F.get("offsets", i).alias("a"), F.get("offsets", i + 1).alias("b")))).alias("idx", "r")
+    rows = packed.where(F.size("offsets") > 1).select("subject_id", "keys", "values", i)
+    cut = lambda c: F.slice(c, F.col("r.a") + 1, F.col("r.b") - F.col("r.a"))
+    return rows.select("subject_id", F.col("idx").cast("long").alias("idx"), F.map_from_arrays(cut("keys"), cut("values")).alias("attrs"))

@@ -49,7 +49,7 @@ def resolve(events: DataFrame, vocab: DataFrame, parents: DataFrame | None = Non
         found = keys.join(parents, ["category", "key"]).select("category", "code", "parent")
         both = F.array_distinct(F.concat(F.array("parent"), T.candidates(F.col("parent"), F.col("category"))))
         pieces.append(found.select("category", "code", F.lit(2).alias("stage_no"), F.posexplode(both).alias("place", "entry")))
-    lexical = codes.select("category", "code", F.explode(T.aliases(F.coalesce(T.medication_parts(F.col("code"))["entity"], F.col("base")))).alias("name")).select("category", "code", T.lexical_key(F.col("name")).alias("key")).where("key is not null").distinct()
+    lexical = codes.select("category", "code", F.explode(T.lexical_keys(F.col("code"), F.col("category"))).alias("key"))
     if crosswalk is not None:
         pieces.append(lexical.join(crosswalk, ["category", "key"]).select("category", "code", F.lit(3).alias("stage_no"), F.lit(0).alias("place"), F.col("target").alias("entry")))
     bridge = vocab.withColumn("key", T.lexical_key(F.element_at(F.split("entry", "//"), -1))).where("key is not null").groupBy("category", "key").agg(F.min("entry").alias("entry"), F.count_distinct("entry").alias("k")).where("k = 1")
@@ -75,6 +75,40 @@ def _offset(suffix: str):
     return F.when(F.col("category") == "DIAGNOSIS", C.FAMILY_OFFSETS["diagnosis" + suffix]).when(F.col("category") == "PROCEDURE", C.FAMILY_OFFSETS["procedure" + suffix]).otherwise(C.FAMILY_OFFSETS["medication" + suffix])
 
 
+def full_target(events: DataFrame, vocab: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """category, code and target: a code's first spelling in the vocabulary that is not its
+    unknown entry (of medications none that says too little), else the crosswalk's target,
+    whether or not the vocabulary has it."""
+    codes = code_counts(events).select("category", "code")
+    tried = codes.select("category", "code", F.posexplode(T.candidates(F.col("code"), F.col("category"))).alias("place", "entry"))
+    tried = tried.where((F.col("category") != "MEDICATION") | ~T.low_specificity(F.col("entry")))
+    hit = tried.join(vocab.where("raw_id <> 0"), ["category", "entry"]).groupBy("category", "code").agg(F.min_by("entry", "place").alias("hit"))
+    keys = codes.select("category", "code", F.posexplode(T.lexical_keys(F.col("code"), F.col("category"))).alias("place", "key"))
+    other = keys.join(crosswalk, ["category", "key"]).groupBy("category", "code").agg(F.min_by("target", "place").alias("other"))
+    both = codes.join(hit, ["category", "code"], "left").join(other, ["category", "code"], "left")
+    return both.select("category", "code", F.coalesce("hit", "other").alias("target"))
+
+
+def matched(events: DataFrame, vocab: DataFrame) -> DataFrame:
+    """category, code, n and whether any canonical spelling is in the vocabulary: weaker
+    than ``resolve``, as the code itself, its parents and the crosswalk don't count."""
+    codes = code_counts(events)
+    tried = codes.select("category", "code", F.explode(T.candidates(F.col("code"), F.col("category"))).alias("entry"))
+    hit = tried.join(vocab.select("category", "entry"), ["category", "entry"], "left_semi").select("category", "code").distinct().withColumn("hit", F.lit(True))
+    return codes.join(hit, ["category", "code"], "left").select("category", "code", "n", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def residual_vocab(events: DataFrame, vocab: DataFrame, crosswalk: DataFrame, share: float, most: int) -> DataFrame:
+    """category, entry, n and raw_id: the keys of codes that resolve to nothing and mark no
+    interval, commonest first, up to the one that reaches the share, most at most."""
+    codes = code_counts(events)
+    left = codes.join(full_target(events, vocab, crosswalk).where("target is null"), ["category", "code"], "left_semi").where(R.marker(F.col("code")).isNull())
+    keys = left.groupBy("category", F.get(T.residual_candidates(F.col("code"), F.col("code"), F.col("category")), F.lit(0)).alias("entry")).agg(F.sum("n").alias("n"))
+    w = W.partitionBy("category").orderBy(F.desc("n"), "entry")
+    keys = keys.withColumns({"raw_id": F.row_number().over(w).cast("long"), "before": F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(W.partitionBy("category"))})
+    return keys.where((F.col("raw_id") <= most) & ((F.col("raw_id") == 1) | (F.col("before") / F.col("total") < share))).select("category", "entry", "n", "raw_id")
+
+
 def lexical_bridge(names: DataFrame) -> DataFrame:
     """key and name of lexical keys that stand for one name only."""
     k = names.withColumn("key", T.lexical_key(F.col("name"))).where("key is not null")

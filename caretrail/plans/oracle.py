@@ -52,7 +52,7 @@ SITE = f"""case when s is null and macro is not null then macro || '::' || macro
  when 'OR' then case when regexp_matches(s, '^OR( |$)') then coalesce(nullif(trim(regexp_replace(s, '^OR( |$)', '')), ''), 'OR') else s end
  when 'POST_DISCHARGE' then 'POST_DISCHARGE' else s end end"""
 
-EVENTS = f"""e0 as (select user_id % 20 as subject_id, ts, event_id, event_type, value, {K} as k from events),
+EVENTS = f"""e0 as (select user_id as subject_id, ts, event_id, event_type, value, {K} as k from events),
 m as (select subject_id, event_id, ts as time, epoch_us(ts) as t_us, {CODE} as code, {VALUE} as numeric_value,
  row_number() over (partition by subject_id order by ts, event_id) - 1 as pos from e0)"""
 CODES = f""", c0 as (select distinct code, upper(trim(code)) as u, split_part(upper(trim(code)), '//', 1) as p from m),

@@ -88,10 +88,10 @@ def index_split_counts(spark, d):
     return audit.split_counts(m.select("subject_id").distinct(), A.splits(m.where("subject_id <> 3")))
 
 
-@query(O.events("select subject_id, count(*) as n from m where subject_id not in (select subject_id from m where subject_id % 4 = 0) group by 1"))
+@query(O.events("select subject_id, count(*) as n from m where subject_id not in (select subject_id from m where code = 'MEDS_DEATH') group by 1"))
 def skip_existing_anti(spark, d):
     m = A.meds(spark, d)
-    return m.join(m.where("subject_id % 4 = 0").select("subject_id").distinct(), "subject_id", "left_anti").groupBy("subject_id").agg(F.count("*").alias("n"))
+    return m.join(m.where("code = 'MEDS_DEATH'").select("subject_id").distinct(), "subject_id", "left_anti").groupBy("subject_id").agg(F.count("*").alias("n"))
 
 
 # --- measurements ---
@@ -425,10 +425,10 @@ def chunked(select: str, most: int, target: int, tail: int, breaks: bool) -> str
  g1 as (select *, (row_number() over (partition by subject_id, window_ord, tie order by idx) - 1) // {most} as slice from g0),
  g2 as (select subject_id, window_ord, tie, slice, count(*) as len, {'bool_or(brk)' if breaks else 'false'} as brk from g1 group by 1, 2, 3, 4),
  g as materialized (select subject_id, window_ord, row_number() over (partition by subject_id, window_ord order by tie, slice) as grp, len, brk from g2),
- st(subject_id, window_ord, grp, len, cur, chunk, brk) as (select subject_id, window_ord, grp, len, len, 0, brk from g where grp = 1
+ sq(subject_id, window_ord, grp, len, cur, chunk, brk) as (select subject_id, window_ord, grp, len, len, 0, brk from g where grp = 1
   union all select g.subject_id, g.window_ord, g.grp, g.len, case when not g.brk and cur + g.len <= {most} and cur < {target} then cur + g.len else g.len end, case when not g.brk and cur + g.len <= {most} and cur < {target} then chunk else chunk + 1 end, g.brk
-  from st join g on g.subject_id = st.subject_id and g.window_ord = st.window_ord and g.grp = st.grp + 1),
- c0 as (select subject_id, window_ord, chunk, sum(len) as len, arg_min(brk, grp) as brk from st group by 1, 2, 3),
+  from sq join g on g.subject_id = sq.subject_id and g.window_ord = sq.window_ord and g.grp = sq.grp + 1),
+ c0 as (select subject_id, window_ord, chunk, sum(len) as len, arg_min(brk, grp) as brk from sq group by 1, 2, 3),
  c1 as (select *, lag(len) over w as before, lead(chunk) over w is null as ends from c0 window w as (partition by subject_id, window_ord order by chunk)),
  c2 as (select subject_id, window_ord, case when ends and before is not null and len < {tail} and not brk and before + len <= {most} then chunk - 1 else chunk end as chunk_ord, len from c1),
  ck as (select *, (sum(len) over (partition by subject_id, window_ord order by chunk_ord) - len)::bigint as from_pos from (select subject_id, window_ord, chunk_ord, sum(len)::bigint as len from c2 group by 1, 2, 3))"""
@@ -537,7 +537,7 @@ def rvq_tokens(spark, d):
 
 # --- further operators ---
 
-STATIC = "sx as (select distinct subject_id, case when subject_id % 2 = 0 then 31 else 30 end as sex, epoch_us(timestamp '1950-01-01' + to_days((subject_id * 700)::int)) as birth_us from m)"
+STATIC = "sx as (select distinct subject_id, case when subject_id % 2 = 0 then 31 else 30 end as sex, epoch_us(timestamp '1950-01-01' + to_days((subject_id % 60 * 300)::int)) as birth_us from m)"
 ASOF = "(select arg_max(numeric_value, pos) from ev where ev.subject_id = an.subject_id and u = '{}' and numeric_value is not null and t_us <= anchor_us)"
 ANCHOR = "an as (select subject_id, coalesce(min(t_us) filter (where p in ('HOSPITAL_ADMISSION','ICU_ADMISSION','ED_REGISTRATION','TRANSFER_TO','ADMISSION')), min(t_us)) + 864000000000 as anchor_us from ev group by 1)"
 
@@ -545,7 +545,7 @@ ANCHOR = "an as (select subject_id, coalesce(min(t_us) filter (where p in ('HOSP
 def with_static(m: DataFrame) -> DataFrame:
     """Events with a birth and a gender row for each subject, before all others."""
     s = m.select("subject_id").distinct()
-    birth = s.select("subject_id", F.lit(-2).cast("long").alias("event_id"), F.expr("timestamp '1950-01-01' + make_dt_interval(subject_id * 700)").alias("time"), F.lit("MEDS_BIRTH").alias("code"))
+    birth = s.select("subject_id", F.lit(-2).cast("long").alias("event_id"), F.expr("timestamp '1950-01-01' + make_dt_interval(subject_id % 60 * 300)").alias("time"), F.lit("MEDS_BIRTH").alias("code"))
     sex = s.select("subject_id", F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("timestamp").alias("time"), F.when(F.col("subject_id") % 2 == 0, "GENDER//M").otherwise("GENDER//F").alias("code"))
     both = birth.union(sex).withColumn("t_us", F.unix_micros("time")).withColumn("numeric_value", F.lit(None).cast("double"))
     return A.ordered(m.drop("pos").unionByName(both), "event_id")
@@ -581,10 +581,10 @@ def eval_metrics(spark, d):
     return audit.error_metrics(x, 500).select("var_id", "n", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"))
 
 
-@query("select p_partkey as raw_id, e.vec_id is not null as has_vector, round(coalesce(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x))), 0), 4) as norm from part left join (select * from embeddings where len(embedding) = 64 and vec_id % 2 = 0) e on e.vec_id = p_partkey")
+@query("select p_partkey as raw_id, e.vec_id is not null as has_vector, round(coalesce(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x))), 0), 4) as norm from part left join (select * from embeddings where len(embedding) = 64) e on e.vec_id = p_partkey")
 def embedding_fill(spark, d):
     v = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("code"), F.col("p_partkey").alias("raw_id"))
-    e = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 2 = 0").select(F.col("vec_id").alias("code"), F.col("embedding").cast("array<double>").alias("vector"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("code"), F.col("embedding").cast("array<double>").alias("vector"))
     t = collate.embedding_table(v, e, 64)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     back = t.join(e.withColumnRenamed("code", "raw_id").withColumnRenamed("vector", "raw"), "raw_id", "left")
@@ -632,3 +632,6 @@ def rebalanced(spark, d):
 @query(O.coded("select subject_id, pos, case when numeric_value is null then 0 else least(greatest(1 + floor(least(greatest((ln(1 + least(greatest(numeric_value, 1), 400)) - ln(2)) / (ln(401) - ln(2)), 0), 1) * 3)::int, 1), 4) end as dosage_bin from ev where category = 'MEDICATION'"))
 def med_attrs(spark, d):
     return coded(spark, d).where("category = 'MEDICATION'").select("subject_id", "pos", N.bin_id(F.col("numeric_value"), "dosage").alias("dosage_bin"))
+
+
+from . import further  # noqa: E402, F401

@@ -33,7 +33,7 @@ def ordered(events: DataFrame, *by: str) -> DataFrame:
 def meds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subject_id, event_id, time, t_us, code, numeric_value, pos."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = events.selectExpr("user_id % 20 as subject_id", "cast(ts as timestamp) as time", "event_id", "event_type", "value", f"{K} as k")
+    rows = events.selectExpr("user_id as subject_id", "cast(ts as timestamp) as time", "event_id", "event_type", "value", f"{K} as k")
     rows = rows.selectExpr("subject_id", "event_id", "time", "unix_micros(time) as t_us", f"{CODE} as code", f"{VALUE} as numeric_value")
     return ordered(rows, "event_id")
 
@@ -57,9 +57,25 @@ def splits(subjects: DataFrame) -> DataFrame:
 def of_split(events: DataFrame, table: DataFrame, split: str) -> DataFrame:
     """Events of the subjects of a split; val and test are other names for two."""
     name = {"val": "tuning", "test": "held_out"}.get(split, split)
+    if table.where(F.col("split") == name).isEmpty():
+        raise ValueError(f"no subjects in the split {split}")
     return events.join(table.where(F.col("split") == name).select("subject_id"), "subject_id", "left_semi")
 
 
 def sample_subjects(subjects: DataFrame, n: int, seed: int) -> DataFrame:
     """n subjects by the order of a seeded hash, the same in every run."""
     return subjects.select("subject_id").distinct().orderBy(F.xxhash64("subject_id", F.lit(seed)), "subject_id").limit(n)
+
+
+def listed(text: str, spark: SparkSession) -> DataFrame:
+    """subject_id of a written list of ids, "1,2,3"."""
+    return spark.createDataFrame([(text,)], "t string").select(F.explode(F.split("t", ",")).alias("s")).where(F.trim("s") != "").select(F.trim("s").cast("long").alias("subject_id")).distinct()
+
+
+def chosen(subjects: DataFrame, n: int, strategy: str = "random", seed: int = 0) -> DataFrame:
+    """n subjects: the first by id, or a seeded sample."""
+    if strategy == "first":
+        return subjects.select("subject_id").distinct().orderBy("subject_id").limit(n)
+    if strategy != "random":
+        raise ValueError(f"unknown strategy {strategy}")
+    return sample_subjects(subjects, n, seed)
