@@ -29,6 +29,11 @@ def _pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
+def _steps(x: np.ndarray) -> bytes:
+    """Numbers in order, by their differences."""
+    return _pack(np.diff(x.view(np.uint64), prepend=np.uint64(0)).view(np.int64))
+
+
 def _unpack(block: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
@@ -78,7 +83,7 @@ def meet(df: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[Rows]], later:
             at = np.flatnonzero(known)
             turn = int(part[0])
             out += [((turn + p) % n, True, x, tag) for p, x in enumerate(np.array_split(at, min(n, 1 + len(at) // 10_000))) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.bool_())] + [pa.array([_pack(col[o[2]] if col is not None else o[3][o[2]]) for o in out], pa.binary()) for col in (key, owner, None)], names=["part", "known", "key", "owner", "tag"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.bool_())] + [pa.array([_steps(key[o[2]]) for o in out], pa.binary()), pa.array([_pack(owner[o[2]]) for o in out], pa.binary()), pa.array([_pack(o[3][o[2]]) for o in out], pa.binary())], names=["part", "known", "key", "owner", "tag"])
 
         count = 0
         for batch in batches:
@@ -99,7 +104,8 @@ def meet(df: DataFrame, emit: Callable[[pa.RecordBatch], Iterator[Rows]], later:
         held: list[Rows] = []
         for batch in batches:
             for known, *block in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                got = tuple(map(_unpack, block))
+                steps, *rest = map(_unpack, block)
+                got = (np.cumsum(steps.view(np.uint64)).view(np.int64), *rest)
                 if known:
                     yield from rows(*got)
                 else:
