@@ -118,12 +118,16 @@ def write_shards(tokens: DataFrame, path: str, shards: int) -> None:
     tokens.withColumn("shard", F.pmod(F.xxhash64("subject_id"), F.lit(shards))).repartition("shard").sortWithinPartitions("subject_id", "idx").write.mode("append").partitionBy("shard").parquet(path)
 
 
+def codebooks(levels: int, size: int, seed: int) -> list[np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return [np.sort(rng.normal(0, 6.0 / 4**i, size)) for i in range(levels)]
+
+
 def quantised(samples: DataFrame, levels: int = 2, size: int = 256, seed: int = 7) -> DataFrame:
     """samples with code: the value (on a log scale) by residual quantisation, each level
     the nearest of ``size`` codes to what the ones before left. The codebooks follow from
     the seed; batches are compared at once."""
-    rng = np.random.default_rng(seed)
-    books = [np.sort(rng.normal(0, 6.0 / 4**i, size)) for i in range(levels)]
+    books = codebooks(levels, size, seed)
 
     @F.pandas_udf("long")
     def code(v: pd.Series) -> pd.Series:

@@ -530,7 +530,14 @@ def index_manifest(spark, d):
     return collate.index(A.meds(spark, d), A.splits(A.meds(spark, d)), 8)
 
 
-@query()
+def _books() -> str:
+    return ", ".join("[" + ", ".join(f"{x!r}::double" for x in b.tolist()) + f"] as b{i}" for i, b in enumerate(collate.codebooks(2, 256, 7)))
+
+
+_NEAREST = "list_position(list_transform({b}, lambda y: abs(y - {x})), list_min(list_transform({b}, lambda y: abs(y - {x})))) - 1"
+
+
+@query(O.with_ctes(O.coded, CODE2ID + f", bo as (select {_books()}), rs as (select subject_id, pos, var_id, numeric_value as value, coalesce(t_us - lag(t_us) over (partition by subject_id, var_id order by pos), 0) as dt_us, sign(numeric_value) * ln(1 + abs(numeric_value)) as x from ev join c2i using (code) where {NUMERIC}), r1 as (select rs.*, b0, b1, {_NEAREST.format(b='b0', x='x')} as c0 from rs, bo)", f"select subject_id, pos, var_id, value, dt_us, (c0 + 256 * ({_NEAREST.format(b='b1', x='(x - b0[c0 + 1])')}))::bigint as code from r1"))
 def rvq_tokens(spark, d):
     return collate.quantised(audit.value_samples(coded(spark, d), audit.measurement_ids(coded(spark, d), 5)))
 
