@@ -268,7 +268,15 @@ def surface_floor(spark, d):
     return vocab.surface_floor(k, 3).select("surface", "code", "n")
 
 
-@query()
+BUDGET = """k as (select category as surface, code, bool_or(rare) as rare, count(*) as n from ev group by 1, 2),
+ k1 as (select *, case when rare then 0 when row_number() over (partition by surface, rare order by n desc, code) <= 3 then 1 end as pass from k),
+ u as (select greatest(60 - count(pass), 0) as room from k1), q0 as (select surface, sqrt(sum(n)) as w from k1 group by 1),
+ q1 as (select surface, room, room * w / sum(w) over () as share from q0, u), q2 as (select *, floor(share) as q, row_number() over (order by share - floor(share) desc, surface desc) as rank from q1),
+ q3 as (select surface, q + (rank <= room - sum(q) over ())::int as quota from q2),
+ k2 as (select surface, code, n, coalesce(pass, case when row_number() over (partition by surface, pass is null order by n desc, code) <= quota then 2 else 3 end) as pass from k1 join q3 using (surface))"""
+
+
+@query(O.with_ctes(O.coded, BUDGET, "select surface, code, n, ['rare', 'floor', 'quota', 'fill'][pass + 1] as picked_by from k2 qualify row_number() over (order by pass, n desc, code) <= 60"))
 def budget_select(spark, d):
     k = coded(spark, d).groupBy(F.col("category").alias("surface"), "code").agg(F.max(R.rare_critical(F.col("code"))).alias("rare"), F.count("*").alias("n"))
     return vocab.budget(k, 60, 3)
