@@ -284,11 +284,12 @@ def test_short_lines_that_repeat_exactly(spark):
     assert got == {0: ("short line\none", 1), 1: ("中文没有空格的一行", 1), 2: ("short lines\n\n", 1)}
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_near_lines_by_edit_distance_alone(spark, monkeypatch, small):
-    monkeypatch.setattr(lines, "SMALL", small)
+@pytest.mark.parametrize(("small", "pivots", "block", "kinds"), [(64, 4, 2048, 300), (2, 4, 2048, 300), (2, 1, 4, 6)])
+def test_near_lines_by_edit_distance_alone(spark, monkeypatch, small, pivots, block, kinds):
+    for name, value in (("SMALL", small), ("PIVOTS", pivots), ("BLOCK", block)):
+        monkeypatch.setattr(lines, name, value)
     r = random.Random(11)
-    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(kinds)]
     texts = []
     for n in [5, 6, 9, 10, 14, 15, 16, 18, 19, 20, 24, 25, 40, 60] * 3:
         w = [r.choice(vocabulary) for _ in range(n)]
