@@ -284,9 +284,9 @@ def test_short_lines_that_repeat_exactly(spark):
     assert got == {0: ("short line\none", 1), 1: ("中文没有空格的一行", 1), 2: ("short lines\n\n", 1)}
 
 
-@pytest.mark.parametrize(("small", "pivots", "block", "kinds"), [(64, 4, 2048, 300), (2, 4, 2048, 300), (2, 1, 4, 6)])
-def test_near_lines_by_edit_distance_alone(spark, monkeypatch, small, pivots, block, kinds):
-    for name, value in (("SMALL", small), ("PIVOTS", pivots), ("BLOCK", block)):
+@pytest.mark.parametrize(("small", "pivots", "block", "others", "kinds"), [(64, 4, 2048, 512, 300), (2, 4, 2048, 512, 300), (2, 1, 4, 2, 6)])
+def test_near_lines_by_edit_distance_alone(spark, monkeypatch, small, pivots, block, others, kinds):
+    for name, value in (("SMALL", small), ("PIVOTS", pivots), ("BLOCK", block), ("OTHERS", others)):
         monkeypatch.setattr(lines, name, value)
     r = random.Random(11)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(kinds)]
