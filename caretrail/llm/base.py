@@ -126,7 +126,7 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: n
 class Words:
     """The words of a run of texts: where they stand, their text's number and hash."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, inside: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, inside: np.ndarray, lower: bool, hashed: bool = True):
         self.data, self.n = data, len(bounds) - 1
         ok = inside[data]
         cut = np.zeros(len(data) + 1, bool)
@@ -137,7 +137,8 @@ class Words:
         self.ends = np.flatnonzero(ok & (~after | cut[1:])) + 1
         #: first[i]:first[i + 1] are the words of text i.
         self.first = np.searchsorted(self.starts, bounds)
-        self.hash = self.hashed(self.ends, lower)
+        if hashed:
+            self.hash = self.hashed(self.ends, lower)
 
     def hashed(self, ends: np.ndarray, lower: bool = True) -> np.ndarray:
         """Hashes of the bytes from each word's start to the given end in it, a run of

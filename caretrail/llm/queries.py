@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, jaccard, licenses, lines, ordering, phrases, pieces, substring, toxicity
+from . import bitsliced, importance, jaccard, licenses, lines, ordering, phrases, pieces, substring, toxicity
 from .base import table
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -61,7 +61,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "spans")
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_training_order": op2_training_order, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op6_line_dedup": op6_line_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity}
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=2, buckets=10_000, percent=25, least_words=20, key=7)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_training_order": op2_training_order, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op6_line_dedup": op6_line_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity, "op12_importance": op12_importance}
 #: Words of a text in SQL: runs outside a class of characters, A-Z in lower case or not.
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -94,4 +99,17 @@ ORACLES: dict[str, str] = {
  g as (select distinct doc_id, unnest(range(i, i + 50)) as p from x join f using (h1, h2) where f < doc_id),
  k as (select doc_id, list(p) as gone from g group by 1)
  select d.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed, sha256(array_to_string(case when gone is null then w else list_filter(w, lambda a, i: not list_contains(gone, i)) end, ' ')) as kept_sha256 from d left join k using (doc_id)""",
+    "op12_importance": f"""with d as (select row_number() over () as r, doc_id, {_WORDS.format(_LOW)} as w from documents), b as (select {_WORDS.format(_LOW)} as w from benchmark),
+ fd as (select r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from d),
+ fb as (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from b),
+ step as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end, i) order by i) as t from range(256) x(i)),
+ u as (select f, hex(encode(f)) as h from (select distinct f from (select f from fd union all select f from fb))),
+ c as (select f, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i + 1])::bigint), lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8), 4294967295::bigint), 4294967295::bigint) % 10000 as k from u, step),
+ nd as (select r, k, count(*) as n from fd join c using (f) group by 1, 2), s as (select k, sum(n) as s from nd group by 1),
+ t as (select k, count(*) as t from fb join c using (f) group by 1),
+ g as (select k, floor(1000 * ln(((coalesce(t, 0) + 1) * ((select sum(s) from s) + 10000))::double / ((s + 1) * ((select coalesce(sum(t), 0) from t) + 10000))::double)) as g from s left join t using (k)),
+ a as (select r, sum(n)::bigint as n, floor(sum(n * g) / sum(n))::bigint as weight from nd join g using (k) group by 1),
+ z as (select r, doc_id, len(w) as n_words, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::varchar, 'null'))[1:8])::bigint + 0.5) / 4294967296)))::bigint as score from d left join a using (r)),
+ p as (select r, row_number() over (order by score desc, doc_id nulls first) as p, count(*) over () as n from z where n_words >= 20)
+ select doc_id, n_features::bigint as n_features, weight, score, case when p <= n * 25 // 100 then p end::bigint as rank from z left join p using (r)""",
 }
