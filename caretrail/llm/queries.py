@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, importance, jaccard, licenses, lines, ordering, phrases, pieces, substring, toxicity
+from . import bitsliced, importance, jaccard, lexical, licenses, lines, ordering, phrases, pieces, substring, toxicity
 from .base import table
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -61,12 +61,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "spans")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=2, buckets=10_000, percent=25, least_words=20, key=7)
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_training_order": op2_training_order, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op6_line_dedup": op6_line_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity, "op12_importance": op12_importance}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_training_order": op2_training_order, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op6_line_dedup": op6_line_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity, "op11_lexical": op11_lexical, "op12_importance": op12_importance}
 #: Words of a text in SQL: runs outside a class of characters, A-Z in lower case or not.
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -99,6 +103,13 @@ ORACLES: dict[str, str] = {
  g as (select distinct doc_id, unnest(range(i, i + 50)) as p from x join f using (h1, h2) where f < doc_id),
  k as (select doc_id, list(p) as gone from g group by 1)
  select d.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed, sha256(array_to_string(case when gone is null then w else list_filter(w, lambda a, i: not list_contains(gone, i)) end, ' ')) as kept_sha256 from d left join k using (doc_id)""",
+    "op11_lexical": f"""with d as (select row_number() over () as r, doc_id, {_WORDS.format(_LOW)} as w from documents), x as (select r, unnest(w) as term from d),
+ c as (select r, term, count(*) as tf from x group by 1, 2), z as (select r, doc_id, len(w) as n from d where len(w) > 0),
+ a as (select count(*) as n_docs, sum(n)::bigint as l from z), w as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from c, a group by term, n_docs),
+ p as (select r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // l)))) as p from c join z using (r) join w using (term), a),
+ q as (select item_id, unnest({_WORDS.format(_LOW)}) as term from (select distinct item_id, text from benchmark)),
+ s as (select item_id, r, doc_id, sum(p)::bigint as score from q join p using (term) group by 1, 2, 3)
+ select item_id, rank, doc_id, score from (select *, (row_number() over (partition by item_id order by score desc, doc_id nulls first))::int as rank from s where score > 0) where rank <= 10""",
     "op12_importance": f"""with d as (select row_number() over () as r, doc_id, {_WORDS.format(_LOW)} as w from documents), b as (select {_WORDS.format(_LOW)} as w from benchmark),
  fd as (select r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from d),
  fb as (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from b),
