@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, importance, jaccard, lexical, licenses, lines, ordering, phrases, pieces, substring, toxicity
+from . import bitsliced, importance, jaccard, lexical, licenses, lines, ordering, phrases, pieces, substring, toxicity, warc
 from .base import table
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -70,7 +70,11 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_training_order": op2_training_order, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op6_line_dedup": op6_line_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity, "op11_lexical": op11_lexical, "op12_importance": op12_importance}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0, segment_bytes=8192, chunk_bytes=4096).drop("problem")
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_training_order": op2_training_order, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_substring_dedup": op5_substring_dedup, "op6_line_dedup": op6_line_dedup, "op7_pieces": op7_pieces, "op8_token_counts": op8_token_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity, "op11_lexical": op11_lexical, "op12_importance": op12_importance, "op13_warc": op13_warc}
 #: Words of a text in SQL: runs outside a class of characters, A-Z in lower case or not.
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -123,4 +127,7 @@ ORACLES: dict[str, str] = {
  z as (select r, doc_id, len(w) as n_words, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::varchar, 'null'))[1:8])::bigint + 0.5) / 4294967296)))::bigint as score from d left join a using (r)),
  p as (select r, row_number() over (order by score desc, doc_id nulls first) as p, count(*) over () as n from z where n_words >= 20)
  select doc_id, n_features::bigint as n_features, weight, score, case when p <= n * 25 // 100 then p end::bigint as rank from z left join p using (r)""",
+    "op13_warc": """with p as (select page_id, encode(coalesce(html, '')) as b from pages), h as (select page_id, b, octet_length(b)::bigint as n, sha1(b) as x, max(page_id) over (partition by b) as top from p)
+ select page_id, n as payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(((('0x' || x[10 * (i // 8) + 1:10 * (i // 8) + 10])::bigint >> (35 - 5 * (i % 8))::int) & 31) + 1)::int]), '') as payload_digest,
+ case when page_id is not distinct from top then 'response' else 'revisit' end as record_type, case when page_id is distinct from top then top end as refers_to from h""",
 }
