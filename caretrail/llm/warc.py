@@ -15,7 +15,9 @@ then the HTTP message is taken apart: header, chunked framing or stated length,
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import io
 import re
 import uuid
@@ -32,30 +34,25 @@ ARCHIVE_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
 #: Parts that the rows of one payload are dealt to.
 SALTS = 64
-_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FIELDS = "record_id string, type string, uri string, refers_to string, declared string"
 
 
-def base32_sha1(data: Column) -> Column:
-    """The SHA-1 of binary data, 32 upper-case base32 digits."""
-    digest, digits = F.sha1(data), []
-    for i in range(4):
-        part = F.conv(F.substring(digest, 10 * i + 1, 10), 16, 10).cast("long")
-        digits += [F.substring(F.lit(_BASE32), (F.shiftright(part, 35 - 5 * j).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for j in range(8)]
-    return F.concat(*digits)
+def base32_sha1(data: bytes) -> str:
+    """The SHA-1 of bytes, 32 upper-case base32 digits."""
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
 # --- writing --------------------------------------------------------------------
 
 
 def kinds(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages(page_id, url, payload) with digest and top: the largest page_id with the same
+    """pages(page_id, url, payload) with digest (SHA-1, hexadecimal) and top: the largest page_id with the same
     payload, null where the payload is shorter than least_bytes.
 
     A payload that many pages share is dealt to SALTS parts, counted there first."""
     salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    rows = pages.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("salt", salt)
+    rows = pages.withColumn("digest", F.sha1("payload")).withColumn("salt", salt)
     parts = rows.groupBy("digest", "salt").agg(F.max("page_id").alias("m"))
     whole = parts.groupBy("digest").agg(F.max("m").alias("top"))
     tops = parts.join(whole, "digest").select("digest", "salt", "top")
@@ -82,7 +79,8 @@ def _uri(url: str | None) -> str | None:
 
 
 def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, top: int | None, revisit: bool, date: str, segment_bytes: int, chunk_bytes: int):
-    """The records of one page, each without its last byte."""
+    """The records of one page, each without its last byte; digest is hexadecimal."""
+    digest = base64.b32encode(bytes.fromhex(digest)).decode()
     name = lambda i: f"<urn:page:{'' if i is None else i}:{digest}>"
     own = [("WARC-Record-ID", name(page_id)), ("WARC-Date", date), ("WARC-Target-URI", _uri(url)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -137,7 +135,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, segment_bytes: int
 
     text = rows.mapInArrow(made, "value binary").select(F.col("value").cast("string"))
     most = max(1, ARCHIVE_BYTES // (segment_bytes + 1024))
-    text.write.option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    text.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", most).text(path)
 
 
 # --- reading --------------------------------------------------------------------
@@ -236,7 +234,8 @@ class _Out:
 
 _TEXTS = [pa.field(n.split()[0], pa.string()) for n in _FIELDS.split(", ")]
 _SEGMENT = pa.schema([*_TEXTS, pa.field("origin", pa.string()), pa.field("number", pa.int64()), pa.field("total", pa.int64()), pa.field("block", pa.binary())])
-_READ = pa.schema([*_TEXTS, pa.field("payload", pa.binary()), pa.field("problem", pa.string())])
+_READ = pa.schema([*_TEXTS, pa.field("payload", pa.binary()), pa.field("size", pa.int64()), pa.field("digest", pa.string()), pa.field("problem", pa.string())])
+_READS = f"{_FIELDS}, payload binary, size long, digest string, problem string"
 _WANTED = ("response", "resource", "revisit")
 
 
@@ -248,6 +247,15 @@ def _named(fields: dict[str, str]) -> tuple:
     return tuple(fields.get(k) for k in ("warc-record-id", "warc-type", "warc-target-uri", "warc-refers-to", "warc-payload-digest"))
 
 
+def _decoded(named: tuple, block: bytes | None, payloads: bool) -> tuple:
+    """A row of _READ: the payload's size and digest, itself if asked for, and what is wrong."""
+    payload, problem = payload_of(named[1], block)
+    digest = base32_sha1(payload) if payload is not None else None
+    if digest and (named[4] or "").startswith("sha1:") and named[4] != f"sha1:{digest}":
+        payload, digest, problem = None, None, "digest"
+    return (*named, payload if payloads else None, None if digest is None else len(payload), digest, problem)
+
+
 def _segments(archives: DataFrame) -> DataFrame:
     def run(batches):
         out = _Out(_SEGMENT)
@@ -264,21 +272,21 @@ def _segments(archives: DataFrame) -> DataFrame:
     return archives.mapInArrow(run, f"{_FIELDS}, origin string, number long, total long, block binary")
 
 
-def _whole(archives: DataFrame) -> DataFrame:
+def _whole(archives: DataFrame, payloads: bool) -> DataFrame:
     def run(batches):
         out = _Out(_READ)
         for batch in batches:
             for i in range(batch.num_rows):
                 for fields, block in parse(opened(batch.column(0)[i].as_py())):
                     if "warc-segment-number" not in fields and fields.get("warc-type") in _WANTED:
-                        payload, problem = payload_of(fields["warc-type"], block)
-                        yield from out.add((*_named(fields), payload, problem), len(payload or b""))
+                        row = _decoded(_named(fields), block, payloads)
+                        yield from out.add(row, len(row[5] or b""))
         yield from out.flush()
 
-    return archives.mapInArrow(run, f"{_FIELDS}, payload binary, problem string")
+    return archives.mapInArrow(run, _READS)
 
 
-def assembled(segments: DataFrame) -> DataFrame:
+def assembled(segments: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of segments(record_id, ..., origin, number, total, block): those of an origin
     by number, which must run from 1 without a gap and add up to the stated total length;
     else the payload is null and problem says "segments".
@@ -287,11 +295,10 @@ def assembled(segments: DataFrame) -> DataFrame:
     with the same content counts once, with other content is a problem."""
 
     def record(first, blocks, times, total, bad):
-        payload, problem = None, "segments"
+        row = (*(first or (None,) * 5), None, None, None, "segments")
         if first is not None and not bad and total == sum(map(len, blocks)):
-            payload, problem = payload_of(first[1], b"".join(blocks))
-        row = (*(first or (None,) * 5), payload, problem)
-        return [row] * (times if problem is None else 1), len(payload or b"")
+            row = _decoded(first, b"".join(blocks), payloads)
+        return [row] * (times if row[-1] is None else 1), len(row[5] or b"")
 
     def run(batches):
         out = _Out(_READ)
@@ -324,12 +331,13 @@ def assembled(segments: DataFrame) -> DataFrame:
         yield from out.flush()
 
     ordered = segments.repartition("origin").sortWithinPartitions("origin", "number")
-    return ordered.mapInArrow(run, f"{_FIELDS}, payload binary, problem string")
+    return ordered.mapInArrow(run, _READS)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, type, uri, refers_to, declared (the stated payload digest), payload and
-    problem of each response, resource and revisit in the archives of path.
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """record_id, type, uri, refers_to, declared (the stated payload digest), payload, its
+    size and digest, and problem of each response, resource and revisit in the archives of
+    path. Without payloads that column is null; they are read and verified all the same.
 
     problem is null where all is well; else the payload is null and it names the first
     fault: truncated, segments, header, framing, length, or digest (the stated one is another
@@ -337,9 +345,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ``write`` are bounded, others may have up to 2 GB.
     """
     archives = spark.read.format("binaryFile").load(path).select("content")
-    found = _whole(archives).union(assembled(_segments(archives)))
-    wrong = F.col("problem").isNull() & F.col("payload").isNotNull() & F.col("declared").startswith("sha1:") & (F.col("declared") != F.concat(F.lit("sha1:"), base32_sha1(F.col("payload"))))
-    return found.select("record_id", "type", "uri", "refers_to", "declared", F.when(~F.coalesce(wrong, F.lit(False)), F.col("payload")).alias("payload"), F.coalesce("problem", F.when(wrong, "digest")).alias("problem"))
+    return _whole(archives, payloads).union(assembled(_segments(archives), payloads))
 
 
 def _page(record_id: Column) -> Column:
@@ -351,7 +357,7 @@ def pages_of(records: DataFrame) -> DataFrame:
     of each record of ``read`` over archives of ``write``. What a revisit leaves out comes
     from its response, met by record id; rows that revisit one response are dealt to SALTS
     parts. A revisit without a response has the problem "missing"."""
-    narrow = records.select("record_id", "type", "refers_to", "declared", "problem", F.octet_length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("digest"))
+    narrow = records.select("record_id", "type", "refers_to", "problem", "size", "digest")
     own = narrow.where("type <> 'revisit'")
     whole = own.select(_page(F.col("record_id")).alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "problem")
     again = narrow.where("type = 'revisit'").select("record_id", "refers_to", "problem", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).alias("salt"))
@@ -370,4 +376,4 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, segment_bytes: int = 1 <<
     write(pages, path, least_bytes, segment_bytes, chunk_bytes)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return pages_of(read(spark, path))
+    return pages_of(read(spark, path, payloads=False))
