@@ -41,31 +41,33 @@ def resolve(events: DataFrame, vocab: DataFrame, parents: DataFrame | None = Non
     (stage unk). With drop_unknowns what no table holds is left out.
     """
     codes = code_counts(events)
-    up = F.upper("code")
-    own = [(0, F.array("base", "code")), (1, T.candidates(F.col("base"), F.col("category")))]
-    pieces = [codes.select("category", "code", F.lit(s).alias("stage_no"), F.posexplode(a).alias("place", "entry")) for s, a in own]
-    if parents is not None:
-        keys = codes.select("category", "code", F.explode(F.array_distinct(F.array(up, F.upper("base"), F.upper(T.without_action(F.col("code")))))).alias("key"))
-        found = keys.join(parents, ["category", "key"]).select("category", "code", "parent")
-        both = F.array_distinct(F.concat(F.array("parent"), T.candidates(F.col("parent"), F.col("category"))))
-        pieces.append(found.select("category", "code", F.lit(2).alias("stage_no"), F.posexplode(both).alias("place", "entry")))
-    lexical = codes.select("category", "code", F.explode(T.lexical_keys(F.col("code"), F.col("category"))).alias("key"))
-    if crosswalk is not None:
-        pieces.append(lexical.join(crosswalk, ["category", "key"]).select("category", "code", F.lit(3).alias("stage_no"), F.lit(0).alias("place"), F.col("target").alias("entry")))
-    bridge = vocab.withColumn("key", T.lexical_key(F.element_at(F.split("entry", "//"), -1))).where("key is not null").groupBy("category", "key").agg(F.min("entry").alias("entry"), F.count_distinct("entry").alias("k")).where("k = 1")
-    pieces.append(lexical.join(bridge, ["category", "key"]).select("category", "code", F.lit(4).alias("stage_no"), F.lit(0).alias("place"), "entry"))
-    every = pieces[0]
-    for p in pieces[1:]:
-        every = every.unionByName(p)
-    hits = every.join(vocab, ["category", "entry"]).withColumn("gid", F.col("raw_id") + _offset(""))
+    known = vocab.select("category", F.lit("entry").alias("kind"), "entry", (F.col("raw_id") + _offset("")).alias("gid"))
     if residual is not None:
-        left = codes.select("category", "code", F.lit(5).alias("stage_no"), F.posexplode(T.residual_candidates(F.col("code"), F.col("base"), F.col("category"))).alias("place", "entry"))
-        hits = hits.unionByName(left.join(residual, ["category", "entry"]).withColumn("gid", F.col("raw_id") + _offset("_residual")))
-    best = hits.groupBy("category", "code").agg(F.min_by(F.struct("stage_no", "entry", "gid"), F.struct("stage_no", "place")).alias("b"))
+        known = known.unionByName(residual.select("category", F.lit("residual").alias("kind"), "entry", (F.col("raw_id") + _offset("_residual")).alias("gid")))
+    probe = lambda stage, kind, names: F.transform(names, lambda x, i: F.struct(F.lit(stage).alias("stage_no"), i.alias("place"), F.lit(kind).alias("kind"), x.alias("name")))
+    own, category = F.col("base"), F.col("category")
+    above = F.array_distinct(F.array(F.upper("code"), F.upper("base"), F.upper(T.without_action(F.col("code")))))
+    # every code keeps a row, so that those that meet nothing need no second look at the codes
+    probes = F.concat(F.array(F.struct(F.lit(9).alias("stage_no"), F.lit(0).alias("place"), F.lit("none").alias("kind"), F.col("code").alias("name"))), probe(0, "entry", F.array("base", "code")), probe(1, "entry", T.candidates(own, category)), probe(2, "parent", above), probe(3, "name", T.lexical_keys(F.col("code"), category)), probe(5, "residual", T.residual_candidates(F.col("code"), own, category)))
+    every = codes.select("category", "code", "base", "n", F.explode(F.filter(probes, lambda x: x["name"].isNotNull())).alias("p")).select("category", "code", "base", "n", "p.*")
+    bridge = vocab.withColumn("name", T.lexical_key(F.element_at(F.split("entry", "//"), -1))).where("name is not null").groupBy("category", "name").agg(F.min("entry").alias("entry"), F.count_distinct("entry").alias("k")).where("k = 1")
+    links = bridge.select("category", F.lit("name").alias("kind"), "name", F.lit(4).alias("to"), F.array("entry").alias("entries"))
+    if crosswalk is not None:
+        links = links.unionByName(crosswalk.select("category", F.lit("name").alias("kind"), F.col("key").alias("name"), F.lit(3).alias("to"), F.array("target").alias("entries")))
+    if parents is not None:
+        spelled = F.array_distinct(F.concat(F.array("parent"), F.coalesce(T.candidates(F.col("parent"), category), F.array().cast("array<string>"))))
+        links = links.unionByName(parents.select("category", F.lit("parent").alias("kind"), F.col("key").alias("name"), F.lit(2).alias("to"), spelled.alias("entries")))
+    linked = every.join(links, ["category", "kind", "name"], "left")
+    direct = F.col("kind").isin("entry", "residual")
+    tried = linked.select("category", "code", "base", "n", F.coalesce("to", "stage_no").alias("stage_no"), "place", F.when(F.col("kind") == "residual", "residual").otherwise("entry").alias("kind"), F.posexplode_outer(F.when(direct, F.array("name")).otherwise(F.col("entries"))).alias("at", "entry"))
+    met = tried.join(known, ["category", "kind", "entry"], "left")
+    best = F.min_by(F.struct("stage_no", "entry", "gid"), F.when(F.col("gid").isNotNull(), F.struct("stage_no", "place", "at", "entry")))
+    out = met.groupBy("category", "code", "base", "n").agg(best.alias("b"))
+    if drop_unknowns:
+        out = out.where("b is not null")
     names = F.array(*map(F.lit, STAGES))
     key = F.get(T.residual_candidates(F.col("code"), F.col("base"), F.col("category")), F.lit(0))
     tail = F.crc32(F.encode(key, "UTF-8")) % C.RESIDUAL_BUCKETS + 1 + _offset("_residual")
-    out = codes.join(best, ["category", "code"], "inner" if drop_unknowns else "left")
     if not hashed:
         return out.select("category", "code", "n", F.coalesce(F.get(names, F.col("b.stage_no")), F.lit("unk")).alias("stage"), "b.entry", F.coalesce("b.gid", _offset("")).alias("gid")).withColumnRenamed("entry", "hit")
     return out.select("category", "code", "n", F.coalesce(F.get(names, F.col("b.stage_no")), F.lit(STAGES[-1])).alias("stage"), F.coalesce("b.entry", key).alias("hit"), F.coalesce(F.col("b.gid"), tail).alias("gid"))

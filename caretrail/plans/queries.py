@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..operators import audit, collate, demographics, segments, timeline, vocab
 from ..sources import adapters as A
 from . import oracle as O
+from . import spelling as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,12 +186,12 @@ def canon_diag(spark, d):
     return A.meds(spark, d).select("code").distinct().select("code", F.array_join(T.diagnosis_candidates(F.col("code")), "|").alias("candidates"))
 
 
-@query(O.coded("select code, case when starts_with(u, 'PROCEDURE//ICD//10//') then 'ICD10PCS//' || list_last(string_split(u, '//')) || '|' || list_last(string_split(u, '//')) when starts_with(u, 'PROCEDURE//CPT//') then 'CPT//' || list_last(string_split(u, '//')) || '|' || list_last(string_split(u, '//')) when code = 'PROCEDURE//START//CT scan' then '' end as candidates from c where category = 'PROCEDURE'"))
+@query(O.coded(f"select code, array_to_string({S.procedure('code')}, '|') as candidates from c where category = 'PROCEDURE'"))
 def canon_proc(spark, d):
     return coded(spark, d).where("category = 'PROCEDURE'").select("code").distinct().select("code", F.array_join(T.procedure_candidates(F.col("code")), "|").alias("candidates"))
 
 
-@query(O.coded("select code, case when code = 'RXNORM//161' then 'RXNORM//161|161' when starts_with(code, 'NDC//') then 'NDC//0002-1200-80|NDC//00000002120080|0002-1200-80|00000002120080' when starts_with(code, 'INFUSION_') then 'RXNORM//225158|225158|INFUSION//225158' || '|' || code when p = 'MEDICATION' and split_part(u, '//', 2) in ('START', 'STOP') then array_to_string(list_filter([nullif('MEDICATION//' || split_part(u, '//', 3), ''), 'MEDICATION//' || split_part(u, '//', 3) || '//' || split_part(u, '//', 2), split_part(u, '//', 3), code], lambda a: a is not null), '|') else 'MEDICATION//' || split_part(u, '//', 2) || '|MEDICATION//' || split_part(u, '//', 2) || '//' || split_part(u, '//', 3) || '|' || split_part(u, '//', 2) || '|' || code end as candidates from c where category = 'MEDICATION'"))
+@query(O.coded(f"select code, array_to_string({S.medication('code')}, '|') as candidates from c where category = 'MEDICATION'"))
 def canon_med(spark, d):
     return coded(spark, d).where("category = 'MEDICATION'").select("code").distinct().select("code", F.array_join(T.medication_candidates(F.col("code")), "|").alias("candidates"))
 
@@ -206,15 +207,10 @@ def surfaces(spark, d):
 VOC = f"""bc as (select category, {O.BASE} as base, count(*) as n from ev where category in ('DIAGNOSIS','PROCEDURE','MEDICATION') group by 1, 2),
  rk as (select *, row_number() over (partition by category order by base) as r from bc where base not in ({O.quoted(vocab.LEFT_OUT)}) and not starts_with(base, 'MEDICATION//DRUG')),
  vo as (select category, base, row_number() over (partition by category order by base) as raw_id from (select category, base from rk where r % 3 <> 0 union values {', '.join(f"('{a}', '{b}')" for a, b in vocab.ADDED)}))"""
-#: What each code of the test tables meets first: spelled out by family, not by the cascade's own steps.
-STAGE = """case when vo.raw_id is not null then 'exact'
- when ev.category = 'DIAGNOSIS' and exists (select 1 from vo v where v.category = 'DIAGNOSIS' and v.base in ('ICD10CM//' || replace(list_last(string_split(upper(ev.code), '//')), '.', ''), replace(list_last(string_split(upper(ev.code), '//')), '.', ''))) then 'canonicalized'
- when ev.category = 'PROCEDURE' and exists (select 1 from vo v where v.category = 'PROCEDURE' and v.base in ('CPT//' || list_last(string_split(ev.code, '//')), 'ICD10PCS//' || list_last(string_split(ev.code, '//')))) then 'canonicalized'
- when ev.category = 'MEDICATION' and exists (select 1 from vo v where v.category = 'MEDICATION' and v.base <> ev.base and regexp_matches(ev.code, '^(RXNORM|NDC|INFUSION)') and v.base in ('RXNORM//' || list_last(string_split(ev.code, '//')), 'INFUSION//' || list_last(string_split(ev.code, '//')))) then 'canonicalized'
- when starts_with(ev.code, 'MEDICATION//START//') then 'parent_lookup'
- when ev.code in ('MEDICATION//Hydromorphone (Dilaudid)//Administered', 'PROCEDURE//START//CT scan') then 'crosswalk_lookup'
- when ev.code = 'DIAGNOSIS//ICD//9//V5867' then 'lexical_bridge'
- when starts_with(ev.code, 'MEDICATION//Acetaminophen') then 'residual_exact' else 'residual_hash' end"""
+#: The small tables of ``vocab`` that go with it.
+_DRUGS = "(select distinct category, upper(code) as key, 'RXNORM//161' as parent from ev where starts_with(code, 'MEDICATION//START//'))"
+_LABELS = "(values ('MEDICATION', 'Hydromorphone (Dilaudid)', 'RXNORM//161', 0), ('PROCEDURE', 'CT scan', 'PROCEDURE//CPT//99213', 1)) lv(category, label, target, ord)"
+CASCADE = VOC + ", " + S.cascade("vo", _DRUGS, _LABELS, "(select * from (values ('MEDICATION', 'MEDICATION//ACETAMINOPHEN', 1)) t(category, entry, raw_id))", vocab.STAGES)
 STAGED = f"(select *, {O.BASE} as base from ev where category in ('DIAGNOSIS','PROCEDURE','MEDICATION')) ev left join vo on vo.category = ev.category and vo.base = ev.base"
 
 
@@ -230,17 +226,22 @@ def cascade(spark, d, **more) -> DataFrame:
     return vocab.resolve(ev, vocab.sample_vocab(ev), vocab.sample_parents(ev), vocab.sample_crosswalk(spark), vocab.sample_residual(spark), **more)
 
 
-@query(O.with_ctes(O.coded, VOC, f"select ev.category, ev.code, count(*) as n, any_value({STAGE}) as stage from {STAGED} group by 1, 2"))
+@query(O.with_ctes(O.coded, CASCADE, "select category, code, n, stage from rv"))
 def resolve_cascade(spark, d):
     return cascade(spark, d).select("category", "code", "n", "stage")
 
 
-@query(O.with_ctes(O.coded, VOC, f"select * from (select ev.category, ev.code, any_value({STAGE}) as stage from {STAGED} group by 1, 2) where stage <> 'residual_hash'"))
+@query(O.with_ctes(O.coded, CASCADE, "select category, code, stage, hit, gid from rv"))
+def resolve_ids(spark, d):
+    return cascade(spark, d).select("category", "code", "stage", "hit", "gid")
+
+
+@query(O.with_ctes(O.coded, CASCADE, "select category, code, stage from rv where stage <> 'residual_hash'"))
 def resolve_known(spark, d):
     return cascade(spark, d, drop_unknowns=True).select("category", "code", "stage")
 
 
-@query(O.with_ctes(O.coded, VOC, f"select category, code, 1000000 + case category when 'PROCEDURE' then 200000 when 'MEDICATION' then 400000 else 0 end as gid from (select ev.category, ev.code, any_value({STAGE}) as stage from {STAGED} group by 1, 2) where stage = 'residual_hash'"))
+@query(O.with_ctes(O.coded, CASCADE, "select category, code, 1000000 + case category when 'PROCEDURE' then 200000 when 'MEDICATION' then 400000 else 0 end as gid from rv where stage = 'residual_hash'"))
 def resolve_unk(spark, d):
     return cascade(spark, d, hashed=False).where("stage = 'unk'").select("category", "code", "gid")
 
