@@ -44,6 +44,8 @@ STRUCTURAL_LABELS = {
     "CODE_STATUS_CHANGE": "STRUCT_CODE_STATUS_CHANGE",
 }
 BOUNDARY_LABELS = ("STRUCT_START_ADM", "STRUCT_CAREUNIT_CHANGE", "STRUCT_START_OR", "STRUCT_END_OR", "STRUCT_END_ADM")
+#: prefixes that bound a window where no code book is used
+LEGACY_BOUNDARIES = ("MEDS_DEATH", "ADMISSION", "DISCHARGE", "CAREUNIT_CHANGE", "HOSPITAL_ADMISSION", "HOSPITAL_DISCHARGE", "ICU_ADMISSION", "ICU_DISCHARGE", "TRANSFER_TO", "ED_REGISTRATION", "ED_OUT")
 TRANSITIONS = {
     "MEDS_BIRTH": "suppress", "MEDS_DEATH": "close_current", "ADMISSION": "open_next", "DISCHARGE": "close_current", "CAREUNIT_CHANGE": "close_open",
     "STRUCT_START_ADM": "open_next", "STRUCT_END_ADM": "close_current", "STRUCT_CAREUNIT_CHANGE": "close_open", "STRUCT_START_OR": "open_next", "STRUCT_END_OR": "close_current",

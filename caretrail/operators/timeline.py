@@ -18,16 +18,23 @@ from ..functions import text as T
 FLAGS = ("adm", "tra", "dis", "dea", "edl", "icu", "orl")
 
 
-def classified(events: DataFrame) -> DataFrame:
-    """Events with category, label, action, type_id, site and the transition flags.
-
-    The rules are evaluated once for each distinct code and joined back."""
-    codes = events.select("code").distinct()
-    codes = codes.select("code", R.category(F.col("code")).alias("category"), R.structural_label(F.col("code")).alias("label"), R.transition_action(F.col("code")).alias("action"), R.prefix(F.upper("code")).alias("p"), R.window_type(F.col("code")).alias("wtype"))
+def code_rules(codes: DataFrame) -> DataFrame:
+    """codes(code) with category, label, action, type_id, site and the transition flags."""
+    # bound: evaluated by the interpreter, as all rules together are too long for one compiled
+    # method; there is a row a distinct code
+    first = T.bound(F.col("code"), lambda c: F.struct(R.category(c).alias("category"), R.structural_label(c).alias("label"), R.transition_action(c).alias("action"), R.prefix(F.upper(c)).alias("p"), R.window_type(c).alias("wtype")))
+    codes = codes.select("code", first.alias("r")).select("code", "r.*")
+    site = T.bound(F.struct("code", "wtype"), lambda r: F.struct(R.site_name(r["code"], r["wtype"]).alias("site"), R.type_id(r["wtype"]).alias("type_id")))
     p = F.col("p")
-    codes = codes.select("code", "category", "label", "action", "wtype", R.type_id(F.col("wtype")).alias("type_id"), R.site_name(F.col("code"), F.col("wtype")).alias("site"), p.isin(*C.ADMISSION_LIKE).alias("adm"), (p == "TRANSFER_TO").alias("tra"), p.isin(*C.DISCHARGE_LIKE).alias("dis"), (p == "MEDS_DEATH").alias("dea"))
+    codes = codes.select("code", "category", "label", "action", "wtype", site.alias("s"), p.isin(*C.ADMISSION_LIKE).alias("adm"), (p == "TRANSFER_TO").alias("tra"), p.isin(*C.DISCHARGE_LIKE).alias("dis"), (p == "MEDS_DEATH").alias("dea"))
     is_type = lambda t: F.coalesce(F.col("wtype") == t, F.lit(False))
-    codes = codes.select("*", is_type("ED_ADMISSION").alias("edl"), is_type("ICU").alias("icu"), is_type("OR").alias("orl"))
+    return codes.select("code", "category", "label", "action", "wtype", "s.type_id", "s.site", "adm", "tra", "dis", "dea", is_type("ED_ADMISSION").alias("edl"), is_type("ICU").alias("icu"), is_type("OR").alias("orl"))
+
+
+def classified(events: DataFrame) -> DataFrame:
+    """Events with the columns of their code; the rules are evaluated once for each distinct
+    code and joined back."""
+    codes = code_rules(events.select("code").distinct())
     return events.join(codes, events.code.eqNullSafe(codes.code), "left").drop(codes.code)
 
 
@@ -62,19 +69,27 @@ def tokens(events: DataFrame) -> DataFrame:
     kind, surface, value, category, t_us and dt_us (since the subject's start and since
     the last event that emitted; only an event's first token has it), hook, and the
     transition columns on structural tokens, null elsewhere. Events without time stand
-    at 0 and do not move the clock."""
-    rows = event_tokens(classified(events))
+    at 0 and do not move the clock. ``encoding.tokens`` is the same with ids."""
+    return clocked(event_tokens(classified(events)))
+
+
+def clocked(rows: DataFrame, fields: tuple[str, ...] = (), columns: tuple[str, ...] = ()) -> DataFrame:
+    """The tokens of rows (classified events with an array of them) on the subject's clock,
+    with further fields of a token and columns of its event. A token's own hook counts where
+    it has the field; else structural tokens are hooked by their label and action."""
     w = W.partitionBy("subject_id").orderBy("pos")
     emitted = F.when(F.size("tokens") > 0, F.col("t_us"))
     start = F.first("t_us", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     last = F.last(emitted, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("rel", F.coalesce(F.greatest(F.col("t_us") - start, F.lit(0)), F.lit(0))).withColumn("gap", F.coalesce(F.greatest(F.col("t_us") - last, F.lit(0)), F.lit(0)))
-    out = rows.select("subject_id", "pos", "code", "category", "label", "action", "type_id", "site", *FLAGS, F.col("t_us").alias("raw_us"), F.col("rel").alias("t_us"), "gap", F.posexplode("tokens").alias("tok_ord", "tok"))
+    out = rows.select("subject_id", "pos", "code", "category", "label", "action", "type_id", "site", *FLAGS, *columns, F.col("t_us").alias("raw_us"), F.col("rel").alias("t_us"), "gap", F.posexplode("tokens").alias("tok_ord", "tok"))
     structural = F.col("tok.kind") == "STRUCT"
-    hooked = F.coalesce(F.col("label").isin(*C.BOUNDARY_LABELS), F.col("action").isin(*C.ACTIVE), F.lit(False))
+    hooked = structural & F.coalesce(F.col("label").isin(*C.BOUNDARY_LABELS), F.col("action").isin(*C.ACTIVE), F.lit(False))
+    if fields:
+        hooked = F.col("tok.hook")
     keep = [F.when(structural, F.col(c)).alias(c) for c in ("label", "action", "type_id", "site")] + [(structural & F.col(c)).alias(c) for c in FLAGS]
     token_category = F.when(structural, "STRUCTURAL").otherwise(F.col("category"))
-    out = out.select("subject_id", "pos", F.col("tok_ord").cast("long").alias("tok_ord"), F.col("tok.kind").alias("kind"), F.col("tok.surface").alias("surface"), F.col("tok.value").alias("value"), token_category.alias("category"), "raw_us", "t_us", F.when(F.col("tok_ord") == 0, F.col("gap")).otherwise(0).alias("dt_us"), (structural & hooked).alias("hook"), *keep)
+    out = out.select("subject_id", "pos", F.col("tok_ord").cast("long").alias("tok_ord"), F.col("tok.kind").alias("kind"), F.col("tok.surface").alias("surface"), F.col("tok.value").alias("value"), token_category.alias("category"), "raw_us", "t_us", F.when(F.col("tok_ord") == 0, F.col("gap")).otherwise(0).alias("dt_us"), hooked.alias("hook"), *keep, *[F.col(f"tok.{f}").alias(f) for f in fields], *columns)
     return out.withColumn("idx", F.row_number().over(W.partitionBy("subject_id").orderBy("pos", "tok_ord")).cast("long") - 1)
 
 

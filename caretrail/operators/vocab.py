@@ -20,7 +20,10 @@ STAGES = ("exact", "canonicalized", "parent_lookup", "crosswalk_lookup", "lexica
 
 
 def code_counts(events: DataFrame) -> DataFrame:
-    """category, code, base (without its interval marker) and n of the coded families."""
+    """category, code, base (without its interval marker) and n of the coded families; a
+    table of them is passed through."""
+    if "base" in events.columns:
+        return events
     e = events.where(F.col("category").isin(*FAMILIES))
     return e.groupBy("category", "code").agg(F.count("*").alias("n")).withColumn("base", R.unmarked(F.col("code")))
 
@@ -31,7 +34,8 @@ def numbered(codes: DataFrame, *by: str) -> DataFrame:
 
 
 def resolve(events: DataFrame, vocab: DataFrame, parents: DataFrame | None = None, crosswalk: DataFrame | None = None, residual: DataFrame | None = None, drop_unknowns: bool = False, hashed: bool = True) -> DataFrame:
-    """category, code, n, stage, hit and gid of each distinct code.
+    """category, code, n, stage, hit and gid of each distinct code of events (or of their
+    code_counts, which spares a second look at them).
 
     Candidate spellings are listed with their stage and place; the first that the
     vocabulary(category, entry, raw_id) holds decides. parents(category, key, parent)
@@ -45,17 +49,24 @@ def resolve(events: DataFrame, vocab: DataFrame, parents: DataFrame | None = Non
     if residual is not None:
         known = known.unionByName(residual.select("category", F.lit("residual").alias("kind"), "entry", (F.col("raw_id") + _offset("_residual")).alias("gid")))
     probe = lambda stage, kind, names: F.transform(names, lambda x, i: F.struct(F.lit(stage).alias("stage_no"), i.alias("place"), F.lit(kind).alias("kind"), x.alias("name")))
-    own, category = F.col("base"), F.col("category")
-    above = F.array_distinct(F.array(F.upper("code"), F.upper("base"), F.upper(T.without_action(F.col("code")))))
-    # every code keeps a row, so that those that meet nothing need no second look at the codes
-    probes = F.concat(F.array(F.struct(F.lit(9).alias("stage_no"), F.lit(0).alias("place"), F.lit("none").alias("kind"), F.col("code").alias("name"))), probe(0, "entry", F.array("base", "code")), probe(1, "entry", T.candidates(own, category)), probe(2, "parent", above), probe(3, "name", T.lexical_keys(F.col("code"), category)), probe(5, "residual", T.residual_candidates(F.col("code"), own, category)))
-    every = codes.select("category", "code", "base", "n", F.explode(F.filter(probes, lambda x: x["name"].isNotNull())).alias("p")).select("category", "code", "base", "n", "p.*")
+
+    def probes(r):
+        code, base, category = r["code"], r["base"], r["category"]
+        above = F.array_distinct(F.array(F.upper(code), F.upper(base), F.upper(T.without_action(code))))
+        # every code keeps a row, so that those that meet nothing need no second look at the codes
+        none = F.array(F.struct(F.lit(9).alias("stage_no"), F.lit(0).alias("place"), F.lit("none").alias("kind"), code.alias("name")))
+        some = F.concat(none, probe(0, "entry", F.array(base, code)), probe(1, "entry", T.candidates(base, category)), probe(2, "parent", above), probe(3, "name", T.lexical_keys(code, category)), probe(5, "residual", T.residual_candidates(code, base, category)))
+        return F.filter(some, lambda x: x["name"].isNotNull())
+
+    # bound: the rules are far too long for one compiled method, and codes are few
+    found = T.bound(F.struct("code", "base", "category"), probes)
+    every = codes.select("category", "code", "base", "n", F.explode(found).alias("p")).select("category", "code", "base", "n", "p.*")
     bridge = vocab.withColumn("name", T.lexical_key(F.element_at(F.split("entry", "//"), -1))).where("name is not null").groupBy("category", "name").agg(F.min("entry").alias("entry"), F.count_distinct("entry").alias("k")).where("k = 1")
     links = bridge.select("category", F.lit("name").alias("kind"), "name", F.lit(4).alias("to"), F.array("entry").alias("entries"))
     if crosswalk is not None:
         links = links.unionByName(crosswalk.select("category", F.lit("name").alias("kind"), F.col("key").alias("name"), F.lit(3).alias("to"), F.array("target").alias("entries")))
     if parents is not None:
-        spelled = F.array_distinct(F.concat(F.array("parent"), F.coalesce(T.candidates(F.col("parent"), category), F.array().cast("array<string>"))))
+        spelled = T.bound(F.struct("parent", "category"), lambda r: F.array_distinct(F.concat(F.array(r["parent"]), F.coalesce(T.candidates(r["parent"], r["category"]), F.array().cast("array<string>")))))
         links = links.unionByName(parents.select("category", F.lit("parent").alias("kind"), F.col("key").alias("name"), F.lit(2).alias("to"), spelled.alias("entries")))
     linked = every.join(links, ["category", "kind", "name"], "left")
     direct = F.col("kind").isin("entry", "residual")
@@ -189,7 +200,7 @@ def sample_vocab(events: DataFrame) -> DataFrame:
 
 
 def sample_parents(events: DataFrame) -> DataFrame:
-    drugs = events.where(F.col("code").startswith("MEDICATION//START//")).select("category", F.upper("code").alias("key"), F.lit("RXNORM//161").alias("parent"))
+    drugs = code_counts(events).where(F.col("code").startswith("MEDICATION//START//")).select("category", F.upper("code").alias("key"), F.lit("RXNORM//161").alias("parent"))
     return drugs.distinct()
 
 

@@ -14,6 +14,7 @@ from ..functions import routing as R
 from ..functions import text as T
 from ..operators import audit, collate, demographics, segments, timeline, vocab
 from ..sources import adapters as A
+from ..sources import scratch
 from . import oracle as O
 from . import spelling as S
 
@@ -222,8 +223,9 @@ def vocab_hits(spark, d):
 
 
 def cascade(spark, d, **more) -> DataFrame:
-    ev = coded(spark, d)
-    return vocab.resolve(ev, vocab.sample_vocab(ev), vocab.sample_parents(ev), vocab.sample_crosswalk(spark), vocab.sample_residual(spark), **more)
+    codes = scratch.kept(vocab.code_counts(coded(spark, d)), "codes")
+    entries = scratch.kept(vocab.sample_vocab(codes), "vocab")
+    return vocab.resolve(codes, entries, vocab.sample_parents(codes), vocab.sample_crosswalk(spark), vocab.sample_residual(spark), **more)
 
 
 @query(O.with_ctes(O.coded, CASCADE, "select category, code, n, stage from rv"))
@@ -651,3 +653,4 @@ def med_attrs(spark, d):
 
 
 from . import further  # noqa: E402, F401
+from . import model_input  # noqa: E402, F401
