@@ -61,6 +61,7 @@ DISCHARGE_LIKE = ("HOSPITAL_DISCHARGE", "DISCHARGE", "ICU_DISCHARGE", "ED_OUT",
 # --- segmentation, chunks, trajectories (hours; tokens) ---
 BUNDLE_GAP_H, BUNDLE_GAP_IDX, CHAIN_GAP_H, CHAIN_TOKENS = 0.5, 2, 6.0, 16
 CHUNK_MAX, CHUNK_FRACTION, CHUNK_MIN, CHUNK_TAIL = 128, 0.8, 32, 16
+WINDOW_CAP, CHUNK_CAP = 64, 8
 CUTOFF_H = 744.0
 CLINICAL = ("MEASUREMENT", "DIAGNOSIS", "PROCEDURE", "MEDICATION")
 TYPE_TOKEN, END_TOKEN, CONTINUE_TOKEN = 10, 17, 18

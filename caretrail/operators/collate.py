@@ -43,26 +43,83 @@ def token_ids(tokens: DataFrame, first: int = 100) -> DataFrame:
     return compact(tokens).select("kind", "surface", (F.col("dense_id") + first - 1).alias("token_id"))
 
 
-def sequences(tokens: DataFrame, ids: DataFrame, length: int) -> DataFrame:
-    """One row a chunk: subject_id, window_ord, chunk_ord, ids, times (hours from the
-    chunk's start) and mask, all of ``length``.
-
-    A chunk opens with its window's type marker and ends with CONTINUE, or END in the
-    window's last; content is packed to the length less the two markers."""
-    chunk = segments.chunks(tokens, most=length - 2)
-    w = W.partitionBy("subject_id", "window_ord")
-    chunk = chunk.withColumn("last", F.col("chunk_ord") == F.max("chunk_ord").over(w))
-    rows = segments.window_tokens(tokens).withColumn("at", F.row_number().over(w.orderBy("idx")) - 1).join(ids, ["kind", "surface"], "left")
-    cond = [rows.subject_id == chunk.subject_id, rows.window_ord == chunk.window_ord, rows["at"] >= chunk.from_pos, rows["at"] < chunk.from_pos + chunk.len]
-    held = rows.join(chunk, cond).select(rows.subject_id, rows.window_ord, "chunk_ord", "last", "idx", "t_us", F.coalesce("token_id", F.lit(0)).alias("token_id"))
-    one = held.groupBy("subject_id", "window_ord", "chunk_ord", "last").agg(F.sort_array(F.collect_list(F.struct("idx", "t_us", "token_id"))).alias("x"))
-    types = segments.windows(tokens).select("subject_id", "window_ord", "type_id")
-    one = one.join(types, ["subject_id", "window_ord"])
-    marks = F.concat(F.array(F.lit(C.TYPE_TOKEN) + F.col("type_id")), F.col("x.token_id").cast("array<int>"), F.array(F.when(F.col("last"), C.END_TOKEN).otherwise(C.CONTINUE_TOKEN)))
-    begin = F.get("x.t_us", F.lit(0))
-    times = F.concat(F.array(F.lit(0.0)), F.transform("x.t_us", lambda t: F.greatest(t - begin, F.lit(0)) / 3.6e9), F.array(F.lit(0.0)))
-    pad = lambda a, z: F.slice(F.concat(a, F.array_repeat(z, length)), 1, length)
-    return one.select("subject_id", "window_ord", "chunk_ord", pad(marks, F.lit(0)).alias("ids"), pad(times, F.lit(0.0)).alias("times"), pad(F.array_repeat(F.lit(1), F.size("x") + 2), F.lit(0)).alias("mask"))
+def special_arrays(specials: DataFrame) -> DataFrame:
+    """subject_id (and trajectory_ord if there is one) and specials, the array of id and value
+    in order, of specials(subject_id, ord, token_id, value)."""
+    keys = [c for c in ("subject_id", "trajectory_ord") if c in specials.columns]
+    one = specials.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", F.col("token_id").cast("long").alias("id"), "value"))).alias("s"))
+    return one.select(*keys, F.transform("s", lambda x: F.struct(x["id"].alias("id"), x["value"].alias("value"))).alias("specials"))
+
+
+def collated(tokens: DataFrame, specials: DataFrame | None, length: int, cap: int = C.CHUNK_CAP, markers: bool = True) -> DataFrame:
+    """``segments.chunked_windows`` of tokens with ids, with each subject's specials (as
+    ``special_arrays`` gives them): chunks are cut to what ``length`` leaves beside the
+    specials and two markers."""
+    none = F.array().cast("array<struct<id:bigint,value:double>>")
+    t = tokens.withColumn("specials", none) if specials is None else tokens.join(specials, "subject_id", "left").withColumn("specials", F.coalesce("specials", none))
+    most = content_budget(length, F.size("specials"), markers)
+    return segments.chunked_windows(t, most, cap, ("idx", "t_us", "gid", "value", "category"), carry=("specials",))
+
+
+def sequences(windows: DataFrame, length: int, most_windows: int = C.WINDOW_CAP, end_mode: str = "end_token") -> DataFrame:
+    """One row a chunk of ``collated`` windows, of each subject's first most_windows: ids,
+    times (hours from the chunk's start), values, value_mask, types (categories) and mask, all
+    of ``length``; window_type, offset_h (of the chunk in its window), last, n_tokens and span_h
+    of the chunk, window_tokens and window_h.
+
+    A chunk holds the specials, its window's type, its tokens, and CONTINUE, or (the last one
+    kept) END or the type of the next window. Only medications and specials have values."""
+    w = _subject().orderBy("window_ord")
+    kind = F.when(F.col("type_id").between(0, len(C.WINDOW_TYPES) - 1), F.col("type_id")).otherwise(C.WINDOW_TYPES["UNK"])
+    rows = windows.where(F.col("window_ord") < most_windows).withColumn("kind", kind)
+    rows = rows.withColumns({"next_type": F.lead("kind").over(w), "next_us": F.lead("start_us").over(w)})
+    sized = F.transform("sizes", lambda n, i: F.struct(n.alias("n"), F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x).alias("at")))
+    rows = rows.select("*", F.posexplode(sized).alias("chunk_ord", "c"))
+    rows = rows.withColumns({"x": F.slice("x", (F.col("c.at") + 1).cast("int"), F.col("c.n").cast("int")), "last": F.col("chunk_ord") == F.size("sizes") - 1})
+    rows = rows.withColumns({"begin": F.get("x.t_us", F.lit(0)), "end": F.get("x.t_us", F.size("x") - 1)})
+    hours = lambda us: F.greatest((us - F.col("begin")) / 3.6e9, F.lit(0.0))
+    onward = F.col("last") & F.col("next_type").isNotNull() & F.lit(end_mode == "next_type")
+    put = F.slice("x", F.lit(1), F.greatest(F.lit(length - 2) - F.size("specials"), F.lit(0)))
+    s, zero, one = F.col("specials"), F.lit(0), F.lit(1)
+    drug = lambda x: (x["category"] == "MEDICATION") & x["value"].isNotNull()
+    category = lambda x: F.array_position(F.array(*map(F.lit, C.CATEGORIES)), x["category"]).cast("int") - 1
+    pad = lambda z, *parts: F.slice(F.concat(*parts, F.array_repeat(z, length)), 1, length)
+    number = lambda x, ok: F.when(ok, x).otherwise(0.0)
+    suffix = chunk_suffix(F.col("last"), F.col("next_type"), end_mode).cast("long")
+    special = lambda x: numeric_channel(x["value"])
+    return rows.select(
+        "subject_id", "window_ord", F.col("chunk_ord").cast("long").alias("chunk_ord"),
+        pad(F.lit(0).cast("long"), F.col("specials.id"), F.array((F.lit(C.TYPE_TOKEN) + F.col("kind")).cast("long")), F.transform(put, lambda x: x["gid"]), F.array(suffix)).alias("ids"),
+        pad(F.lit(0.0), F.transform(s, lambda x: F.lit(0.0)), F.array(F.lit(0.0)), F.transform(put, lambda x: hours(x["t_us"])), F.array(hours(F.when(onward, F.col("next_us")).otherwise(F.col("end"))))).alias("times"),
+        pad(F.lit(0.0), F.transform(s, lambda x: special(x)[0]), F.array(F.lit(0.0)), F.transform(put, lambda x: number(x["value"], drug(x))), F.array(F.lit(0.0))).alias("values"),
+        pad(zero, F.transform(s, lambda x: special(x)[1]), F.array(zero), F.transform(put, lambda x: drug(x).cast("int")), F.array(zero)).alias("value_mask"),
+        pad(zero, F.transform(s, lambda x: zero), F.array(zero), F.transform(put, category), F.array(zero)).alias("types"),
+        pad(zero, F.array_repeat(one, F.size(s) + F.size(put) + 2)).alias("mask"),
+        F.col("kind").alias("window_type"), F.greatest((F.col("begin") - F.col("start_us")) / 3.6e9, F.lit(0.0)).alias("offset_h"), "last", F.size("x").alias("n_tokens"), ((F.col("end") - F.col("begin")) / 3.6e9).alias("span_h"),
+        F.col("n_tokens").alias("window_tokens"), ((F.col("end_us") - F.col("start_us")) / 3.6e9).alias("window_h"),
+    )
+
+
+def overflow_report(windows: DataFrame, most_windows: int = C.WINDOW_CAP) -> DataFrame:
+    """What the caps of ``sequences`` leave out of ``collated`` windows, as one row of counts
+    and shares: each subject's are summed first."""
+    kept = F.col("window_ord") < most_windows
+    held = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    inside = F.size(F.filter(F.slice("x", F.lit(1), held.cast("int")), lambda x: x["category"] == "STRUCTURAL"))
+    of = lambda test, n: F.sum(F.when(test, n).otherwise(0))
+    s = windows.groupBy("subject_id").agg(
+        F.count("*").alias("windows"), F.count_if(kept).alias("kept"), of(~kept, F.col("n_tokens")).alias("tokens"), of(~kept, F.col("n_structural")).alias("structural"),
+        of(kept, F.col("n_chunks") - F.size("sizes")).alias("chunks"), of(kept, F.col("n_tokens") - held).alias("chunk_tokens"), of(kept, F.col("n_structural") - inside).alias("chunk_structural"),
+    )
+    over = (F.col("kept") < F.col("windows")) | (F.col("chunks") > 0) | (F.col("tokens") > 0) | (F.col("chunk_tokens") > 0)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    t = s.agg(
+        F.count("*").alias("subjects"), F.count_if(over).alias("subjects_with_overflow"), zero("windows").alias("windows_total"), zero("kept").alias("windows_kept"), zero("tokens").alias("tokens_dropped"), zero("structural").alias("structural_dropped"),
+        zero("chunks").alias("chunks_dropped"), zero("chunk_tokens").alias("chunk_tokens_dropped"), zero("chunk_structural").alias("chunk_structural_dropped"),
+    )
+    share = lambda a, b: a / F.greatest(F.lit(1), b)
+    dropped = F.col("windows_total") - F.col("windows_kept")
+    return t.withColumns({"windows_dropped": dropped, "subjects_with_overflow_share": share(F.col("subjects_with_overflow"), F.col("subjects")), "windows_dropped_share": share(dropped, F.col("windows_total"))})
 
 
 def blocks(spark: SparkSession, layout: dict[str, tuple[int, int]]) -> DataFrame:

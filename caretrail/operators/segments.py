@@ -157,7 +157,7 @@ def windows(tokens: DataFrame, default_first: int = _UNK, site_change: bool = Tr
     return out.select(*key, kind.alias("type_id"), F.coalesce("opens.w_site", "any_site").alias("site"), F.col("opens.bundle_action").alias("opening_action"), F.col("opens.open_us").alias("opening_us"), F.col("shut.action").alias("closing_action"), F.col("shut.us").alias("closing_us"), F.coalesce("shut.discharge", F.lit(False)).alias("closing_discharge"), "n_tokens", "n_breaks", "lo", "hi", "start_us", "end_us")
 
 
-def time_groups(rows: DataFrame, *within: str, most: int | None = None) -> DataFrame:
+def time_groups(rows: DataFrame, *within: str, most: int | Column | None = None) -> DataFrame:
     """Rows with grp: those of one time together, in slices of ``most`` at the most."""
     w = W.partitionBy("subject_id", *within).orderBy("idx")
     time = F.coalesce("raw_us", "t_us")
@@ -194,18 +194,64 @@ def _packed(groups: Column, most: int, target: int, tail: int) -> Column:
 
 def chunks(tokens: DataFrame, most: int = C.CHUNK_MAX, smallest: int = C.CHUNK_MIN, fraction: float = C.CHUNK_FRACTION, tail: int = C.CHUNK_TAIL, breaks: bool = True) -> DataFrame:
     """subject_id, window_ord, chunk_ord, len, from_pos: chunks of windows, packed from
-    groups of equal times so that none holds more than ``most`` tokens. Without breaks,
-    a transition inside a window does not end its chunk."""
+    groups of equal times so that none holds more than ``most`` tokens. A transition inside
+    a window that begins a group ends the chunk before it; without breaks it does not."""
     rows = time_groups(window_tokens(tokens), "window_ord", most=most)
-    groups = rows.groupBy("subject_id", "window_ord", "grp").agg(F.count("*").alias("len"), F.max(F.col("brk").cast("int")).alias("brk"))
-    packs = groups.groupBy("subject_id", "window_ord").agg(F.sort_array(F.collect_list(F.struct("grp", "len", ((F.col("brk") == 1) & F.lit(breaks)).alias("brk")))).alias("g"))
-    target = max(smallest, int(most * fraction))
+    groups = rows.groupBy("subject_id", "window_ord", "grp").agg(F.count("*").alias("len"), F.min_by("brk", "idx").alias("brk"))
+    packs = groups.groupBy("subject_id", "window_ord").agg(F.sort_array(F.collect_list(F.struct("grp", "len", (F.col("brk") & F.lit(breaks)).alias("brk")))).alias("g"))
+    target = max(smallest, round(most * fraction))
     sized = packs.select("subject_id", "window_ord", _packed(F.transform("g", lambda x: F.struct(x["len"].alias("len"), x["brk"].alias("brk"))), most, target, tail).alias("sizes"))
     out = sized.select("subject_id", "window_ord", F.posexplode("sizes").alias("chunk_ord", "len"))
     before = F.sum("len").over(W.partitionBy("subject_id", "window_ord").orderBy("chunk_ord").rowsBetween(W.unboundedPreceding, -1))
     return out.withColumn("from_pos", F.coalesce(before, F.lit(0)))
 
 
+def _first_chunks(groups: Column, most: Column, target: Column, tail: int, cap: int) -> Column:
+    """sizes of the first ``cap`` chunks that ``_packed`` makes, and n, how many it makes: no
+    more is kept of the others than their number."""
+    zero = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("prev"), F.lit(0).cast("long").alias("cur"), F.lit(False).alias("brk"))
+    put = lambda acc, x: F.when(acc["n"] < cap, F.concat(acc["done"], F.array(x))).otherwise(acc["done"])
+
+    def add(acc, g):
+        grow = (acc["cur"] == 0) | (~g["brk"] & (acc["cur"] + g["len"] <= most) & (acc["cur"] < target))
+        begins = (acc["cur"] == 0) | ~grow
+        return F.struct(
+            F.when(grow, acc["done"]).otherwise(put(acc, acc["cur"])).alias("done"), F.when(grow, acc["n"]).otherwise(acc["n"] + 1).alias("n"), F.when(grow, acc["prev"]).otherwise(acc["cur"]).alias("prev"),
+            F.when(grow, acc["cur"] + g["len"]).otherwise(g["len"]).alias("cur"), F.when(begins, g["brk"]).otherwise(acc["brk"]).alias("brk"),
+        )
+
+    def finish(acc):
+        joins = (acc["n"] > 0) & (acc["cur"] < tail) & ~acc["brk"] & (acc["prev"] + acc["cur"] <= most)
+        longer = F.when(acc["n"] <= cap, F.concat(F.slice(acc["done"], F.lit(1), F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(acc["prev"] + acc["cur"]))).otherwise(acc["done"])
+        return F.struct(F.when(joins, longer).otherwise(put(acc, acc["cur"])).alias("sizes"), F.when(joins, acc["n"]).otherwise(acc["n"] + 1).alias("n"))
+
+    return F.aggregate(groups, zero, add, finish)
+
+
+def chunked_windows(tokens: DataFrame, most: int | Column, cap: int = C.CHUNK_CAP, columns: tuple[str, ...] = ("idx", "t_us"), smallest: int = C.CHUNK_MIN, fraction: float = C.CHUNK_FRACTION, tail: int = C.CHUNK_TAIL, default_first: int = _UNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a window: what carry names of its first token, type_id, start_us, end_us, n_tokens, n_structural, sizes (of its
+    first ``cap`` chunks), n_chunks (of all) and x, the columns of the tokens of these chunks,
+    in order. most may follow from the subject. All on the timeline's own partitioning: of a
+    long window, x holds cap * most tokens at the most."""
+    key = ["subject_id", "window_ord"]
+    limit = most if isinstance(most, Column) else F.lit(most)
+    rows = time_groups(window_tokens(tokens), "window_ord", most=limit)
+    own = W.partitionBy(*key).orderBy("idx")
+    rows = rows.withColumns({"nth": F.row_number().over(own) - 1, "_most": limit.cast("long"), "new": F.coalesce(F.lag("grp").over(own) != F.col("grp"), F.lit(True))})
+    held = W.partitionBy(*key, "grp")
+    rows = rows.withColumn("g", F.when(F.col("new"), F.struct("grp", F.count("*").over(held).alias("len"), "brk")))
+    first = lambda c: F.min_by(c, "idx")
+    kept = F.when(F.col("nth") < cap * F.col("_most"), F.struct(*columns))
+    out = rows.groupBy(*key).agg(
+        F.count("*").alias("n_tokens"), F.count_if(F.col("category") == "STRUCTURAL").alias("n_structural"), first("t_us").alias("start_us"), F.max_by("t_us", "idx").alias("end_us"), first("opens").alias("opens"), first(F.struct("type_id")).alias("first"),
+        *[first(c).alias(c) for c in carry], F.first("_most").alias("most"), F.sort_array(F.collect_list("g")).alias("g"), F.sort_array(F.collect_list(kept)).alias("x"),
+    )
+    target = F.greatest(F.lit(smallest), F.least(F.col("most"), F.greatest(F.lit(1), F.bround(F.col("most") * F.lit(fraction))).cast("long")))
+    out = out.withColumn("p", _first_chunks(F.transform("g", lambda x: F.struct(x["len"].alias("len"), x["brk"].alias("brk"))), F.col("most"), target, tail, cap))
+    kind = _typed(F.col("opens"), F.col("first.type_id"), F.col("window_ord"), default_first)
+    return out.select(*key, *carry, kind.alias("type_id"), "start_us", "end_us", "n_tokens", "n_structural", "p.sizes", F.col("p.n").alias("n_chunks"), "x")
+
+
 def rebalanced(tokens: DataFrame, **sizes) -> DataFrame:
     """Dense windows cut into windows of their own: subject_id, window_ord (anew), parent
     (the window it was part of), len, from_pos."""

@@ -11,7 +11,7 @@ from ..sources import adapters as A
 from ..sources import scratch
 from . import oracle as O
 from . import spelling as S
-from .queries import CASCADE, CODE2ID, NUMERIC, STATS, query, recursive
+from .queries import CASCADE, CODE2ID, NUMERIC, SPECIALS, STATS, query, recursive, specials
 
 AT = C.FAMILY_OFFSETS
 LEVELS, SIZE = 2, 256
@@ -87,3 +87,71 @@ def timeline_id_families(spark, d):
 
     t = encoded(spark, d)
     return t.groupBy(ids.family(F.col("gid")).alias("family"), "kind").agg(F.count("*").alias("n"), F.count_distinct("gid").alias("ids"), F.min("gid").alias("lowest"), F.max("gid").alias("highest"))
+
+
+# --- sequences ---
+
+LENGTH = 128
+CHUNKED = f"""{O.BUNDLES}{O.MERGED}{O.WINDOWS}, {SPECIALS}, ns as (select subject_id, count(*) as k from sp group by 1),
+ wk as (select wt.*, greatest(1, {LENGTH} - 2 - coalesce(k, 0)) as most from wt left join ns using (subject_id)),
+ g0 as (select *, sum(case when same then 0 else 1 end) over (partition by subject_id, window_ord order by idx) as tie from (select subject_id, window_ord, idx, most, kept and not starts as brk, coalesce(raw_us, t_us) = lag(coalesce(raw_us, t_us)) over (partition by subject_id, window_ord order by idx) is true as same from wk)),
+ g1 as (select *, (row_number() over (partition by subject_id, window_ord, tie order by idx) - 1) // most as slice from g0),
+ g2 as (select subject_id, window_ord, tie, slice, count(*) as len, arg_min(brk, idx) as brk, any_value(most) as most from g1 group by 1, 2, 3, 4),
+ g as materialized (select subject_id, window_ord, row_number() over (partition by subject_id, window_ord order by tie, slice) as grp, len, brk, most, greatest({C.CHUNK_MIN}, least(most, greatest(1, round_even(most * {C.CHUNK_FRACTION}::double, 0)))) as target from g2),
+ sq(subject_id, window_ord, grp, len, cur, chunk, brk) as (select subject_id, window_ord, grp, len, len, 0, brk from g where grp = 1
+  union all select g.subject_id, g.window_ord, g.grp, g.len, case when not g.brk and cur + g.len <= most and cur < target then cur + g.len else g.len end, case when not g.brk and cur + g.len <= most and cur < target then chunk else chunk + 1 end, g.brk
+  from sq join g on g.subject_id = sq.subject_id and g.window_ord = sq.window_ord and g.grp = sq.grp + 1),
+ ch0 as (select subject_id, window_ord, chunk, sum(sq.len) as len, arg_min(sq.brk, grp) as brk, any_value(most) as most from sq join g using (subject_id, window_ord, grp) group by 1, 2, 3),
+ ch1 as (select *, lag(len) over w as before, lead(chunk) over w is null as ends from ch0 window w as (partition by subject_id, window_ord order by chunk)),
+ ch2 as (select subject_id, window_ord, case when ends and before is not null and len < {C.CHUNK_TAIL} and not brk and before + len <= most then chunk - 1 else chunk end as chunk_ord, len from ch1),
+ ck as (select *, (sum(len) over (partition by subject_id, window_ord order by chunk_ord) - len)::bigint as from_pos from (select subject_id, window_ord, chunk_ord, sum(len)::bigint as len from ch2 group by 1, 2, 3))"""
+_SUFFIX = f"case when chunk_ord < top then {C.CONTINUE_TOKEN} when {{next}} and next_type is not null then {C.TYPE_TOKEN} + next_type else {C.END_TOKEN} end"
+_SEQUENCES = """, kc as (select *, max(chunk_ord) over (partition by subject_id, window_ord) as top from ck where window_ord < {most} and chunk_ord < {cap}),
+ wn as (select *, lead(type_id) over w as next_type, lead(start_us) over w as next_us from ws where window_ord < {most} window w as (partition by subject_id order by window_ord)),
+ pt as (select kc.subject_id, kc.window_ord, chunk_ord, top, wt.* exclude (subject_id, window_ord), min(t_us) over c as begin, max(nth) over c as high from kc join (select *, row_number() over (partition by subject_id, window_ord order by idx) - 1 as nth from wt) wt on wt.subject_id = kc.subject_id and wt.window_ord = kc.window_ord and nth >= from_pos and nth < from_pos + len window c as (partition by kc.subject_id, kc.window_ord, chunk_ord)),
+ st0 as (select distinct subject_id, window_ord, chunk_ord, top, begin from pt), en as (select subject_id, window_ord, chunk_ord, t_us as end_us from pt where nth = high),
+ pl as (select c.*, 0 as part, ord as place, token_id as id, 0 as t, case when value is null then 0 else value end as v, (value is not null)::int as m, 0 as cat from st0 c join sp using (subject_id)
+  union all select c.*, 1, 0, {type_token} + type_id, 0, 0, 0, 0 from st0 c join wn using (subject_id, window_ord)
+  union all select subject_id, window_ord, chunk_ord, top, begin, 2, nth, gid, greatest(t_us - begin, 0), case when category = 'MEDICATION' and value is not null then value else 0 end, (category = 'MEDICATION' and value is not null)::int, list_position([{categories}], category) - 1 from pt
+  union all select c.*, 3, 0, {suffix}, greatest(case when chunk_ord = top and {next} and next_type is not null then next_us else en.end_us end - begin, 0), 0, 0, 0 from st0 c join en using (subject_id, window_ord, chunk_ord) join wn using (subject_id, window_ord)),
+ sr as (select subject_id, window_ord, chunk_ord, count(*) as n, list(id::bigint order by part, place) as i, list(t::bigint order by part, place) as t, list(round(v, 4)::double order by part, place) as v, list(m order by part, place) as m, list(cat order by part, place) as k, any_value(begin) as begin, any_value(top) as top from pl group by 1, 2, 3)
+ select subject_id, window_ord, chunk_ord::bigint as chunk_ord, n, array_to_string(i, ',') as ids, array_to_string(t, ',') as times_us, round(list_sum(v), 3) as value_sum, array_to_string(m, ',') as value_mask, array_to_string(k, ',') as types, type_id as window_type, (begin - start_us)::bigint as offset_us, chunk_ord = top as "last", n_tokens as window_tokens from sr join ws using (subject_id, window_ord)"""
+
+
+def _sequences(next_type: bool, most: int, cap: int) -> str:
+    suffix = _SUFFIX.format(next=str(next_type).lower())
+    return recursive(encoded_sql(_SEQUENCES.format(most=most, cap=cap, suffix=suffix, next=str(next_type).lower(), type_token=C.TYPE_TOKEN, categories=O.quoted(C.CATEGORIES)), CHUNKED))
+
+
+def collated(spark, d) -> DataFrame:
+    own = scratch.kept(collate.special_arrays(specials(spark, d)), "specials")
+    return collate.collated(encoded(spark, d), own, LENGTH)
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    n = F.aggregate("mask", F.lit(0), lambda a, x: a + x)
+    text = lambda c: F.array_join(F.slice(c, F.lit(1), F.col("n")), ",")
+    us = lambda h: F.round(h * 3.6e9).cast("long")
+    rows = rows.withColumn("n", n)
+    return rows.select("subject_id", "window_ord", "chunk_ord", F.col("n").cast("long").alias("n"), text("ids").alias("ids"), F.array_join(F.transform(F.slice("times", F.lit(1), F.col("n")), us), ",").alias("times_us"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + F.round(x, 4)), 3).alias("value_sum"), text("value_mask").alias("value_mask"), text("types").alias("types"), "window_type", us(F.col("offset_h")).alias("offset_us"), "last", "window_tokens")
+
+
+@query(_sequences(False, C.WINDOW_CAP, C.CHUNK_CAP))
+def chunk_sequences(spark, d):
+    return _shown(collate.sequences(collated(spark, d), LENGTH))
+
+
+@query(_sequences(True, 20, C.CHUNK_CAP))
+def chunk_sequences_next_type(spark, d):
+    return _shown(collate.sequences(collated(spark, d), LENGTH, 20, "next_type"))
+
+
+@query(recursive(encoded_sql(""", wc as (select subject_id, window_ord, count(*) as chunks, count(*) filter (where chunk_ord < 1) as kept_chunks, sum(len) filter (where chunk_ord < 1) as kept_tokens from ck group by 1, 2),
+ wa as (select subject_id, window_ord, count(*) as n, count(*) filter (where category = 'STRUCTURAL') as s, count(*) filter (where category = 'STRUCTURAL' and nth < kept_tokens) as ks from (select *, row_number() over (partition by subject_id, window_ord order by idx) - 1 as nth from wt) join wc using (subject_id, window_ord) group by 1, 2),
+ su as (select subject_id, count(*) as windows, count(*) filter (where window_ord < 12) as kept, coalesce(sum(n) filter (where window_ord >= 12), 0) as tokens, coalesce(sum(s) filter (where window_ord >= 12), 0) as structural, sum(chunks - kept_chunks) filter (where window_ord < 12) as chunks, sum(n - kept_tokens) filter (where window_ord < 12) as chunk_tokens, sum(s - ks) filter (where window_ord < 12) as chunk_structural from wa join wc using (subject_id, window_ord) group by 1)
+ select count(*) as subjects, count(*) filter (where kept < windows or chunks > 0 or tokens > 0 or chunk_tokens > 0) as subjects_with_overflow, sum(windows)::bigint as windows_total, sum(kept)::bigint as windows_kept, sum(tokens)::bigint as tokens_dropped, sum(structural)::bigint as structural_dropped, sum(chunks)::bigint as chunks_dropped, sum(chunk_tokens)::bigint as chunk_tokens_dropped, sum(chunk_structural)::bigint as chunk_structural_dropped, (sum(windows) - sum(kept))::bigint as windows_dropped,
+  round(count(*) filter (where kept < windows or chunks > 0 or tokens > 0 or chunk_tokens > 0) / count(*), 6) as subjects_with_overflow_share, round((sum(windows) - sum(kept)) / sum(windows), 6) as windows_dropped_share from su""", CHUNKED)))
+def sequence_overflow(spark, d):
+    own = scratch.kept(collate.special_arrays(specials(spark, d)), "specials")
+    w = collate.overflow_report(collate.collated(encoded(spark, d), own, LENGTH, cap=1), 12)
+    return w.withColumns({c: F.round(c, 6) for c in w.columns if c.endswith("_share")})

@@ -434,7 +434,7 @@ def chunked(select: str, most: int, target: int, tail: int, breaks: bool) -> str
     """Greedy packing, a group of equal times after the other."""
     ctes = f"""g0 as (select *, sum(case when same then 0 else 1 end) over (partition by subject_id, window_ord order by idx) as tie from (select subject_id, window_ord, idx, kept and not starts as brk, coalesce(raw_us, t_us) = lag(coalesce(raw_us, t_us)) over (partition by subject_id, window_ord order by idx) is true as same from wt)),
  g1 as (select *, (row_number() over (partition by subject_id, window_ord, tie order by idx) - 1) // {most} as slice from g0),
- g2 as (select subject_id, window_ord, tie, slice, count(*) as len, {'bool_or(brk)' if breaks else 'false'} as brk from g1 group by 1, 2, 3, 4),
+ g2 as (select subject_id, window_ord, tie, slice, count(*) as len, {'arg_min(brk, idx)' if breaks else 'false'} as brk from g1 group by 1, 2, 3, 4),
  g as materialized (select subject_id, window_ord, row_number() over (partition by subject_id, window_ord order by tie, slice) as grp, len, brk from g2),
  sq(subject_id, window_ord, grp, len, cur, chunk, brk) as (select subject_id, window_ord, grp, len, len, 0, brk from g where grp = 1
   union all select g.subject_id, g.window_ord, g.grp, g.len, case when not g.brk and cur + g.len <= {most} and cur < {target} then cur + g.len else g.len end, case when not g.brk and cur + g.len <= {most} and cur < {target} then chunk else chunk + 1 end, g.brk
@@ -496,12 +496,6 @@ def next_token_targets(spark, d):
     return collate.next_tokens(segments.window_tokens(tokens(spark, d)))
 
 
-@query()
-def chunk_sequences(spark, d):
-    t = tokens(spark, d)
-    return collate.sequences(t, collate.token_ids(t), 128)
-
-
 @query(O.timeline("select kind, surface, row_number() over (order by kind, surface) as dense_id, n from (select kind, surface, count(*) as n from tk group by 1, 2)"))
 def compact_vocab(spark, d):
     return collate.compact(tokens(spark, d))
@@ -569,11 +563,21 @@ def with_static(m: DataFrame) -> DataFrame:
     return A.ordered(m.drop("pos").unionByName(both), "event_id")
 
 
-@query(O.with_ctes(O.coded, ", ".join([STATIC, ANCHOR, f"k as (select an.*, sex, birth_us, {ASOF.format('BMI (KG/M2)')} as bmi0, {ASOF.format('WEIGHT (LBS)')} as w, {ASOF.format('HEIGHT (INCHES)')} as h from an join sx using (subject_id))", "k1 as (select *, coalesce(bmi0, case when h > 0 then w * 703.0 / (h * h) end) as bmi, (anchor_us - birth_us) / 31557600000000 as age from k)"]), "select subject_id, row_number() over (partition by subject_id order by o) - 1 as ord, token_id, round(value, 6) as value from (select subject_id, 1 as o, sex as token_id, null::double as value from k1 union all select subject_id, 2, 32 + (age >= 18)::int + (age >= 40)::int + (age >= 65)::int + (age >= 80)::int, null from k1 where age >= 0 union all select subject_id, 3, 37 + (bmi >= 18.5)::int + (bmi >= 25)::int + (bmi >= 30)::int + (bmi >= 35)::int + (bmi >= 40)::int, null from k1 where bmi > 0 union all select subject_id, 4, 43, h * 2.54 from k1 where h > 0 union all select subject_id, 5, 44, w * 0.45359237 from k1 where w > 0)"))
+#: sp (subject_id, ord, token_id, value): demographic tokens as of the anchors an; SPECIALS begins with these.
+SPECIAL_ROWS = f"k as (select an.*, sex, birth_us, {ASOF.format('BMI (KG/M2)')} as bmi0, {ASOF.format('WEIGHT (LBS)')} as w, {ASOF.format('HEIGHT (INCHES)')} as h from an join sx using (subject_id)), k1 as (select *, coalesce(bmi0, case when h > 0 then w * 703.0 / (h * h) end) as bmi, (anchor_us - birth_us) / 31557600000000 as age from k)"
+SPECIAL_ROWS += ", sp as (select subject_id, row_number() over (partition by subject_id order by o) - 1 as ord, token_id, value from (select subject_id, 1 as o, sex as token_id, null::double as value from k1 union all select subject_id, 2, 32 + (age >= 18)::int + (age >= 40)::int + (age >= 65)::int + (age >= 80)::int, null from k1 where age >= 0 union all select subject_id, 3, 37 + (bmi >= 18.5)::int + (bmi >= 25)::int + (bmi >= 30)::int + (bmi >= 35)::int + (bmi >= 40)::int, null from k1 where bmi > 0 union all select subject_id, 4, 43, h * 2.54 from k1 where h > 0 union all select subject_id, 5, 44, w * 0.45359237 from k1 where w > 0))"
+SPECIALS = f"{STATIC}, {ANCHOR}, {SPECIAL_ROWS}"
+
+
+@query(O.with_ctes(O.coded, SPECIALS, "select subject_id, ord, token_id, round(value, 6) as value from sp"))
 def demographic_specials(spark, d):
+    return specials(spark, d).withColumn("value", F.round("value", 6))
+
+
+def specials(spark, d) -> DataFrame:
     m = A.meds(spark, d)
     anchor = timeline.anchors(m).withColumn("anchor_us", F.col("anchor_us") + 240 * N.HOUR_US)
-    return demographics.summary_tokens(with_static(m), anchor).withColumn("value", F.round("value", 6))
+    return demographics.summary_tokens(with_static(m), anchor)
 
 
 @query(O.with_ctes(O.coded, "k as (select code, regexp_replace(upper(list_last(string_split(code, '//'))), '[^0-9A-Z]', '', 'g') as b from c where category = 'DIAGNOSIS')", "select code, array_to_string(list_concat([b], list_transform(range(1, length(b)), lambda i: substr(b, 1, i::int) || '.' || substr(b, i::int + 1))), '|') as forms from k where length(b) > 1"))

@@ -10,7 +10,7 @@ from caretrail.operators import vocab
 from caretrail.plans import queries as core
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SOME = ["route_category", "transition_rules", "var_stats", "canon_med", "surfaces", "vocab_hits", "obs_vocab", "decision_table", "raw_summary", "timeline_tokens", "merged_bundles", "windows", "policy_percentiles", "remap_ids", "pack_rvq", "resolve_cascade", "resolve_known", "resolve_unk", "chunks", "trajectories", "trajectory_clock", "rebalanced"]
+SOME = ["route_category", "timeline_ids", "chunk_sequences", "chunk_sequences_next_type", "sequence_overflow", "resolve_ids", "canon_proc", "transition_rules", "var_stats", "canon_med", "surfaces", "vocab_hits", "obs_vocab", "decision_table", "raw_summary", "timeline_tokens", "merged_bundles", "windows", "policy_percentiles", "remap_ids", "pack_rvq", "resolve_cascade", "resolve_known", "resolve_unk", "chunks", "trajectories", "trajectory_clock", "rebalanced"]
 
 
 def plain(df):
@@ -55,3 +55,10 @@ def test_resolution_stages(spark):
 def test_segmentation_stays_on_one_partitioning(spark, name, most):
     plan = core.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange" in line for line in plan.splitlines()) <= most
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the shared tables are not there")
+@pytest.mark.parametrize("name, most", [("timeline_ids", 3), ("chunk_sequences", 4), ("sequence_overflow", 6)])
+def test_model_input_stays_on_one_partitioning(spark, name, most):
+    plan = core.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line for line in plan.splitlines()) <= most

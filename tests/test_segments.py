@@ -170,9 +170,8 @@ def test_chunks_like_sequential(spark, histories):
     rows = S.time_groups(S.window_tokens(df), "window_ord", most=6).orderBy("subject_id", "idx").collect()
     groups = {}
     for r in rows:
-        g = groups.setdefault((r.subject_id, r.window_ord), {}).setdefault(r.grp, [0, False])
+        g = groups.setdefault((r.subject_id, r.window_ord), {}).setdefault(r.grp, [0, r.brk])
         g[0] += 1
-        g[1] |= r.brk
     got = {}
     for r in S.chunks(df, most=6, smallest=2, fraction=0.5, tail=2).orderBy("subject_id", "window_ord", "chunk_ord").collect():
         got.setdefault((r.subject_id, r.window_ord), []).append(r.len)
