@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators import audit, collate, encoding, quantise, timeline, vocab
+from ..operators import audit, collate, decode, encoding, ids, policies, quantise, timeline, vocab
 from ..sources import adapters as A
 from ..sources import scratch
 from . import oracle as O
@@ -83,8 +83,6 @@ def timeline_ids(spark, d):
 
 @query(encoded_sql(f"select case when gid >= {AT['observation_value']} then 'observation_value' when gid >= {AT['observation_code']} then 'observation_code' when gid >= {AT['structural']} then 'structural' when gid >= {AT['measurement_value']} then 'measurement_value' when gid >= {AT['measurement_code']} then 'measurement_code' when gid >= {AT['medication']} then 'medication_or_med_attr' when gid >= {AT['procedure']} then 'procedure' when gid >= {AT['diagnosis']} then 'diagnosis' else 'special_or_window' end as family, kind, count(*) as n, count(distinct gid) as ids, min(gid) as lowest, max(gid) as highest from tk group by 1, 2"))
 def timeline_id_families(spark, d):
-    from ..operators import ids
-
     t = encoded(spark, d)
     return t.groupBy(ids.family(F.col("gid")).alias("family"), "kind").agg(F.count("*").alias("n"), F.count_distinct("gid").alias("ids"), F.min("gid").alias("lowest"), F.max("gid").alias("highest"))
 
@@ -155,3 +153,120 @@ def sequence_overflow(spark, d):
     own = scratch.kept(collate.special_arrays(specials(spark, d)), "specials")
     w = collate.overflow_report(collate.collated(encoded(spark, d), own, LENGTH, cap=1), 12)
     return w.withColumns({c: F.round(c, 6) for c in w.columns if c.endswith("_share")})
+
+
+# --- decoding ---
+
+
+def decoded(spark, d) -> DataFrame:
+    m, table, enc = encoders(spark, d)
+    codes = vocab.code_counts(timeline.classified(m))
+    known = decode.names(vocab.sample_vocab(codes), enc.structural, enc.measurements, vocab.sample_residual(spark))
+    return decode.items(encoding.tokens(m, table, enc), known, LEVELS, SIZE)
+
+
+_ITEM = f"""im as (select *, sum((kind not in ('VALUE', 'OBS_VALUE'))::int) over (partition by subject_id order by idx) - 1 as item from tk),
+ nm as (select raw_id + case category when 'DIAGNOSIS' then {AT['diagnosis']} when 'PROCEDURE' then {AT['procedure']} else {AT['medication']} end as gid, base as name from vo union all select raw_id + {AT['structural']}, surface from sv union all select var_id + {AT['measurement_code']}, code from c2i union all select 1 + {AT['medication_residual']}, 'MEDICATION//ACETAMINOPHEN'),
+ dc as (select subject_id, item, arg_min(kind, idx) as kind, arg_min(category, idx) as category, arg_min(gid, idx) as gid, arg_min(surface, idx) as surface, arg_min(label, idx) as own, arg_min(value, idx) as value, min(t_us) as t_us, arg_min(dt_us, idx) as dt_us, arg_min(hook, idx) as hook, arg_min(action, idx) as action, arg_min(type_id, idx) as type_id, min(idx) as lo, max(idx) as hi, arg_max(gid, idx) as last, list(gid - {AT['measurement_value']} - level * {SIZE} order by idx) filter (where kind = 'VALUE') as codes from im group by 1, 2)"""
+
+
+@query(encoded_sql("select subject_id, item, case kind when 'MEAS' then 'measurement_bundle' when 'OBS_CODE' then 'observation_bundle' else 'token' end as item_kind, category, dc.gid, case when kind = 'OBS_CODE' then null when kind = 'MARK' and category = 'MEDICATION' then 'MED_MARKER::' || surface when kind = 'STRUCT' then coalesce(own, name) else name end as label, case when kind = 'OBS_CODE' then last end as value_gid, array_to_string(codes, ',') as codes, round(value, 6) as value, t_us, dt_us, hook, action, lo, hi from dc left join nm using (gid)", ", " + _ITEM))
+def decode_items(spark, d):
+    out = decoded(spark, d)
+    return out.drop("type_id").withColumns({"codes": F.array_join("codes", ","), "value": F.round("value", 6)})
+
+
+#: Sizes of the blocks; none wraps around.
+BLOCK_SIZES = {"special": 100, "structural": 1_000, "measurement_code": 10_000, "measurement_value": LEVELS * SIZE, "observation_code": 19_999, "observation_value": 80_001, "diagnosis": 100_000, "diagnosis_residual": 39_999, "procedure": 100_000, "procedure_residual": 39_999, "medication": 100_000, "medication_residual": 39_999}
+_BLOCKS = "bk as (select * from (values " + ", ".join(f"('{n}', {C.LANES.index(C.BLOCK_LANES[n])}, {i}, {AT[n]}, {BLOCK_SIZES[n]})" for i, n in enumerate(C.BLOCK_LANES)) + ") t(name, lane_ord, ord, off, size))"
+_DENSE = f""", {_BLOCKS}, og as (select distinct gid from tk), sn as (select name, gid from og join bk on gid between off and off + size - 1 where name <> 'special'), kept as (select * from sn union all select name, off from bk where name <> 'special' and name not in (select name from sn) union all select 'special', unnest(range(100))),
+ dn as (select name, gid, row_number() over (order by lane_ord, ord, gid) - 1 as dense_id from kept join bk using (name))"""
+
+
+@query(encoded_sql("select gid, name as block, dense_id, gid as back, true as exact, n from dn join (select gid, count(*) as n from tk group by 1) using (gid)", _DENSE))
+def dense_round_trip(spark, d):
+    """Ids of the timeline to a model's dense ids and back."""
+    seen = scratch.kept(encoded(spark, d).groupBy("gid").agg(F.count("*").alias("n")), "gids")
+    blocks, table = ids.compacted(ids.layout(spark, BLOCK_SIZES), seen, ("special",))
+    dense = ids.remapped(seen, blocks, table).withColumnRenamed("gid", "own").drop("block")
+    return decode.sparse(dense, blocks, table).select(F.col("own").alias("gid"), "block", "dense_id", F.col("gid").alias("back"), "exact", "n")
+
+
+# --- boundary policies over decoded items ---
+
+_WHY = S.some("""[case when policy in ('current', 'current_plus_gap') and hook then 'window_hook' end, case when policy in ('all_structural', 'structural_or_gap') and category = 'STRUCTURAL' then 'structural_any' end,
+ case when (starts_with(policy, 'transition_like') or starts_with(policy, 'marker_or_transition')) and moves then 'transition_like' end, case when starts_with(policy, 'marker_or_transition') and marks then 'marker_like' end,
+ case when starts_with(policy, 'custom_contains') and contains(text, 'ICU') then 'contains:ICU' end, case when (policy = 'gap_only' or ends_with(policy, 'gap')) and item > 0 and dt_us >= 6 * 3600000000 then 'gap>=6h' end]""")
+_JUDGED = f""", {_ITEM}, it as (select subject_id, item, category, hook, action, type_id, t_us, dt_us, lo, hi, coalesce(case when kind = 'OBS_CODE' then 'MEASUREMENT::None' when kind = 'MARK' and category = 'MEDICATION' then 'MED_MARKER::' || surface when kind = 'STRUCT' then coalesce(own, name) else name end, case when kind = 'MEAS' then 'VAR::' || (dc.gid - {AT['measurement_code']}) else category || '::' || dc.gid end) as label from dc left join nm using (gid)),
+ ix as (select *, upper(label || ' | ' || case when hook then 'WINDOW_BOUNDARY' else '' end || ' | ' || category) as text, category = 'STRUCTURAL' and coalesce(action in ({O.quoted(C.ACTIVE)}), false) as moves from it),
+ iw as (select *, {O.contains('text', C.MARKER_PARTS)} as marks from ix), ir as materialized (select iw.*, policy, {_WHY} as why from iw, (select unnest([{O.quoted(audit.POLICIES)}]) as policy)),
+ ic as (select *, lag(item) over w as pi, lag(t_us) over w as pt from ir where len(why) > 0 window w as (partition by subject_id, policy order by item)),
+ ib as (select *, sum((pi is null or item - pi > {C.BUNDLE_GAP_IDX} or abs(t_us - pt) > {int(C.BUNDLE_GAP_H * O.H)})::int) over (partition by subject_id, policy order by item) as bundle from ic),
+ bs as (select subject_id, policy, bundle, min(item) as lo_item, max(item) as hi_item, {S.unique('flatten(list(why order by item))')} as reasons from ib group by 1, 2, 3),
+ bm as (select bs.*, ir.item, ir.label, ir.action as act, coalesce(bool_or(ir.action = 'open_next') over (partition by bs.subject_id, bs.policy, bundle order by ir.item rows between unbounded preceding and 1 preceding), false) as seen from bs join ir on ir.subject_id = bs.subject_id and ir.policy = bs.policy and ir.item between lo_item and hi_item),
+ ba as (select subject_id, policy, bundle, case when bool_or(act = 'close_open') or (bool_or(act = 'open_next') and bool_or(act = 'close_current')) then 'close_open' when bool_or(act = 'open_next') then 'open_next' when bool_or(act = 'close_current') then 'close_current' else 'open_next' end as action from bm group by 1, 2, 3),
+ b1s as (select bm.*, action, case when action <> 'close_open' then action = 'open_next' when act = 'close_current' then false when act = 'open_next' then true else seen end as opens from bm join ba using (subject_id, policy, bundle)),
+ b2s as (select *, count(*) filter (where opens) over w as n_open, count(*) over w as n from b1s window w as (partition by subject_id, policy, bundle)),
+ b3s as (select * replace (case when action <> 'close_open' then opens when n_open = n and n > 1 and item = lo_item then false when n_open = 0 and item = hi_item then true else opens end as opens) from b2s),
+ bo_ as (select subject_id, policy, bundle, any_value(lo_item) as lo_item, any_value(hi_item) as hi_item, any_value(action) as action, coalesce(arg_min(label, item) filter (where opens), arg_min(label, item)) as label, any_value(reasons) as reasons, coalesce(list(item order by item) filter (where not opens), []) as closing, coalesce(list(item order by item) filter (where opens), []) as opening from b3s group by 1, 2, 3)"""
+_MADE = """, wa_ as materialized (select ir.*, coalesce(b3s.bundle, (select count(*) from bs where bs.subject_id = ir.subject_id and bs.policy = ir.policy and bs.hi_item < ir.item)) - coalesce(not b3s.opens, false)::int as segment from ir left join b3s on b3s.subject_id = ir.subject_id and b3s.policy = ir.policy and b3s.item = ir.item),
+ wb_ as (select subject_id, policy, segment, count(*) as n_items, arg_min(lo, item) as lo, arg_max(hi, item) as hi, arg_max(t_us, item) - arg_min(t_us, item) as us, arg_min(label, item) as first_label, arg_max(label, item) as last_label, arg_min(category, item) as first_category, arg_max(category, item) as last_category from wa_ group by 1, 2, 3),
+ wc_ as materialized (select *, row_number() over (partition by subject_id, policy order by segment) - 1 as "window" from wb_),
+ wm_ as (select wc_.*, hi - lo + 1 as n_tokens, least(hi - lo + 1, 126) + 2 as n_processed, hi - lo + 1 > 126 as truncated, coalesce((select arg_min(tk.type_id, tk.idx) from tk where tk.subject_id = wc_.subject_id and tk.idx between lo and hi and tk.type_id is not null and tk.action in ('open_next', 'close_open')), 0) as type_id from wc_ where "window" < 64)"""
+
+
+def _judged(spark, d) -> DataFrame:
+    return policies.judged(policies.described(decoded(spark, d)))
+
+
+@query(encoded_sql("select subject_id, policy, bundle::bigint as bundle, lo_item, hi_item, action, label, array_to_string(reasons, ',') as reasons, array_to_string(closing, ',') as closing, array_to_string(opening, ',') as opening from bo_", _JUDGED))
+def audit_bundles(spark, d):
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return policies.boundaries(_judged(spark, d)).select("subject_id", "policy", "bundle", "lo_item", "hi_item", "action", "label", text("reasons"), text("closing"), text("opening"))
+
+
+@query(encoded_sql('select subject_id, policy, "window", n_items, n_tokens, n_processed, truncated, us, type_id, first_label, last_label, first_category, last_category from wm_', _JUDGED + _MADE))
+def audit_windows(spark, d):
+    made = policies.windows(_judged(spark, d))
+    return made.select("subject_id", "policy", "window", "n_items", "n_tokens", "n_processed", "truncated", F.round(F.col("hours") * 3.6e9).cast("long").alias("us"), "type_id", "first_label", "last_label", "first_category", "last_category")
+
+
+@query(encoded_sql("select policy, measure, windows, v[1 + round_even(0.5::double * (windows - 1), 0)::int] as p50, v[1 + round_even(0.9::double * (windows - 1), 0)::int] as p90, v[1 + round_even(0.99::double * (windows - 1), 0)::int] as p99, v[windows] as largest, round(u, 6) as unknown_share, round(c, 6) as truncated_share from ms_", _JUDGED + _MADE + ", ml_ as (select policy, truncated, type_id, unnest([{'m': 'n_items', 'v': n_items::double}, {'m': 'n_tokens', 'v': n_tokens::double}, {'m': 'n_processed', 'v': n_processed::double}, {'m': 'hours', 'v': round(greatest(us, 0) / 3600000000, 6)}]) as x from wm_), ms_ as (select policy, x.m as measure, count(*) as windows, list(x.v order by x.v) as v, avg((type_id = 0)::int) as u, avg(truncated::int) as c from ml_ group by 1, 2)"))
+def audit_measures(spark, d):
+    made = policies.windows(_judged(spark, d)).withColumn("hours", F.round("hours", 6))
+    return policies.measures(made).drop("placement").withColumns({c: F.round(c, 6) for c in ("unknown_share", "truncated_share")})
+
+
+@query(encoded_sql("select * from (select policy, counter, name, count(*) as n, (row_number() over (partition by policy, counter order by count(*) desc, name))::int as rank from ct_ group by 1, 2, 3) where rank <= 20", _JUDGED + _MADE + """, ct_ as (select policy, x.c as counter, x.n as name from (select policy, unnest([{'c': 'opening_label', 'n': first_label}, {'c': 'closing_label', 'n': last_label}, {'c': 'opening_category', 'n': first_category}, {'c': 'closing_category', 'n': last_category}, {'c': 'window_type', 'n': type_id::varchar}]) as x from wm_)
+ union all select policy, 'boundary_label', label from bo_ union all select policy, 'boundary_action', action from bo_ union all select policy, 'boundary_reason', unnest(reasons) from bo_)"""))
+def audit_counters(spark, d):
+    rows = _judged(spark, d)
+    return policies.counters(policies.windows(rows), policies.boundaries(rows)).drop("placement")
+
+
+@query(recursive(encoded_sql(", kc as (select subject_id, window_ord, chunk_ord, chunk_ord = max(chunk_ord) over (partition by subject_id, window_ord) as top from ck where window_ord < 64 and chunk_ord < 8), mk as (select type_id, top from kc join ws using (subject_id, window_ord)) select kind, value, count(*) as n from (select 'prefix_type' as kind, type_id::varchar as value from mk union all select 'suffix_mode', case when top then 'end' else 'continue' end from mk union all select 'suffix_id', case when top then '17' else '18' end from mk) group by 1, 2", CHUNKED)))
+def marker_usage(spark, d):
+    return policies.marker_usage(collate.sequences(collated(spark, d), LENGTH))
+
+
+# --- quantised vectors ---
+
+
+def _book_rows(spark, d) -> DataFrame:
+    """Two levels of sixteen codes, of the vectors with the smallest ids."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 32")
+    level = (F.col("vec_id") >= 16).cast("int")
+    return e.select(level.alias("level"), (F.col("vec_id") % 16).cast("int").alias("code"), F.transform("embedding", lambda x: x.cast("double") / (1 + 3 * level)).alias("vector"))
+
+
+@query("""with e as (select vec_id, list_transform(embedding, lambda y: y::double) as x from embeddings), bq as (select vec_id // 16 as l, vec_id % 16 as k, list_transform(x, lambda y: y / (1 + 3 * (vec_id // 16))) as v from e where vec_id < 32),
+ d0 as (select vec_id, b.k, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - b.v[i]) * (x[i] - b.v[i]))) as d from e, bq b where b.l = 0), n0 as (select vec_id, arg_min(k, d) as k0 from d0 group by 1),
+ r1 as (select e.vec_id, k0, list_transform(range(1, len(x) + 1), lambda i: x[i] - v[i]) as x from e join n0 using (vec_id) join bq on l = 0 and k = k0),
+ d1 as (select vec_id, k0, b.k, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - b.v[i]) * (x[i] - b.v[i]))) as d from r1, bq b where b.l = 1), n1 as (select vec_id, k0, arg_min(k, d) as k1, min(d) as d from d1 group by 1, 2)
+ select vec_id, k0::bigint as k0, k1::bigint as k1, round(d, 4) as rest from n1""")
+def vector_codes(spark, d):
+    stack = quantise.books(scratch.kept(_book_rows(spark, d), "books"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = e.withColumn("c", quantise.codes(F.col("v"), stack)).withColumn("back", quantise.restored(F.col("c"), stack))
+    rest = F.aggregate(F.zip_with("v", "back", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", F.col("c")[0].cast("long").alias("k0"), F.col("c")[1].cast("long").alias("k1"), F.round(rest, 4).alias("rest"))

@@ -512,11 +512,6 @@ def remap_ids(spark, d):
     return collate.remap(ids, collate.blocks(spark, {k: (v, 100) for k, v in C.FAMILY_OFFSETS.items()})).select("gid", "dense_id")
 
 
-@query(O.timeline("select subject_id, count(*) as items from tk where kind not in ('OBS_VALUE','MARK') group by 1"))
-def decode_items(spark, d):
-    return collate.items(tokens(spark, d)).groupBy("subject_id").agg(F.count("*").alias("items"))
-
-
 @query("select state, token, boundary, case state when 'inside' then not (token = 17 or token = 18 or token between 10 and 15) when 'chunk_end' then token = 18 or (boundary and (token = 17 or token between 10 and 15)) else token between 10 and 15 end as legal from (select unnest(range(0, 30)) as token), (select unnest(['inside','chunk_end','window_end']) as state), (select unnest([true, false]) as boundary)")
 def grammar_legal(spark, d):
     grid = spark.range(30).select(F.col("id").alias("token")).select("token", F.explode(F.array(*map(F.lit, ("inside", "chunk_end", "window_end")))).alias("state"), F.lit(True).alias("boundary"))
