@@ -212,7 +212,8 @@ _JUDGED = f""", {_ITEM}, it as (select subject_id, item, category, hook, action,
 _MADE = """, wa_ as materialized (select ir.*, coalesce(b3s.bundle, (select count(*) from bs where bs.subject_id = ir.subject_id and bs.policy = ir.policy and bs.hi_item < ir.item)) - coalesce(not b3s.opens, false)::int as segment from ir left join b3s on b3s.subject_id = ir.subject_id and b3s.policy = ir.policy and b3s.item = ir.item),
  wb_ as (select subject_id, policy, segment, count(*) as n_items, arg_min(lo, item) as lo, arg_max(hi, item) as hi, arg_max(t_us, item) - arg_min(t_us, item) as us, arg_min(label, item) as first_label, arg_max(label, item) as last_label, arg_min(category, item) as first_category, arg_max(category, item) as last_category from wa_ group by 1, 2, 3),
  wc_ as materialized (select *, row_number() over (partition by subject_id, policy order by segment) - 1 as "window" from wb_),
- wm_ as (select wc_.*, hi - lo + 1 as n_tokens, least(hi - lo + 1, 126) + 2 as n_processed, hi - lo + 1 > 126 as truncated, coalesce((select arg_min(tk.type_id, tk.idx) from tk where tk.subject_id = wc_.subject_id and tk.idx between lo and hi and tk.type_id is not null and tk.action in ('open_next', 'close_open')), 0) as type_id from wc_ where "window" < 64)"""
+ ty_ as (select wc_.subject_id, policy, segment, arg_min(tk.type_id, tk.idx) as type_id from wc_ join tk on tk.subject_id = wc_.subject_id and tk.idx between lo and hi where tk.type_id is not null and tk.action in ('open_next', 'close_open') group by 1, 2, 3),
+ wm_ as (select wc_.*, hi - lo + 1 as n_tokens, least(hi - lo + 1, 126) + 2 as n_processed, hi - lo + 1 > 126 as truncated, coalesce(type_id, 0) as type_id from wc_ left join ty_ using (subject_id, policy, segment) where "window" < 64)"""
 
 
 def _judged(spark, d) -> DataFrame:
