@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators import audit, collate, decode, encoding, ids, policies, quantise, timeline, vocab
+from ..operators import audit, collate, decode, encoding, ids, policies, quantise, timeline, trajectories, vocab
 from ..sources import adapters as A
 from ..sources import scratch
 from . import oracle as O
 from . import spelling as S
-from .queries import CASCADE, CODE2ID, NUMERIC, SPECIALS, STATS, query, recursive, specials
+from .queries import CASCADE, CODE2ID, NUMERIC, SPECIALS, STATIC, STATS, TRAJECTORIES, query, recursive, specials, with_static
 
 AT = C.FAMILY_OFFSETS
 LEVELS, SIZE = 2, 256
@@ -250,6 +250,32 @@ def marker_usage(spark, d):
     return policies.marker_usage(collate.sequences(collated(spark, d), LENGTH))
 
 
+# --- trajectories ---
+
+_SEEN = "(select arg_max(numeric_value * {}, (t_us, pos)) from ev where ev.subject_id = ax.subject_id and u = '{}' and {} and t_us <= anchor_us)"
+_SLICED = f"""{O.BUNDLES}{O.MERGED}{O.WINDOWS}, {TRAJECTORIES}, {STATIC},
+ ta as (select tt.*, ws.type_id as w_type, ws.site as w_site, idx = min(idx) over o as head, arg_min(tt.t_us, idx) over o as begin from tt join ws on ws.subject_id = tt.subject_id and ws.window_ord = tt.window_ord window o as (partition by tt.subject_id, trajectory_ord)),
+ ax as (select subject_id, trajectory_ord, raw_us as anchor_us from ta where head),
+ ay as (select ax.*, sex, birth_us, {_SEEN.format('1', 'BMI (KG/M2)', NUMERIC)} as bmi0, {_SEEN.format('0.45359237', 'WEIGHT (LBS)', NUMERIC)} as kg, {_SEEN.format('2.54', 'HEIGHT (INCHES)', NUMERIC)} as cm from ax join sx using (subject_id)),
+ az as (select *, coalesce(bmi0, case when cm > 0 then kg / ((cm / 100.0) * (cm / 100.0)) end) as bmi, (anchor_us - birth_us) / 31557600000000 as age from ay),
+ ts as (select subject_id, trajectory_ord, row_number() over (partition by subject_id, trajectory_ord order by o) - 1 as ord, token_id, value from (select subject_id, trajectory_ord, 1 as o, sex as token_id, null::double as value from az union all select subject_id, trajectory_ord, 2, 32 + (age >= 18)::int + (age >= 40)::int + (age >= 65)::int + (age >= 80)::int, null from az where age >= 0
+  union all select subject_id, trajectory_ord, 3, 37 + (bmi >= 18.5)::int + (bmi >= 25)::int + (bmi >= 30)::int + (bmi >= 35)::int + (bmi >= 40)::int, null from az where bmi > 0 union all select subject_id, trajectory_ord, 4, 43, cm from az where cm > 0 union all select subject_id, trajectory_ord, 5, 44, kg from az where kg > 0))"""
+
+
+@query(recursive(encoded_sql("select subject_id, trajectory_ord, ord, token_id, round(value, 6) as value from ts", _SLICED)))
+def trajectory_specials(spark, d):
+    rows = trajectories.sliced(encoded(spark, d)).where("head")
+    return trajectories.specials(with_static(A.meds(spark, d)), rows.select("subject_id", "trajectory_ord", "anchor_us")).withColumn("value", F.round("value", 6))
+
+
+@query(recursive(encoded_sql("""select subject_id, trajectory_ord, row_number() over (partition by subject_id, trajectory_ord order by part, nth_) - 1 as place, kind, category, gid, round(value, 6) as value, t_us, dt_us, type_id, site, hook from (
+ select subject_id, trajectory_ord, 0 as part, ord as nth_, 'SPECIAL' as kind, 'SPECIAL' as category, token_id::bigint as gid, value, 0 as t_us, 0 as dt_us, null::int as type_id, null::varchar as site, false as hook from ts
+ union all select subject_id, trajectory_ord, 1, idx, kind, category, gid, value, greatest(t_us - begin, 0), case when head then 0 else dt_us end, case when head then w_type else type_id end, case when head then w_site else site end, hook from ta)""", _SLICED)))
+def trajectory_timelines(spark, d):
+    made = trajectories.materialised(encoded(spark, d), with_static(A.meds(spark, d)))
+    return made.select("subject_id", "trajectory_ord", "place", "kind", "category", "gid", F.round("value", 6).alias("value"), "t_us", "dt_us", "type_id", "site", "hook")
+
+
 # --- quantised vectors ---
 
 
