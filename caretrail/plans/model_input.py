@@ -254,7 +254,7 @@ def marker_usage(spark, d):
 
 _SEEN = "(select arg_max(numeric_value * {}, (t_us, pos)) from ev where ev.subject_id = ax.subject_id and u = '{}' and {} and t_us <= anchor_us)"
 _SLICED = f"""{O.BUNDLES}{O.MERGED}{O.WINDOWS}, {TRAJECTORIES}, {STATIC},
- ta as (select tt.*, ws.type_id as w_type, ws.site as w_site, idx = min(idx) over o as head, arg_min(tt.t_us, idx) over o as begin from tt join ws on ws.subject_id = tt.subject_id and ws.window_ord = tt.window_ord window o as (partition by tt.subject_id, trajectory_ord)),
+ ta as (select tt.*, ws.type_id as own_type, ws.site as own_site, idx = min(idx) over o as head, arg_min(tt.t_us, idx) over o as begin from tt join ws on ws.subject_id = tt.subject_id and ws.window_ord = tt.window_ord window o as (partition by tt.subject_id, trajectory_ord)),
  ax as (select subject_id, trajectory_ord, raw_us as anchor_us from ta where head),
  ay as (select ax.*, sex, birth_us, {_SEEN.format('1', 'BMI (KG/M2)', NUMERIC)} as bmi0, {_SEEN.format('0.45359237', 'WEIGHT (LBS)', NUMERIC)} as kg, {_SEEN.format('2.54', 'HEIGHT (INCHES)', NUMERIC)} as cm from ax join sx using (subject_id)),
  az as (select *, coalesce(bmi0, case when cm > 0 then kg / ((cm / 100.0) * (cm / 100.0)) end) as bmi, (anchor_us - birth_us) / 31557600000000 as age from ay),
@@ -270,7 +270,7 @@ def trajectory_specials(spark, d):
 
 @query(recursive(encoded_sql("""select subject_id, trajectory_ord, row_number() over (partition by subject_id, trajectory_ord order by part, nth_) - 1 as place, kind, category, gid, round(value, 6) as value, t_us, dt_us, type_id, site, hook from (
  select subject_id, trajectory_ord, 0 as part, ord as nth_, 'SPECIAL' as kind, 'SPECIAL' as category, token_id::bigint as gid, value, 0 as t_us, 0 as dt_us, null::int as type_id, null::varchar as site, false as hook from ts
- union all select subject_id, trajectory_ord, 1, idx, kind, category, gid, value, greatest(t_us - begin, 0), case when head then 0 else dt_us end, case when head then w_type else type_id end, case when head then w_site else site end, hook from ta)""", _SLICED)))
+ union all select subject_id, trajectory_ord, 1, idx, kind, category, gid, value, greatest(t_us - begin, 0), case when head then 0 else dt_us end, case when head then own_type else type_id end, case when head then own_site else site end, hook from ta)""", _SLICED)))
 def trajectory_timelines(spark, d):
     made = trajectories.materialised(encoded(spark, d), with_static(A.meds(spark, d)))
     return made.select("subject_id", "trajectory_ord", "place", "kind", "category", "gid", F.round("value", 6).alias("value"), "t_us", "dt_us", "type_id", "site", "hook")
