@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import numeric as N
 from ..functions import routing as R
+from ..functions import text as T
 from ..functions.numeric import HOUR_US
 
 
@@ -239,6 +240,27 @@ def outcomes(resolved: DataFrame) -> DataFrame:
     return r.withColumn("mapped_rate", F.round(F.col("mapped") / F.col("events"), 6))
 
 
+def matching(codes: DataFrame, resolved: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Of each coded category, by events: filtered (its filter would keep the code), routed,
+    both, mismatched (filtered, but routed to no coded category), hits, misses, and each
+    stage; and how many entries of the vocabulary were met, and their share.
+
+    codes(code, category, n) are all codes, resolved is what ``vocab.resolve`` returns for the
+    coded ones. Everything is summed over distinct codes."""
+    tests = {"DIAGNOSIS": T.is_diagnosis, "PROCEDURE": T.is_procedure, "MEDICATION": T.is_medication}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.coalesce(f(F.col("code")), F.lit(False)).alias("kept")) for k, f in tests.items()])).alias("x")
+    rows = codes.where("code is not null").select("code", "category", "n", each).select("code", "category", "n", "x.of", "x.kept")
+    own, coded = F.col("category") == F.col("of"), F.col("category").isin(*tests)
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    routed = rows.groupBy(F.col("of").alias("category")).agg(total(F.col("kept")).alias("filtered"), total(own).alias("routed"), total(own & F.col("kept")).alias("filtered_routed"), total(F.col("kept") & ~coded).alias("mismatched"))
+    stages = ("exact", "canonicalized", "parent_lookup", "crosswalk_lookup", "lexical_bridge", "residual_exact", "residual_hash", "unk")
+    met = F.col("stage").isin(*stages[:5])
+    found = resolved.groupBy("category").agg(total(~F.col("stage").isin("residual_hash", "unk")).alias("hits"), total(F.col("stage").isin("residual_hash", "unk")).alias("misses"), *[total(F.col("stage") == x).alias(f"stage_{x}") for x in stages], F.count_distinct(F.when(met, F.col("hit"))).alias("entries_met"))
+    size = vocab.groupBy("category").agg(F.count("*").alias("entries"))
+    out = routed.join(found, "category", "left").join(size, "category", "left")
+    return out.withColumn("entries_share", F.col("entries_met") / F.col("entries"))
+
+
 def leading(tokens: DataFrame) -> DataFrame:
     """Of each subject how many tokens, and clinical ones, stand before its first transition."""
     first = F.min(F.when(F.col("action").isin(*C.ACTIVE), F.col("idx"))).over(W.partitionBy("subject_id"))

@@ -24,8 +24,12 @@ def code_counts(events: DataFrame) -> DataFrame:
     table of them is passed through."""
     if "base" in events.columns:
         return events
-    e = events.where(F.col("category").isin(*FAMILIES))
-    return e.groupBy("category", "code").agg(F.count("*").alias("n")).withColumn("base", R.unmarked(F.col("code")))
+    return with_bases(events.groupBy("category", "code").agg(F.count("*").alias("n")))
+
+
+def with_bases(counts: DataFrame) -> DataFrame:
+    """The rows of counts(category, code, n) of the coded families, with base."""
+    return counts.where(F.col("category").isin(*FAMILIES)).select("category", "code", "n", R.unmarked(F.col("code")).alias("base"))
 
 
 def numbered(codes: DataFrame, *by: str) -> DataFrame:
@@ -88,6 +92,19 @@ def _offset(suffix: str):
     return F.when(F.col("category") == "DIAGNOSIS", C.FAMILY_OFFSETS["diagnosis" + suffix]).when(F.col("category") == "PROCEDURE", C.FAMILY_OFFSETS["procedure" + suffix]).otherwise(C.FAMILY_OFFSETS["medication" + suffix])
 
 
+def extended(vocab: DataFrame, aliases: DataFrame) -> DataFrame:
+    """vocab(category, entry, raw_id) with an id for the first target of each of
+    aliases(category, ord, targets) that is not there yet: ids go on from the family's largest
+    (from 0 if it has none), in the order in which targets first stand. Aliases without
+    targets add nothing. New entries are numbered by family; a target costs one row."""
+    first = aliases.select("category", F.get("targets", F.lit(0)).alias("entry"), "ord").where("entry is not null").groupBy("category", "entry").agg(F.min("ord").alias("ord"))
+    new = first.join(vocab.select("category", "entry"), ["category", "entry"], "left_anti")
+    top = vocab.groupBy("category").agg(F.max("raw_id").alias("top"))
+    nth = F.row_number().over(W.partitionBy("category").orderBy("ord", "entry"))
+    added = new.withColumn("nth", nth).join(top, "category", "left").select("category", "entry", (F.coalesce("top", F.lit(-1)) + F.col("nth")).cast("long").alias("raw_id"))
+    return vocab.select("category", "entry", F.col("raw_id").cast("long").alias("raw_id")).unionByName(added)
+
+
 def full_target(events: DataFrame, vocab: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """category, code and target: a code's first spelling in the vocabulary that is not its
     unknown entry (of medications none that says too little), else the crosswalk's target,

@@ -144,9 +144,13 @@ def simplified_names(spark, d):
 MEAS_PREFIX = O.quoted(C.MEASUREMENT_PREFIXES)
 
 
-@query(O.coded(f"""select code, starts_with(u, 'DIAGNOSIS//ICD//') or starts_with(u, 'ICD10CM') or starts_with(u, 'ICD9CM') or (not {O.contains('u', ('MEDICATION//', 'INFUSION', 'PROCEDURE//', 'DRG//', 'CPT//', 'HCPCS'))} and p not in ({MEAS_PREFIX}) and (regexp_matches(list_last(string_split(u, '//')), '\\b[A-TV-Z][0-9][0-9A-Z](\\.[0-9A-Z]{{1,4}})?\\b') or regexp_matches(list_last(string_split(u, '//')), '\\b[0-9]{{3}}(\\.[0-9A-Z]{{1,2}})?\\b'))) as dx,
+#: code, dx, px and rx: which families' filters keep a code.
+FILTERED = f"""select code, starts_with(u, 'DIAGNOSIS//ICD//') or starts_with(u, 'ICD10CM') or starts_with(u, 'ICD9CM') or (not {O.contains('u', ('MEDICATION//', 'INFUSION', 'PROCEDURE//', 'DRG//', 'CPT//', 'HCPCS'))} and p not in ({MEAS_PREFIX}) and (regexp_matches(list_last(string_split(u, '//')), '\\b[A-TV-Z][0-9][0-9A-Z](\\.[0-9A-Z]{{1,4}})?\\b') or regexp_matches(list_last(string_split(u, '//')), '\\b[0-9]{{3}}(\\.[0-9A-Z]{{1,2}})?\\b'))) as dx,
  {O.starts('u', ('PROCEDURE//', 'ICD10PCS', 'ICD9PROC', 'CPT', 'HCPCS', 'SNOMED//', 'SNOMED/'))} or (not {O.contains('u', ('MEDICATION//', 'INFUSION', 'DRG//'))} and p not in ({MEAS_PREFIX}) and regexp_matches(list_last(string_split(u, '//')), '[0-9]') and regexp_matches(list_last(string_split(u, '//')), '^([0-9A-HJ-NP-Z]{{7}}|[0-9]{{2}}\\.[0-9]{{1,2}}|[0-9]{{3,4}})$')) as px,
- {O.starts('u', ('RXNORM', 'NDC', 'MEDICATION//', 'INFUSION'))} or (p not in ({MEAS_PREFIX}, 'PROCEDURE') and (regexp_matches(list_last(string_split(u, '//')), 'NDC\\W*[0-9]{{4,5}}-?[0-9]{{3,4}}-?[0-9]{{1,2}}') or regexp_matches(list_last(string_split(u, '//')), '^[0-9]{{3,11}}$'))) as rx from c"""))
+ {O.starts('u', ('RXNORM', 'NDC', 'MEDICATION//', 'INFUSION'))} or (p not in ({MEAS_PREFIX}, 'PROCEDURE') and (regexp_matches(list_last(string_split(u, '//')), 'NDC\\W*[0-9]{{4,5}}-?[0-9]{{3,4}}-?[0-9]{{1,2}}') or regexp_matches(list_last(string_split(u, '//')), '^[0-9]{{3,11}}$'))) as rx from c"""
+
+
+@query(O.coded(FILTERED))
 def code_filters(spark, d):
     c = F.col("code")
     return A.meds(spark, d).select("code").distinct().select("code", T.is_diagnosis(c).alias("dx"), T.is_procedure(c).alias("px"), T.is_medication(c).alias("rx"))

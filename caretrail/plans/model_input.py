@@ -9,9 +9,12 @@ from .. import config as C
 from ..operators import audit, collate, decode, encoding, ids, policies, quantise, timeline, trajectories, vocab
 from ..sources import adapters as A
 from ..sources import scratch
+from ..sources import shards as store
+from ..streaming import compile as increments
 from . import oracle as O
 from . import spelling as S
-from .queries import CASCADE, CODE2ID, NUMERIC, SPECIALS, STATIC, STATS, TRAJECTORIES, query, recursive, specials, with_static
+from .further import FILTERED
+from .queries import CASCADE, CODE2ID, NUMERIC, SPECIALS, SPLIT, STATIC, STATS, TRAJECTORIES, query, recursive, specials, tokens, with_static
 
 AT = C.FAMILY_OFFSETS
 LEVELS, SIZE = 2, 256
@@ -276,6 +279,68 @@ def trajectory_timelines(spark, d):
     return made.select("subject_id", "trajectory_ord", "place", "kind", "category", "gid", F.round("value", 6).alias("value"), "t_us", "dt_us", "type_id", "site", "hook")
 
 
+# --- matching, vocabularies, storage ---
+
+
+def _case(stage: str) -> str:
+    return f"coalesce(sum(n) filter (where stage = '{stage}'), 0)::bigint as stage_{stage}"
+
+
+@query(O.with_ctes(O.coded, CASCADE + f""", fx as (select f.*, category, n from ({FILTERED}) f join (select code, category, count(*) as n from ev group by 1, 2) using (code)),
+ fy as (select code, category, n, unnest([{{'k': 'DIAGNOSIS', 'v': dx}}, {{'k': 'PROCEDURE', 'v': px}}, {{'k': 'MEDICATION', 'v': rx}}]) as x from fx),
+ fz as (select x.k as category, coalesce(sum(n) filter (where x.v), 0)::bigint as filtered, coalesce(sum(n) filter (where category = x.k), 0)::bigint as routed, coalesce(sum(n) filter (where category = x.k and x.v), 0)::bigint as filtered_routed, coalesce(sum(n) filter (where x.v and category not in ('DIAGNOSIS','PROCEDURE','MEDICATION')), 0)::bigint as mismatched from fy group by 1),
+ rz as (select category, coalesce(sum(n) filter (where stage <> 'residual_hash'), 0)::bigint as hits, coalesce(sum(n) filter (where stage = 'residual_hash'), 0)::bigint as misses, {', '.join(map(_case, (*vocab.STAGES, 'unk')))}, count(distinct hit) filter (where stage not in ('residual_exact', 'residual_hash')) as entries_met from rv group by 1)""",
+    "select fz.*, rz.* exclude (category), entries, round(entries_met / entries, 6) as entries_share from fz left join rz using (category) left join (select category, count(*) as entries from vo group by 1) using (category)"))
+def matching_report(spark, d):
+    ev = timeline.classified(A.meds(spark, d))
+    codes = scratch.kept(ev.groupBy("code", "category").agg(F.count("*").alias("n")), "codes")
+    counts = vocab.with_bases(codes)
+    entries = scratch.kept(vocab.sample_vocab(counts), "vocab")
+    resolved = vocab.resolve(counts, entries, vocab.sample_parents(counts), vocab.sample_crosswalk(spark), vocab.sample_residual(spark))
+    return audit.matching(codes, resolved, entries).withColumn("entries_share", F.round("entries_share", 6))
+
+
+@query(O.with_ctes(O.coded, CASCADE + f", al as (select category, code, {S.candidates('code')} as l from cc), fi as (select category, l[1] as entry, min(row_number) as o from (select *, row_number() over (order by code) as row_number from al) where len(l) > 0 group by 1, 2), ne as (select category, entry, row_number() over (partition by category order by o) as nth from fi where (category, entry) not in (select category, base from vo))", "select category, base as entry, raw_id from vo union all select category, entry, nth + coalesce((select max(raw_id) from vo where vo.category = ne.category), -1) from ne"))
+def vocab_extension(spark, d):
+    """Aliases are the codes, in order; their targets the spellings."""
+    from ..functions import text as T
+
+    codes = scratch.kept(vocab.code_counts(timeline.classified(A.meds(spark, d))), "codes")
+    aliases = codes.select("category", F.col("code").alias("ord"), F.filter(T.bound(F.struct("code", "category"), lambda r: T.candidates(r["code"], r["category"])), lambda x: x.isNotNull()).alias("targets"))
+    return vocab.extended(vocab.sample_vocab(codes), aliases)
+
+
+_SHARDS = 5
+
+
+@query(O.with_ctes(O.timeline, S.CRC + f", sh as (select subject_id, count(*) as n, any_value({S.crc('subject_id::varchar')} % {_SHARDS})::int as shard from tk, crc_step group by 1)", f"select subject_id, shard, n, row_number() over (partition by shard order by subject_id) - 1 as subject_idx, {SPLIT} as split from sh"))
+def shard_index(spark, d):
+    t = tokens(spark, d)
+    path = f"{scratch.folder(spark)}/shards-{scratch.unique()}"
+    return store.write(t, path, A.splits(t), shards=_SHARDS).drop("rel_path")
+
+
+@query(O.timeline(f"select subject_id, idx, kind, surface, category, t_us, dt_us, hook from tk where {SPLIT} = 'tuning'"))
+def shard_split(spark, d):
+    """Written in shards, read back by split."""
+    t = tokens(spark, d)
+    path = f"{scratch.folder(spark)}/shards-{scratch.unique()}"
+    store.write(t, path, A.splits(t), shards=_SHARDS)
+    return store.read(spark, path, "val").select("subject_id", "idx", "kind", "surface", "category", "t_us", "dt_us", "hook")
+
+
+@query(O.timeline("select subject_id, idx, kind, surface, category, t_us, dt_us, hook from tk"))
+def incremental_timelines(spark, d):
+    """Histories that arrive in two halves, the second one twice, compiled as they come."""
+    m = A.meds(spark, d).drop("pos")
+    path = f"{scratch.folder(spark)}/increments-{scratch.unique()}"
+    early = F.col("event_id") % 2 == 0
+    increments.compile_batch(m.where(early), path, 4, 0, "extend")
+    for _ in range(2):
+        increments.compile_batch(m.where(~early), path, 4, 1, "extend")
+    return increments.compiled(spark, path).select("subject_id", "idx", "kind", "surface", "category", "t_us", "dt_us", "hook")
+
+
 # --- quantised vectors ---
 
 

@@ -19,11 +19,16 @@ def folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def unique() -> str:
+    """A name for a folder that no other run uses."""
+    return uuid.uuid4().hex
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written there once and read again: what follows starts from its files, also
     after an executor is lost. The files go with the session."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{unique()}"
     df.write.parquet(path)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
