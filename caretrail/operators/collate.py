@@ -151,6 +151,12 @@ def legal(state: Column, token: Column, boundary: Column) -> Column:
     return F.when(state == "inside", ~marker).when(state == "chunk_end", (token == C.CONTINUE_TOKEN) | (boundary & ((token == C.END_TOKEN) | kind))).otherwise(kind)
 
 
+def illegal_rates(rows: DataFrame) -> DataFrame:
+    """state, boundary, n, illegal and its rate of rows(state, boundary, legal)."""
+    n = rows.groupBy("state", "boundary").agg(F.count("*").alias("n"), F.count_if(~F.col("legal")).alias("illegal"))
+    return n.withColumn("illegal_rate", F.col("illegal") / F.col("n"))
+
+
 def pack(tokens: DataFrame) -> DataFrame:
     """One row a subject, its tokens as parallel arrays in order."""
     cols = ("idx", "kind", "surface", "category", "t_us", "dt_us")

@@ -95,6 +95,20 @@ def compacted(blocks: DataFrame, observed: DataFrame, preserve: tuple[str, ...]
     return b, table
 
 
+def lookup_problems(blocks: DataFrame, table: DataFrame) -> DataFrame:
+    """name, problem and n of what a table(gid, name, dense_id) of lookup blocks has wrong:
+    gid or dense_id repeated, gid outside its block, dense_id outside it, or no block."""
+    b = blocks.select("name", "global_offset", "source_size", "dense_size", "dense_offset", "mode")
+    rows = table.join(F.broadcast(b), "name", "left")
+    outside = lambda x, lo, n: (F.col(x) < F.col(lo)) | (F.col(x) >= F.col(lo) + F.col(n))
+    placed = F.when(F.col("mode").isNull() | (F.col("mode") != "lookup"), "no lookup block").when(outside("gid", "global_offset", "source_size"), "gid outside").when(outside("dense_id", "dense_offset", "dense_size"), "dense_id outside")
+    found = rows.select("name", placed.alias("problem")).where("problem is not null").groupBy("name", "problem").agg(F.count("*").alias("n"))
+    for c in ("gid", "dense_id"):
+        twice = table.groupBy("name", c).agg(F.count("*").alias("k")).where("k > 1").groupBy("name").agg(F.count("*").alias("n"))
+        found = found.unionByName(twice.select("name", F.lit(f"{c} repeated").alias("problem"), "n"))
+    return found
+
+
 def problems(blocks: DataFrame) -> DataFrame:
     """name and problem of blocks with a bad size or mode, or that overlap the one before."""
     w = W.orderBy("global_offset")

@@ -77,9 +77,20 @@ HALVED = {"medication": 45_000}
 BLOCKS = "bk0 as (select * from (values " + ", ".join(f"('{n}', '{C.BLOCK_LANES[n]}', {C.LANES.index(C.BLOCK_LANES[n])}, {i}, {C.FAMILY_OFFSETS[n]}, {SIZES[n]}, {HALVED.get(n, SIZES[n])})" for i, n in enumerate(C.BLOCK_LANES)) + ") t(name, lane, lane_ord, ord, global_offset, source_size, dense_size)), bk as (select *, sum(dense_size) over (order by lane_ord, ord) - dense_size as dense_offset from bk0)"
 
 
-@query(f"with {BLOCKS} select name, lane, global_offset::bigint as global_offset, source_size::bigint as source_size, dense_size::bigint as dense_size, case when dense_size < source_size then 'modulo' else 'identity' end as mode, dense_offset::bigint as dense_offset from bk")
+#: Block sizes that the table's ids ask for; medication wraps around at half of its own.
+NEEDED = f"{GIDS}, {BLOCKS}, nb0 as (select name, lane, lane_ord, ord, global_offset, max(gid) - global_offset + 1 as source_size from gi join bk on gid between global_offset and global_offset + source_size - 1 group by 1, 2, 3, 4, 5), nb1 as (select *, case when name = 'medication' then (source_size + 1) // 2 else source_size end as dense_size from nb0), nb as (select *, sum(dense_size) over (order by lane_ord, ord) - dense_size as dense_offset from nb1)"
+
+
+def needed(spark, d) -> DataFrame:
+    """The layout of as many ids as the table needs; a row a block."""
+    hit = ids.remapped(gids(spark, d), ids.layout(spark, SIZES)).where("block is not null").groupBy("block").agg(F.max("gid").alias("top"))
+    sizes = {r.block: r.top - C.FAMILY_OFFSETS[r.block] + 1 for r in hit.collect()}
+    return ids.layout(spark, sizes, {n: (x + 1) // 2 for n, x in sizes.items() if n == "medication"})
+
+
+@query(f"with {NEEDED} select name, lane, global_offset::bigint as global_offset, source_size::bigint as source_size, dense_size::bigint as dense_size, case when dense_size < source_size then 'modulo' else 'identity' end as mode, dense_offset::bigint as dense_offset from nb")
 def runtime_layout(spark, d):
-    return ids.layout(spark, SIZES, HALVED).drop("lane_ord", "ord")
+    return needed(spark, d).drop("lane_ord", "ord")
 
 
 @query(f"with {GIDS}, {BLOCKS} select gid, name as block, coalesce(dense_offset + (gid - global_offset) % dense_size, 0)::bigint as dense_id from gi left join bk on gid between global_offset and global_offset + source_size - 1")
@@ -111,19 +122,34 @@ def remap_share(spark, d):
     return ids.remap_stats(ids.remapped(gids(spark, d), ids.layout(spark, SIZES, HALVED)))
 
 
-@query("select * from (values ('wide', 'overlap'), ('empty', 'source_size'), ('odd', 'mode')) t(name, problem)")
+ODD = "ob0 as (select 'line ' || l_linenumber as name, min(l_partkey) * 100 + l_linenumber * 40 as global_offset, max(l_suppkey) - min(l_suppkey) - case when l_linenumber = 5 then 1000000 else 0 end as source_size, count(*) - case when l_linenumber = 6 then 1000000000 else 0 end as dense_size, case when l_linenumber = 7 then 'other' else 'identity' end as mode from lineitem group by l_linenumber)"
+
+
+@query(f"with {ODD}, ob1 as (select *, lag(global_offset + source_size - 1) over (order by global_offset, name) as before from ob0) select name, case when source_size <= 0 then 'source_size' when dense_size <= 0 then 'dense_size' when mode = 'other' then 'mode' when global_offset <= before then 'overlap' end as problem from ob1 where source_size <= 0 or dense_size <= 0 or mode = 'other' or global_offset <= before")
 def layout_problems(spark, d):
-    rows = [("good", 0, 10, 10, "identity"), ("wide", 5, 10, 10, "identity"), ("empty", 100, 0, 1, "identity"), ("odd", 200, 5, 5, "other"), ("fine", 300, 5, 3, "modulo")]
-    return ids.problems(spark.createDataFrame(rows, "name string, global_offset long, source_size long, dense_size long, mode string"))
+    n = F.col("l_linenumber")
+    less = lambda i, x: F.when(n == i, x).otherwise(0)
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(n).agg((F.min("l_partkey") * 100 + n * 40).cast("long").alias("global_offset"), (F.max("l_suppkey") - F.min("l_suppkey")).alias("s"), F.count("*").alias("k"))
+    blocks = rows.select(F.concat(F.lit("line "), n.cast("string")).alias("name"), "global_offset", (F.col("s") - less(5, 1_000_000)).cast("long").alias("source_size"), (F.col("k") - less(6, 1_000_000_000)).cast("long").alias("dense_size"), F.when(n == 7, "other").otherwise("identity").alias("mode"))
+    return ids.problems(blocks)
+
 
+@query(f"with {COMPACT}, lx as (select gid, name, dense_id from ct union all select gid, name, dense_id + 1 from ct where gid % 7 = 0 union all select gid + 500000000, name, dense_id from ct where gid % 11 = 0), cb as (select name, case when name in (select name from sn) then (select min(gid) from kp where kp.name = co.name) end as lo, (select max(gid) from kp where kp.name = co.name) as hi, dense_offset, size from co), lz as (select lx.*, case when not (gid between coalesce(lo, hi) and hi) then 'gid outside' when not (dense_id between dense_offset and dense_offset + size - 1) then 'dense_id outside' end as problem from lx join cb using (name)) select name, problem, count(*) as n from lz where problem is not null group by 1, 2 union all select name, 'gid repeated', count(*) from (select name, gid from lx group by 1, 2 having count(*) > 1) group by 1 union all select name, 'dense_id repeated', count(*) from (select name, dense_id from lx group by 1, 2 having count(*) > 1) group by 1")
+def lookup_problems(spark, d):
+    """A compact table, spoilt: some ids twice, some out of place."""
+    blocks, table = ids.compacted(ids.layout(spark, SIZES, HALVED), gids(spark, d), ("special",))
+    again = table.where("gid % 7 = 0").withColumn("dense_id", F.col("dense_id") + 1)
+    away = table.where("gid % 11 = 0").withColumn("gid", F.col("gid") + 500_000_000)
+    return ids.lookup_problems(blocks, table.unionByName(again).unionByName(away))
 
-SMALL = {"special": 100, "structural": 40, "measurement_code": 30, "diagnosis": 20, "medication_residual": 10}
-META = "mb0 as (select * from (values " + ", ".join(f"('{n}', {C.LANES.index(C.BLOCK_LANES[n])}, {i}, {C.FAMILY_OFFSETS.get(n) or 0}, {SMALL[n]})" for i, n in enumerate(C.BLOCK_LANES) if n in SMALL) + ") t(name, lane_ord, ord, off, size)), mb1 as (select *, sum(size) over (order by lane_ord, ord) - size as dense_offset from mb0), mb2 as (select name as block, (dense_offset + i)::bigint as dense_id, (off + i)::bigint as sparse_id, i from (select *, unnest(range(size)) as i from mb1))"
 
+META = f"{COMPACT}, mx as (select name as block, dense_id, gid as sparse_id, gid = off as first from ct join (select name, global_offset as off from bk) b using (name) union all select 'special', i, i, i = 0 from range(100) r(i))"
 
-@query(f"with {META} select dense_id, block, case block when 'special' then 0 when 'structural' then 5 when 'measurement_code' then 1 when 'diagnosis' then 2 else 4 end as category_id, sparse_id, case when block = 'special' and (dense_id between 10 and 15 or dense_id in (17, 18)) then 'special_marker' when dense_id = 0 then 'unk' when block = 'special' then null when i = 0 then 'unk' else block end as family from mb2")
+
+@query(f"with {META} select dense_id::bigint as dense_id, block, case regexp_extract(block, '^[a-z]+') when 'special' then 0 when 'structural' then 5 when 'measurement' then 1 when 'observation' then 1 when 'diagnosis' then 2 when 'procedure' then 3 else 4 end as category_id, sparse_id::bigint as sparse_id, case when block = 'special' and (dense_id between 10 and 15 or dense_id in (17, 18)) then 'special_marker' when dense_id = 0 then 'unk' when block = 'special' then null when first then 'unk' else block end as family from mx")
 def dense_metadata(spark, d):
-    return ids.dense_metadata(ids.layout(spark, SMALL))
+    blocks, table = ids.compacted(ids.layout(spark, SIZES, HALVED), gids(spark, d), ("special",))
+    return ids.dense_metadata(blocks, table)
 
 
 @query("select l_orderkey, l_linenumber, (2100000 + (l_linenumber % 2) * 256 + l_partkey % 256)::bigint as token, (l_linenumber % 2)::bigint as level, (l_partkey % 256)::bigint as code from lineitem")

@@ -501,9 +501,22 @@ def compact_vocab(spark, d):
     return collate.compact(tokens(spark, d))
 
 
-@query("select family, lo::bigint as lo, hi::bigint as hi, (sum(hi - lo + 1) over (order by lo rows between unbounded preceding and current row) - (hi - lo + 1))::bigint as dense_offset from (values " + ", ".join(f"('{k}', {v}, {v + 99})" for k, v in C.FAMILY_OFFSETS.items()) + ") t(family, lo, hi)")
+#: Of each family the ids from its offset to the largest that the table has there.
+SPANS = "sq0 as (select l_partkey * 1300 + l_linenumber as gid from lineitem), sq1 as (select * from (values " + ", ".join(f"('{k}', {v})" for k, v in C.FAMILY_OFFSETS.items()) + ") t(family, lo)), sq2 as (select *, coalesce(lead(lo) over (order by lo), 1000000000) as following from sq1), sq as (select family, lo, max(gid) - lo + 1 as size from sq2 join sq0 on gid >= lo and gid < following group by 1, 2)"
+
+
+def spans(spark, d) -> dict[str, tuple[int, int]]:
+    """family: its offset, and how many ids the table needs of it; a row a family."""
+    gid = (F.col("l_partkey") * 1300 + F.col("l_linenumber")).cast("long")
+    at = sorted(C.FAMILY_OFFSETS.items(), key=lambda x: x[1])
+    family = F.coalesce(*[F.when(gid >= v, k) for k, v in reversed(at)])
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(gid.alias("gid"), family.alias("family")).groupBy("family").agg(F.max("gid").alias("top"))
+    return {r.family: (C.FAMILY_OFFSETS[r.family], r.top - C.FAMILY_OFFSETS[r.family] + 1) for r in rows.collect()}
+
+
+@query(f"with {SPANS} select family, lo::bigint as lo, (lo + size - 1)::bigint as hi, (sum(size) over (order by lo) - size)::bigint as dense_offset from sq")
 def runtime_blocks(spark, d):
-    return collate.blocks(spark, {k: (v, 100) for k, v in C.FAMILY_OFFSETS.items()})
+    return collate.blocks(spark, spans(spark, d))
 
 
 @query("select gid, case when gid % 10000 < 100 and family is not null then off + gid - lo else -1 end as dense_id from (select l_partkey * 1000 + l_linenumber as gid from lineitem) x left join (select *, 100 * (row_number() over (order by lo) - 1) as off from (values " + ", ".join(f"('{k}', {v}, {v + 99})" for k, v in C.FAMILY_OFFSETS.items()) + ") t(family, lo, hi)) b on gid between lo and hi")
@@ -512,11 +525,25 @@ def remap_ids(spark, d):
     return collate.remap(ids, collate.blocks(spark, {k: (v, 100) for k, v in C.FAMILY_OFFSETS.items()})).select("gid", "dense_id")
 
 
-@query("select state, token, boundary, case state when 'inside' then not (token = 17 or token = 18 or token between 10 and 15) when 'chunk_end' then token = 18 or (boundary and (token = 17 or token between 10 and 15)) else token between 10 and 15 end as legal from (select unnest(range(0, 30)) as token), (select unnest(['inside','chunk_end','window_end']) as state), (select unnest([true, false]) as boundary)")
+STATES = ("inside", "chunk_end", "window_end")
+GRAMMAR = "gr as (select l_orderkey, l_linenumber, (l_partkey % 30)::bigint as token, ['inside','chunk_end','window_end'][l_suppkey % 3 + 1] as state, l_quantity > 25 as boundary from lineitem), gl as (select *, case state when 'inside' then not (token = 17 or token = 18 or token between 10 and 15) when 'chunk_end' then token = 18 or (boundary and (token = 17 or token between 10 and 15)) else token between 10 and 15 end as legal from gr)"
+
+
+def proposals(spark, d) -> DataFrame:
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    state = F.get(F.array(*map(F.lit, STATES)), (F.col("l_suppkey") % 3).cast("int"))
+    rows = x.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 30).cast("long").alias("token"), state.alias("state"), (F.col("l_quantity") > 25).alias("boundary"))
+    return rows.withColumn("legal", collate.legal(F.col("state"), F.col("token"), F.col("boundary")))
+
+
+@query(f"with {GRAMMAR} select * from gl")
 def grammar_legal(spark, d):
-    grid = spark.range(30).select(F.col("id").alias("token")).select("token", F.explode(F.array(*map(F.lit, ("inside", "chunk_end", "window_end")))).alias("state"), F.lit(True).alias("boundary"))
-    grid = grid.unionByName(grid.withColumn("boundary", F.lit(False)))
-    return grid.withColumn("legal", collate.legal(F.col("state"), F.col("token"), F.col("boundary")))
+    return proposals(spark, d)
+
+
+@query(f"with {GRAMMAR} select state, boundary, count(*) as n, count(*) filter (where not legal) as illegal, round(avg((not legal)::int), 6) as illegal_rate from gl group by 1, 2")
+def illegal_rate(spark, d):
+    return collate.illegal_rates(proposals(spark, d)).withColumn("illegal_rate", F.round("illegal_rate", 6))
 
 
 @query(O.timeline("select subject_id, count(*) as n, min(idx) as lo, max(idx) as hi, sum(t_us)::bigint as t_us from tk group by 1"))
