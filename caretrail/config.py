@@ -55,6 +55,8 @@ TRANSITIONS = {
 ACTIVE = ("open_next", "close_current", "close_open")
 WINDOW_TYPES = {"UNK": 0, "ED_ADMISSION": 1, "INPATIENT": 2, "ICU": 3, "OR": 4, "POST_DISCHARGE": 5}
 TYPE_OF_CODE = {"ED_REGISTRATION": "ED_ADMISSION", "ADMISSION": "INPATIENT", "HOSPITAL_ADMISSION": "INPATIENT", "CAREUNIT_CHANGE": "INPATIENT", "TRANSFER_TO": "INPATIENT", "ICU_ADMISSION": "ICU", "STRUCT_START_OR": "OR"}
+#: the code book as one; ``only``: codes that are nothing but structural, ``keep``: those of them that keep their own tokens
+RULES = {"labels": STRUCTURAL_LABELS, "transitions": TRANSITIONS, "types": TYPE_OF_CODE, "boundaries": BOUNDARY_LABELS, "only": (), "keep": ()}
 ADMISSION_LIKE = ("TRANSFER_TO", "HOSPITAL_ADMISSION", "ADMISSION", "ICU_ADMISSION", "ED_REGISTRATION", "STRUCT_START_ADM", "STRUCT_CAREUNIT_CHANGE", "STRUCT_START_OR")
 DISCHARGE_LIKE = ("HOSPITAL_DISCHARGE", "DISCHARGE", "ICU_DISCHARGE", "ED_OUT", "STRUCT_END_ADM", "STRUCT_END_OR")
 

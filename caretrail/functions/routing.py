@@ -66,6 +66,8 @@ def category(code: Column) -> Column:
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The entry of a small table of rules, or null."""
+    if not table:
+        return F.lit(None).cast("string")
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
@@ -81,28 +83,40 @@ def ed_place(upper: Column) -> Column:
     return upper.startswith("ED_") | has_any(upper, C.ED_PLACES)
 
 
-def structural_label(code: Column) -> Column:
-    return lookup(C.STRUCTURAL_LABELS, code)
+def structural_label(code: Column, rules: dict = C.RULES) -> Column:
+    return lookup(rules["labels"], code)
 
 
-def transition_action(code: Column) -> Column:
+def transition_action(code: Column, rules: dict = C.RULES) -> Column:
     """By the code, else its prefix as written, else its structural label."""
-    return F.coalesce(lookup(C.TRANSITIONS, code), lookup(C.TRANSITIONS, prefix(code)), lookup(C.TRANSITIONS, structural_label(code)))
+    at = rules["transitions"]
+    return F.coalesce(lookup(at, code), lookup(at, prefix(code)), lookup(at, structural_label(code, rules)))
 
 
-def window_type(code: Column) -> Column:
+def hooked(label: Column, action: Column, rules: dict = C.RULES) -> Column:
+    """Whether a structural token bounds a window: by its label if it has one, else its action."""
+    return F.coalesce(label.isin(*rules["boundaries"]), action.isin(*C.ACTIVE), F.lit(False))
+
+
+def structural_only(code: Column, rules: dict = C.RULES) -> Column:
+    """Whether an event with this code has no token beside its structural one."""
+    alone = [c for c in rules["only"] if c not in set(rules["keep"])]
+    return F.coalesce(code.isin(*alone), F.lit(False)) & structural_label(code, rules).isNotNull() if alone else F.lit(False)
+
+
+def window_type(code: Column, rules: dict = C.RULES) -> Column:
     """Name of the window type that a transition to this code opens, or null."""
-    upper, label = F.upper(code), structural_label(code)
+    upper, label = F.upper(code), structural_label(code, rules)
     p = prefix(upper)
     by_place = F.when(ed_place(upper), "ED_ADMISSION").when(icu_place(upper), "ICU").when(or_place(upper), "OR")
-    known = lookup(C.TYPE_OF_CODE, p)
+    known = lookup(rules["types"], p)
     by_code = (
         F.when(p.isin("HOSPITAL_ADMISSION", "ADMISSION", "CAREUNIT_CHANGE", "ICU_ADMISSION", "ICU_DISCHARGE") & known.isNotNull(), known)
         .when(by_place.isNotNull(), by_place)
         .otherwise(known)
     )
     by_label = F.when(icu_place(label), "ICU").when(or_place(label), "OR")
-    return F.coalesce(lookup(C.TYPE_OF_CODE, code), lookup(C.TYPE_OF_CODE, label), by_code, by_label)
+    return F.coalesce(lookup(rules["types"], code), lookup(rules["types"], label), by_code, by_label)
 
 
 def type_id(name: Column) -> Column:

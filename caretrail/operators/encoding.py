@@ -51,6 +51,7 @@ class Encoders(NamedTuple):
     keep_process_codes: bool = True
     attributes: dict[str, dict[str, int]] = {}
     numbers: tuple[str, ...] = ()
+    rules: dict = C.RULES
 
 
 def carved(offsets: dict[str, int], largest: dict[str, int], buckets: int) -> dict[str, int | None]:
@@ -79,7 +80,7 @@ def _surfaces(codes: DataFrame) -> DataFrame:
 def dictionary(events: DataFrame, enc: Encoders) -> DataFrame:
     """One row a distinct code of events: its rules and everything its tokens are made of."""
     at = C.FAMILY_OFFSETS
-    d = _surfaces(timeline.code_rules(events.select("code").distinct()))
+    d = _surfaces(timeline.code_rules(events.select("code").distinct(), enc.rules))
     code = F.col("code")
     d = d.join(enc.structural.select("entry", F.col("raw_id").alias("struct_id")), "entry", "left").withColumnRenamed("entry", "struct_surface")
     d = d.withColumn("struct_gid", F.when(F.col("struct_surface").isNotNull(), F.coalesce("struct_id", F.lit(0)) + at["structural"])).drop("struct_id")
@@ -107,7 +108,7 @@ def dictionary(events: DataFrame, enc: Encoders) -> DataFrame:
     d = d.withColumns({"unk_gid": F.coalesce(unknown, F.when(F.col("category") == "STRUCTURAL", at["structural"]), F.lit(0)), "base": F.when(coded, R.unmarked(code)), "mark": F.when(coded, R.marker(code))})
     active, label = F.coalesce(F.col("action").isin(*C.ACTIVE), F.lit(False)), F.col("label")
     if enc.codebook:
-        d = d.withColumns({"hook_struct": F.coalesce(label.isin(*C.BOUNDARY_LABELS), active), "hook_event": label.isNull() & (F.col("category") == "STRUCTURAL") & active})
+        d = d.withColumns({"hook_struct": R.hooked(label, F.col("action"), enc.rules), "hook_event": label.isNull() & (F.col("category") == "STRUCTURAL") & active})
     elif enc.boundaries is not None:
         named = enc.boundaries.select("code").distinct().withColumn("named", F.lit(True))
         d = d.join(named, "code", "left").withColumns({"hook_struct": F.coalesce("named", F.lit(False)), "hook_event": F.coalesce("named", F.lit(False))}).drop("named")
@@ -164,7 +165,7 @@ def encoded(events: DataFrame, table: DataFrame, enc: Encoders) -> DataFrame:
     own = F.when((F.size(own) == 0) & c("hook_event"), fallback).otherwise(own)
     own = F.transform(own, lambda t, i: t.withField("hook", t["hook"] | c("hook_event")))
     first = F.concat(pair, struct)
-    alone = (F.size(first) > 0) & ((cat == "STRUCTURAL") | (F.lit(not enc.keep_process_codes) & in_process))
+    alone = (F.size(first) > 0) & ((cat == "STRUCTURAL") | c("solo") | (F.lit(not enc.keep_process_codes) & in_process))
     e = e.withColumn("tokens", F.when(alone, first).otherwise(F.concat(first, own)))
     given = F.map_from_arrays(F.array(*map(F.lit, enc.attributes)), F.array(*[F.coalesce(R.lookup({k: str(i) for k, i in ids.items()}, c(n)).cast("int"), F.lit(0)) for n, ids in enc.attributes.items()])) if enc.attributes else None
     if given is not None:

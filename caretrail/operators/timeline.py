@@ -18,23 +18,24 @@ from ..functions import text as T
 FLAGS = ("adm", "tra", "dis", "dea", "edl", "icu", "orl")
 
 
-def code_rules(codes: DataFrame) -> DataFrame:
-    """codes(code) with category, label, action, type_id, site and the transition flags."""
+def code_rules(codes: DataFrame, rules: dict = C.RULES) -> DataFrame:
+    """codes(code) with category, label, action, type_id, site, the transition flags, and solo:
+    whether the code is structural only. rules as ``loaders.rules`` reads them."""
     # bound: evaluated by the interpreter, as all rules together are too long for one compiled
     # method; there is a row a distinct code
-    first = T.bound(F.col("code"), lambda c: F.struct(R.category(c).alias("category"), R.structural_label(c).alias("label"), R.transition_action(c).alias("action"), R.prefix(F.upper(c)).alias("p"), R.window_type(c).alias("wtype")))
+    first = T.bound(F.col("code"), lambda c: F.struct(R.category(c).alias("category"), R.structural_label(c, rules).alias("label"), R.transition_action(c, rules).alias("action"), R.prefix(F.upper(c)).alias("p"), R.window_type(c, rules).alias("wtype"), R.structural_only(c, rules).alias("solo")))
     codes = codes.select("code", first.alias("r")).select("code", "r.*")
     site = T.bound(F.struct("code", "wtype"), lambda r: F.struct(R.site_name(r["code"], r["wtype"]).alias("site"), R.type_id(r["wtype"]).alias("type_id")))
     p = F.col("p")
-    codes = codes.select("code", "category", "label", "action", "wtype", site.alias("s"), p.isin(*C.ADMISSION_LIKE).alias("adm"), (p == "TRANSFER_TO").alias("tra"), p.isin(*C.DISCHARGE_LIKE).alias("dis"), (p == "MEDS_DEATH").alias("dea"))
+    codes = codes.select("code", "category", "label", "action", "wtype", "solo", site.alias("s"), p.isin(*C.ADMISSION_LIKE).alias("adm"), (p == "TRANSFER_TO").alias("tra"), p.isin(*C.DISCHARGE_LIKE).alias("dis"), (p == "MEDS_DEATH").alias("dea"))
     is_type = lambda t: F.coalesce(F.col("wtype") == t, F.lit(False))
-    return codes.select("code", "category", "label", "action", "wtype", "s.type_id", "s.site", "adm", "tra", "dis", "dea", is_type("ED_ADMISSION").alias("edl"), is_type("ICU").alias("icu"), is_type("OR").alias("orl"))
+    return codes.select("code", "category", "label", "action", "wtype", "solo", "s.type_id", "s.site", "adm", "tra", "dis", "dea", is_type("ED_ADMISSION").alias("edl"), is_type("ICU").alias("icu"), is_type("OR").alias("orl"))
 
 
-def classified(events: DataFrame) -> DataFrame:
+def classified(events: DataFrame, rules: dict = C.RULES) -> DataFrame:
     """Events with the columns of their code; the rules are evaluated once for each distinct
     code and joined back."""
-    codes = code_rules(events.select("code").distinct())
+    codes = code_rules(events.select("code").distinct(), rules)
     return events.join(codes, events.code.eqNullSafe(codes.code), "left").drop(codes.code)
 
 
@@ -60,20 +61,20 @@ def event_tokens(events: DataFrame) -> DataFrame:
         .when(cat.isin("DIAGNOSIS", "PROCEDURE", "MEDICATION"), F.array(_token("CODE", base, F.when(cat == "MEDICATION", F.col("numeric_value")))))
         .otherwise(none)
     )
-    both = F.when((cat == "STRUCTURAL") & (F.size(structural) > 0), structural).otherwise(F.concat(structural, own))
+    both = F.when(((cat == "STRUCTURAL") & (F.size(structural) > 0)) | F.col("solo"), structural).otherwise(F.concat(structural, own))
     return events.withColumn("tokens", both)
 
 
-def tokens(events: DataFrame) -> DataFrame:
+def tokens(events: DataFrame, rules: dict = C.RULES) -> DataFrame:
     """The timeline: subject_id, pos, tok_ord, idx (place among the subject's tokens),
     kind, surface, value, category, t_us and dt_us (since the subject's start and since
     the last event that emitted; only an event's first token has it), hook, and the
     transition columns on structural tokens, null elsewhere. Events without time stand
     at 0 and do not move the clock. ``encoding.tokens`` is the same with ids."""
-    return clocked(event_tokens(classified(events)))
+    return clocked(event_tokens(classified(events, rules)), rules=rules)
 
 
-def clocked(rows: DataFrame, fields: tuple[str, ...] = (), columns: tuple[str, ...] = ()) -> DataFrame:
+def clocked(rows: DataFrame, fields: tuple[str, ...] = (), columns: tuple[str, ...] = (), rules: dict = C.RULES) -> DataFrame:
     """The tokens of rows (classified events with an array of them) on the subject's clock,
     with further fields of a token and columns of its event. A token's own hook counts where
     it has the field; else structural tokens are hooked by their label and action."""
@@ -84,7 +85,7 @@ def clocked(rows: DataFrame, fields: tuple[str, ...] = (), columns: tuple[str, .
     rows = rows.withColumn("rel", F.coalesce(F.greatest(F.col("t_us") - start, F.lit(0)), F.lit(0))).withColumn("gap", F.coalesce(F.greatest(F.col("t_us") - last, F.lit(0)), F.lit(0)))
     out = rows.select("subject_id", "pos", "code", "category", "label", "action", "type_id", "site", *FLAGS, *columns, F.col("t_us").alias("raw_us"), F.col("rel").alias("t_us"), "gap", F.posexplode("tokens").alias("tok_ord", "tok"))
     structural = F.col("tok.kind") == "STRUCT"
-    hooked = structural & F.coalesce(F.col("label").isin(*C.BOUNDARY_LABELS), F.col("action").isin(*C.ACTIVE), F.lit(False))
+    hooked = structural & R.hooked(F.col("label"), F.col("action"), rules)
     if fields:
         hooked = F.col("tok.hook")
     keep = [F.when(structural, F.col(c)).alias(c) for c in ("label", "action", "type_id", "site")] + [(structural & F.col(c)).alias(c) for c in FLAGS]

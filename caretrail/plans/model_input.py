@@ -341,6 +341,28 @@ def incremental_timelines(spark, d):
     return increments.compiled(spark, path).select("subject_id", "idx", "kind", "surface", "category", "t_us", "dt_us", "hook")
 
 
+# --- another code book ---
+
+#: Rules of a site of its own: two measured codes are structural, one of them only that.
+SITE_RULES = {**C.RULES, "labels": {"LAB//50003//mg/dL": "STRUCT_START_X", "LAB//50004//mg/dL": "STRUCT_END_X", "RXNORM//161": "ICU X", "ED_OUT": "STRUCT_END_X"}, "transitions": {"STRUCT_START_X": "open_next", "LAB//50004//mg/dL": "close_current", "TRANSFER_TO": "open_next", "MEDS_DEATH": "suppress"},
+              "types": {"STRUCT_START_X": "OR", "TRANSFER_TO": "INPATIENT"}, "boundaries": ("STRUCT_START_X",), "only": ("LAB//50003//mg/dL", "RXNORM//161"), "keep": ("RXNORM//161",)}
+
+
+def _with_site_rules(sql: str) -> str:
+    """The twin of the timeline with the other code book's tables in place of the default's."""
+    for key in ("code", "label", "split_part(code, '//', 1)", "p"):
+        for name in ("labels", "transitions", "types"):
+            sql = sql.replace(O.mapped(key, C.RULES[name]), O.mapped(key, SITE_RULES[name]))
+    sql = sql.replace(f"label in ({O.quoted(C.BOUNDARY_LABELS)})", f"label in ({O.quoted(SITE_RULES['boundaries'])})")
+    # what is structural only has no other token
+    return sql.replace("from ev where category = 'MEASUREMENT'", "from ev where code <> 'LAB//50003//mg/dL' and category = 'MEASUREMENT'")
+
+
+@query(_with_site_rules(O.timeline("select subject_id, idx, kind, surface, category, action, type_id, hook, t_us, dt_us from tk")))
+def timeline_by_rules(spark, d):
+    return timeline.tokens(A.meds(spark, d), SITE_RULES).select("subject_id", "idx", "kind", "surface", "category", "action", "type_id", "hook", "t_us", "dt_us")
+
+
 # --- quantised vectors ---
 
 

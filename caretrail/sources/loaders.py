@@ -58,13 +58,16 @@ def parent_list(cell: Column) -> Column:
 
 def parents(codes: DataFrame, category: str) -> DataFrame:
     """category, key (upper case) and parent of codes(code, parent_codes), a row a parent;
-    parent_codes is an array or a string that holds one or a list."""
+    parent_codes is an array or a string that holds one or a list. Of rows with the same
+    key the last one, in the order of the table, counts."""
     cell = F.col("parent_codes")
     if codes.schema["parent_codes"].dataType.simpleString() == "string":
         found = parent_list(cell)
     else:
         found = F.array_distinct(F.filter(F.transform(cell, lambda x: F.trim(x.cast("string"))), lambda x: x.isNotNull() & (x != "")))
-    return codes.where("code is not null").select(F.lit(category).alias("category"), F.upper("code").alias("key"), F.explode(found).alias("parent")).distinct()
+    rows = codes.where("code is not null").select(F.upper("code").alias("key"), found.alias("found"), F.monotonically_increasing_id().alias("at"))
+    last = rows.groupBy("key").agg(F.max_by("found", "at").alias("found"))
+    return last.select(F.lit(category).alias("category"), "key", F.explode("found").alias("parent"))
 
 
 def crosswalk_targets(spark: SparkSession, path: str, category: str) -> DataFrame:
@@ -115,7 +118,9 @@ def decisions(spark: SparkSession, path: str) -> DataFrame:
 
 def rules(path: str) -> dict:
     """A codebook of structural rules (JSON, or YAML where a reader for it is installed),
-    checked: labels, transitions and types are maps of strings, actions are known."""
+    checked: labels, transitions and types are maps of strings, boundaries (labels), only and
+    keep (codes) lists of them, actions and types are known. A part that is absent keeps the
+    default, others are passed over. ``timeline.tokens``, ``timeline.classified`` and ``encoding`` take the result."""
     with open(path, encoding="utf-8") as f:
         if path.endswith((".yaml", ".yml")):
             import yaml
@@ -123,8 +128,14 @@ def rules(path: str) -> dict:
             body = yaml.safe_load(f)
         else:
             body = json.load(f)
-    out = {"labels": dict(C.STRUCTURAL_LABELS), "transitions": dict(C.TRANSITIONS), "types": dict(C.TYPE_OF_CODE)} | {k: v for k, v in (body or {}).items() if k in ("labels", "transitions", "types")}
-    for name, table in out.items():
+    body = body or {}
+    out = {**C.RULES, **{k: v for k, v in body.items() if k in C.RULES}}
+    lists = ("boundaries", "only", "keep")
+    if bad := [n for n in lists if isinstance(out[n], str) or not all(isinstance(x, str) for x in out[n])]:
+        raise ValueError(f"{bad} must be lists of strings")
+    out |= {n: tuple(out[n]) for n in lists}
+    for name in ("labels", "transitions", "types"):
+        table = out[name]
         if not isinstance(table, dict) or not all(isinstance(x, str) for kv in table.items() for x in kv):
             raise ValueError(f"{name} must map strings to strings")
     if bad := {v for v in out["transitions"].values() if v not in (*C.ACTIVE, "suppress")}:

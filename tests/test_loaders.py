@@ -62,6 +62,22 @@ def test_rules(tmp_path):
             L.rules(written(tmp_path / "b.json", bad))
 
 
+def test_rules_are_used(spark, tmp_path):
+    from caretrail.operators import timeline
+
+    rules = L.rules(written(tmp_path / "r.json", {"labels": {"LAB//1": "X", "LAB//2": "Y", "LAB//3": "Z"}, "transitions": {"X": "open_next"}, "types": {"X": "OR"}, "boundaries": ["X"], "only": ["LAB//1", "LAB//2"], "keep": ["LAB//2"]}))
+    m = spark.createDataFrame([(1, i, i, c, 1.0) for i, c in enumerate(["LAB//1", "LAB//2", "LAB//3", "LAB//4", "HOSPITAL_ADMISSION"])], "subject_id long, pos long, t_us long, code string, numeric_value double")
+    got = timeline.tokens(m, rules).orderBy("idx").collect()
+    assert [(r.kind, r.surface, r.hook, r.type_id) for r in got] == [("STRUCT", "LAB//1", True, 4), ("STRUCT", "LAB//2", False, None), ("MEAS", "LAB//2", False, None), ("STRUCT", "LAB//3", False, None), ("MEAS", "LAB//3", False, None), ("MEAS", "LAB//4", False, None), ("STRUCT", "HOSPITAL_ADMISSION", False, None)]
+    with pytest.raises(ValueError):
+        L.rules(written(tmp_path / "b.json", {"boundaries": "X"}))
+
+
+def test_last_parent_row_counts(spark):
+    rows = spark.createDataFrame([("a", "P1"), ("b", "P2"), ("A", "['P3', 'P4']")], "code string, parent_codes string").coalesce(1)
+    assert sorted((r.key, r.parent) for r in L.parents(rows, "MEDICATION").collect()) == [("A", "P3"), ("A", "P4"), ("B", "P2")]
+
+
 def test_aliases(spark):
     assert values(spark, T.procedure_aliases, "PROCEDURE//START//CT scan (head)", "x", " ") == [["PROCEDURE//START//CT scan (head)", "START//CT scan (head)", "CT scan (head)", "head", "PROCEDURE//START//CT scan", "START//CT scan", "CT scan"], ["x"], []]
     got = values(spark, T.medication_aliases, "MEDICATION//Aspirin (Bayer) 81MG tablet//Administered")[0]
