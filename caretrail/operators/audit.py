@@ -66,16 +66,24 @@ def value_samples(events: DataFrame, ids: DataFrame) -> DataFrame:
     return _mapped(events, ids).select("subject_id", "pos", "var_id", F.col("numeric_value").alias("value"), F.coalesce(F.col("t_us") - F.lag("t_us").over(w), F.lit(0)).alias("dt_us"))
 
 
+def _upto(values: DataFrame, v: str) -> DataFrame:
+    """Each distinct value with how many rows do not exceed it (upto), and all rows (total).
+    Counts repeat: n rows have at most about the root of twice their sum of distinct ones."""
+    h = values.where(F.col(v).isNotNull()).groupBy(v).agg(F.count("*").alias("k"))
+    order = W.orderBy(v)
+    return h.withColumns({"upto": F.sum("k").over(order.rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("k").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+
+
 def quantiles(values: DataFrame, qs: tuple[float, ...]) -> DataFrame:
-    """Nearest-rank quantiles of a small column v (counts by code and the like)."""
-    all_ = values.agg(F.collect_list("v").alias("v"))
-    return all_.select("v", F.explode(F.array(*map(F.lit, qs))).alias("q")).select("q", F.get(F.sort_array("v"), F.bround(F.col("q") * (F.size("v") - 1)).cast("int")).alias("value"))
+    """Nearest-rank quantiles of a column v of counts, from their histogram."""
+    h = _upto(values, "v").withColumn("q", F.explode(F.array(*map(F.lit, qs))))
+    return h.where(F.col("upto") > F.bround(F.col("q") * (F.col("total") - 1))).groupBy("q").agg(F.min("v").alias("value"))
 
 
 def at_percentile(counts: DataFrame, p: float) -> DataFrame:
     """Rows whose n reaches the floor-rank percentile of all n."""
-    cut = counts.agg(F.collect_list("n").alias("l")).select(F.get(F.sort_array("l"), F.floor(F.lit(p) * (F.size("l") - 1)).cast("int")).alias("cut"))
-    return counts.join(F.broadcast(cut)).where("n >= cut").drop("cut")
+    cut = _upto(counts, "n").where(F.col("upto") > F.floor(F.lit(p) * (F.col("total") - 1))).agg(F.min("n").alias("cut"))
+    return counts.join(F.broadcast(cut)).where("n >= cut").drop("cut")  # one row
 
 
 def decision_table(events: DataFrame, min_count: int) -> DataFrame:

@@ -157,15 +157,20 @@ def illegal_rates(rows: DataFrame) -> DataFrame:
     return n.withColumn("illegal_rate", F.col("illegal") / F.col("n"))
 
 
-def pack(tokens: DataFrame) -> DataFrame:
-    """One row a subject, its tokens as parallel arrays in order."""
+#: Tokens that are packed in a row at most.
+PACKED = 4096
+
+
+def pack(tokens: DataFrame, most: int = PACKED) -> DataFrame:
+    """A subject's tokens as parallel arrays in order, up to ``most`` places of the history in
+    a row: subject_id, block and the columns."""
     cols = ("idx", "kind", "surface", "category", "t_us", "dt_us")
-    one = tokens.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("x"))
-    return one.select("subject_id", *[F.col(f"x.{c}").alias(c) for c in cols])
+    one = tokens.withColumn("block", F.floor(F.col("idx") / most)).groupBy("subject_id", "block").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("x"))
+    return one.select("subject_id", "block", *[F.col(f"x.{c}").alias(c) for c in cols])
 
 
 def unpack(packed: DataFrame) -> DataFrame:
-    cols = [c for c in packed.columns if c != "subject_id"]
+    cols = [c for c in packed.columns if c not in ("subject_id", "block")]
     return packed.select("subject_id", F.explode(F.arrays_zip(*cols)).alias("x")).select("subject_id", *[f"x.{c}" for c in cols])
 
 
@@ -299,19 +304,20 @@ def attributes(tokens: DataFrame) -> Column:
     return F.map_from_entries(F.filter(F.array(*each), lambda x: x["value"].isNotNull() & ((x["key"] == "type_id") | (x["value"] != 0))))
 
 
-def csr(rows: DataFrame) -> DataFrame:
-    """One row a subject of rows(subject_id, idx, attrs): offsets, keys (in order) and
-    values of all maps end to end."""
-    one = rows.select("subject_id", "idx", F.array_sort(F.map_entries("attrs")).alias("e")).groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("idx", "e"))).alias("x"))
-    sizes = F.transform("x", lambda r: F.size(r["e"]))
-    offsets = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+def csr(rows: DataFrame, most: int = PACKED) -> DataFrame:
+    """The maps of rows(subject_id, idx, attrs) end to end, up to ``most`` places of a history
+    in a row: subject_id, block, idx, offsets, keys (in order) and values."""
+    e = rows.select("subject_id", "idx", F.floor(F.col("idx") / most).alias("block"), F.array_sort(F.map_entries(F.coalesce("attrs", F.create_map().cast("map<string,bigint>")))).alias("e"))
+    so_far = W.partitionBy("subject_id", "block").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    e = e.withColumn("end", F.sum(F.size("e")).over(so_far).cast("int"))
+    one = e.groupBy("subject_id", "block").agg(F.sort_array(F.collect_list(F.struct("idx", "end", "e"))).alias("x"))
     flat = F.flatten("x.e")
-    return one.select("subject_id", offsets.alias("offsets"), F.transform(flat, lambda e: e["key"]).alias("keys"), F.transform(flat, lambda e: e["value"]).alias("values"))
+    return one.select("subject_id", "block", F.col("x.idx").alias("idx"), F.concat(F.array(F.lit(0)), F.col("x.end")).alias("offsets"), F.transform(flat, lambda e: e["key"]).alias("keys"), F.transform(flat, lambda e: e["value"]).alias("values"))
 
 
 def uncsr(packed: DataFrame) -> DataFrame:
     """The maps of ``csr`` again: subject_id, idx and attrs."""
-    i = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("offsets") - 2), lambda i: F.struct(F.get("offsets", i).alias("a"), F.get("offsets", i + 1).alias("b")))).alias("idx", "r")
-    rows = packed.where(F.size("offsets") > 1).select("subject_id", "keys", "values", i)
+    bounds = F.transform("idx", lambda at, i: F.struct(at.alias("idx"), F.get("offsets", i).alias("a"), F.get("offsets", i + 1).alias("b")))
+    rows = packed.select("subject_id", "keys", "values", F.explode(bounds).alias("r"))
     cut = lambda c: F.slice(c, F.col("r.a") + 1, F.col("r.b") - F.col("r.a"))
-    return rows.select("subject_id", F.col("idx").cast("long").alias("idx"), F.map_from_arrays(cut("keys"), cut("values")).alias("attrs"))
+    return rows.select("subject_id", F.col("r.idx").alias("idx"), F.map_from_arrays(cut("keys"), cut("values")).alias("attrs"))

@@ -13,7 +13,8 @@ from ..operators import audit, collate, ids, segments, vocab
 from ..sources import adapters as A
 from ..sources import loaders as L
 from . import oracle as O
-from .queries import CODE2ID, DT, NUMERIC, STATS, SURFACE, chunked, coded, query, recursive, tokens
+from . import spelling as S
+from .queries import CASCADE, CODE2ID, DT, NUMERIC, STATS, SURFACE, chunked, coded, query, recursive, tokens
 from .queries import TRAJECTORIES as FOLLOWED
 
 #: CRC-32 in SQL: a table of the bytes' remainders, and the sum of a text of ASCII.
@@ -210,19 +211,27 @@ def parent_codes(spark, d):
     return L.parents(part.select(F.col("p_partkey").cast("string").alias("code"), cell.alias("parent_codes")), "MEDICATION").select(F.col("key").cast("long").alias("p_partkey"), "parent")
 
 
-@query()
+_LOW = "(upper(trim(entry)) in ('', 'UNK', '<UNK>', 'MEDICATION//UNK') or regexp_matches(upper(trim(entry)), '^(RXNORM//)?[0-9]{1,4}$') or (starts_with(upper(trim(entry)), 'NDC//') and length(regexp_replace(upper(trim(entry)), '[^0-9]', '', 'g')) < 10))"
+#: fl (category, code, target): first spelling in the vocabulary, else what the labels say.
+FULL = f"""{CASCADE}, {S.numbered('pc', 'cc', S.candidates('code'), 'category, code')},
+ fh as (select pc.category, code, arg_min(entry, place) as hit from pc join vo on vo.category = pc.category and vo.base = entry where raw_id <> 0 and (pc.category <> 'MEDICATION' or not {_LOW}) group by 1, 2),
+ fo as (select lk.category, code, arg_min(target, place) as other from lk join lt on lt.category = lk.category and lt.key = lk.entry group by 1, 2),
+ fl as (select category, code, coalesce(hit, other) as target from cc left join fh using (category, code) left join fo using (category, code))"""
+
+
+@query(O.with_ctes(O.coded, FULL, "select * from fl"))
 def full_targets(spark, d):
     ev = coded(spark, d)
     return vocab.full_target(ev, vocab.sample_vocab(ev), vocab.sample_crosswalk(spark))
 
 
-@query()
+@query(O.with_ctes(O.coded, FULL, "select category, code, n, code in (select code from pc join vo on vo.category = pc.category and vo.base = entry where pc.category = cc.category) as hit from cc"))
 def matched_codes(spark, d):
     ev = coded(spark, d)
     return vocab.matched(ev, vocab.sample_vocab(ev))
 
 
-@query()
+@query(O.with_ctes(O.coded, FULL + f", lf as (select cc.* from cc join fl using (category, code) where target is null and {O.MARK.replace('u, ', 'upper(code), ')} is null), lg as (select category, {S.residual_keys('code', 'code')}[1] as entry, sum(n)::bigint as n from lf group by 1, 2), lh as (select *, row_number() over w as raw_id, coalesce(sum(n) over (partition by category order by n desc, entry rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over (partition by category) as total from lg window w as (partition by category order by n desc, entry))", "select category, entry, n, raw_id from lh where raw_id <= 100 and (raw_id = 1 or before / total < 0.9)"))
 def residual_vocab(spark, d):
     ev = coded(spark, d)
     return vocab.residual_vocab(ev, vocab.sample_vocab(ev), vocab.sample_crosswalk(spark), 0.9, 100)
@@ -352,11 +361,12 @@ def trajectory_index(spark, d):
     return collate.trajectory_index(segments.trajectory_clock(tokens(spark, d)))
 
 
-@query(O.timeline("select subject_id, count(*) as n, sum((type_id is not null)::int + (adm is true)::int + (tra is true)::int + (dis is true)::int + (dea is true)::int + (icu is true)::int + (orl is true)::int)::bigint as entries, sum(coalesce(type_id, 0))::bigint as types from tk group by 1"))
+@query(O.timeline("select subject_id, idx, array_to_string(list_filter([" + ", ".join(f"case when {c} then '{c}=1' end" for c in ("adm", "dea", "dis", "icu", "orl", "tra")) + ", 'type_id=' || type_id], lambda x: x is not null), ',') as attrs from tk"))
 def csr_roundtrip(spark, d):
     t = tokens(spark, d).drop("edl")
-    back = collate.uncsr(collate.csr(t.select("subject_id", "idx", collate.attributes(t).alias("attrs"))))
-    return back.groupBy("subject_id").agg(F.count("*").alias("n"), F.sum(F.size("attrs")).alias("entries"), F.sum(F.coalesce(F.try_element_at("attrs", F.lit("type_id")), F.lit(0))).alias("types"))
+    back = collate.uncsr(collate.csr(t.select("subject_id", "idx", collate.attributes(t).alias("attrs")), 16))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return back.select("subject_id", "idx", text.alias("attrs"))
 
 
 @query(O.events("select subject_id, count(*) as n from m where subject_id in (1, 2, 5) group by 1"))
@@ -369,7 +379,7 @@ def first_subjects(spark, d):
     return A.chosen(A.meds(spark, d), 7, "first")
 
 
-@query()
+@query(O.events("select subject_id from (select distinct subject_id from m) order by md5('13:' || subject_id), subject_id limit 7"))
 def sampled_subjects(spark, d):
     return A.chosen(A.meds(spark, d), 7, "random", 13)
 

@@ -546,10 +546,9 @@ def illegal_rate(spark, d):
     return collate.illegal_rates(proposals(spark, d)).withColumn("illegal_rate", F.round("illegal_rate", 6))
 
 
-@query(O.timeline("select subject_id, count(*) as n, min(idx) as lo, max(idx) as hi, sum(t_us)::bigint as t_us from tk group by 1"))
+@query(O.timeline("select subject_id, idx, kind, surface, category, t_us, dt_us from tk"))
 def packed_roundtrip(spark, d):
-    back = collate.unpack(collate.pack(tokens(spark, d)))
-    return back.groupBy("subject_id").agg(F.count("*").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.sum("t_us").alias("t_us"))
+    return collate.unpack(collate.pack(tokens(spark, d), 16))
 
 
 @query(O.events(f"select subject_id, subject_id // 8 as shard, row_number() over (partition by subject_id // 8 order by subject_id) - 1 as subject_idx, {SPLIT} as split, n from (select subject_id, count(*) as n from m group by 1)"))

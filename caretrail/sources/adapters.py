@@ -64,7 +64,7 @@ def of_split(events: DataFrame, table: DataFrame, split: str) -> DataFrame:
 
 def sample_subjects(subjects: DataFrame, n: int, seed: int) -> DataFrame:
     """n subjects by the order of a seeded hash, the same in every run."""
-    return subjects.select("subject_id").distinct().orderBy(F.xxhash64("subject_id", F.lit(seed)), "subject_id").limit(n)
+    return subjects.select("subject_id").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(seed), "subject_id").cast("binary")), "subject_id").limit(n)
 
 
 def listed(text: str, spark: SparkSession) -> DataFrame:
