@@ -163,14 +163,12 @@ def counters(made: DataFrame, found: DataFrame, most: int = 20) -> DataFrame:
     return n.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def previews(made: DataFrame, rows: DataFrame, k: int, subjects: int) -> DataFrame:
-    """Of each policy's first subjects every window with the labels of its first and last k
-    items."""
-    some = made.select(*KEY).distinct()
-    nth = F.row_number().over(W.partitionBy("policy", "placement").orderBy("subject_id"))
-    some = some.withColumn("nth", nth).where(F.col("nth") <= subjects).drop("nth")
+def previews(rows: DataFrame, k: int, subjects: int) -> DataFrame:
+    """Of the first subjects, under each policy of ``judged`` rows, every window with the labels
+    of its first and last k items."""
+    some = rows.select("subject_id").distinct().orderBy("subject_id").limit(subjects)
     own = W.partitionBy(*KEY, "segment")
-    held = rows.join(some, [*KEY], "left_semi").withColumns({"up": F.row_number().over(own.orderBy("item")), "down": F.row_number().over(own.orderBy(F.desc("item")))})
+    held = rows.join(F.broadcast(some), "subject_id", "left_semi").withColumns({"up": F.row_number().over(own.orderBy("item")), "down": F.row_number().over(own.orderBy(F.desc("item")))})
     held = held.where((F.col("up") <= k) | (F.col("down") <= k))
     of = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c) <= k, F.struct("item", "label")))), lambda x: x["label"])
     out = held.groupBy(*KEY, "segment").agg(of("up").alias("first_items"), of("down").alias("last_items"))

@@ -248,6 +248,13 @@ def audit_counters(spark, d):
     return policies.counters(policies.windows(rows), policies.boundaries(rows)).drop("placement")
 
 
+@query(encoded_sql("""select subject_id, policy, row_number() over (partition by subject_id, policy order by segment) - 1 as "window", array_to_string(l[1:3], '|') as first_items, array_to_string(l[greatest(len(l) - 2, 1):], '|') as last_items from (select subject_id, policy, segment, list(label order by item) as l from wa_ where subject_id in (select distinct subject_id from wa_ order by 1 limit 5) group by 1, 2, 3)""", _JUDGED + _MADE))
+def audit_previews(spark, d):
+    """Of the first five subjects the first and last three items of each window."""
+    out = policies.previews(_judged(spark, d), 3, 5)
+    return out.select("subject_id", "policy", "window", F.array_join("first_items", "|").alias("first_items"), F.array_join("last_items", "|").alias("last_items"))
+
+
 @query(recursive(encoded_sql(", kc as (select subject_id, window_ord, chunk_ord, chunk_ord = max(chunk_ord) over (partition by subject_id, window_ord) as top from ck where window_ord < 64 and chunk_ord < 8), mk as (select type_id, top from kc join ws using (subject_id, window_ord)) select kind, value, count(*) as n from (select 'prefix_type' as kind, type_id::varchar as value from mk union all select 'suffix_mode', case when top then 'end' else 'continue' end from mk union all select 'suffix_id', case when top then '17' else '18' end from mk) group by 1, 2", CHUNKED)))
 def marker_usage(spark, d):
     return policies.marker_usage(collate.sequences(collated(spark, d), LENGTH))

@@ -10,7 +10,7 @@ from caretrail.operators import vocab
 from caretrail.plans import queries as core
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SOME = ["route_category", "timeline_ids", "chunk_sequences", "chunk_sequences_next_type", "sequence_overflow", "resolve_ids", "canon_proc", "transition_rules", "var_stats", "canon_med", "surfaces", "vocab_hits", "obs_vocab", "decision_table", "raw_summary", "timeline_tokens", "merged_bundles", "windows", "policy_percentiles", "remap_ids", "pack_rvq", "resolve_cascade", "resolve_known", "resolve_unk", "chunks", "trajectories", "trajectory_clock", "rebalanced"]
+SOME = ["route_category", "decode_items", "dense_round_trip", "audit_bundles", "audit_windows", "audit_counters", "trajectory_timelines", "matching_report", "shard_index", "incremental_timelines", "timeline_by_rules", "full_targets", "residual_vocab", "lookup_problems", "csr_roundtrip", "timeline_ids", "chunk_sequences", "chunk_sequences_next_type", "sequence_overflow", "resolve_ids", "canon_proc", "transition_rules", "var_stats", "canon_med", "surfaces", "vocab_hits", "obs_vocab", "decision_table", "raw_summary", "timeline_tokens", "merged_bundles", "windows", "policy_percentiles", "remap_ids", "pack_rvq", "resolve_cascade", "resolve_known", "resolve_unk", "chunks", "trajectories", "trajectory_clock", "rebalanced"]
 
 
 def plain(df):
