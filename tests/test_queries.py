@@ -62,3 +62,20 @@ def test_segmentation_stays_on_one_partitioning(spark, name, most):
 def test_model_input_stays_on_one_partitioning(spark, name, most):
     plan = core.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange" in line for line in plan.splitlines()) <= most
+
+
+def _twin_of(spark, db_tables, name, d):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in db_tables:
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    return plain(core.QUERIES[name](spark, str(d)).toPandas()), plain(con.sql(core.ORACLES[name]).df())
+
+
+def test_rebalanced_where_its_target_decides(spark, tmp_path):
+    """Twenty-five groups of one token and then more: the chunk is full at 25, not at 26."""
+    rows = "select id as event_id, timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id as int)) as ts, cast(1 as long) as user_id, 'view' as event_type, 1.0d as value, '{\"k\": 3}' as props from range(40)"
+    spark.sql(rows).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = _twin_of(spark, ["events"], "rebalanced", tmp_path)
+    assert got == want and len(got[1]) == 2
