@@ -79,3 +79,10 @@ def test_rebalanced_where_its_target_decides(spark, tmp_path):
     spark.sql(rows).write.parquet(f"{tmp_path}/events.parquet")
     got, want = _twin_of(spark, ["events"], "rebalanced", tmp_path)
     assert got == want and len(got[1]) == 2
+
+
+def test_blocks_of_large_part_keys(spark, tmp_path):
+    """Ids before the first family or from the last one's end on count nowhere."""
+    spark.sql("select cast(k as long) as l_partkey, 1 as l_linenumber from values (-5), (1), (900), (1900), (800000), (1200000) as t(k)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got, want = _twin_of(spark, ["lineitem"], "runtime_blocks", tmp_path)
+    assert got == want
