@@ -86,3 +86,16 @@ def test_blocks_of_large_part_keys(spark, tmp_path):
     spark.sql("select cast(k as long) as l_partkey, 1 as l_linenumber from values (-5), (1), (900), (1900), (800000), (1200000) as t(k)").write.parquet(f"{tmp_path}/lineitem.parquet")
     got, want = _twin_of(spark, ["lineitem"], "runtime_blocks", tmp_path)
     assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the shared tables are not there")
+def test_partitions_of_timelines_follow_the_number_of_events(spark, db, monkeypatch):
+    """More events make more tasks, not larger ones, whatever the session coalesces; same rows."""
+    from caretrail.sources import adapters
+
+    monkeypatch.setattr(adapters, "TASK_EVENTS", 20)
+    n = db.sql("select count(*) from events").fetchall()[0][0]
+    made = core.QUERIES["windows"](spark, DATA)
+    made = core.QUERIES["windows"](spark, DATA)
+    assert made.rdd.getNumPartitions() == -(-n // 20) >= 16
+    assert plain(made.toPandas()) == plain(db.sql(core.ORACLES["windows"]).df())
