@@ -98,7 +98,8 @@ def items(tokens: DataFrame, known: DataFrame, levels: int | None, stride: int)
         one("item_kind").alias("item_kind"), one("category").alias("category"), one("kind").alias("kind"), one("gid").alias("gid"), one("surface").alias("surface"), one("label").alias("own_label"), one("value").alias("value"),
         one("t_us").alias("t_us"), one("dt_us").alias("dt_us"), one("hook").alias("hook"), one("action").alias("action"), one("type_id").alias("type_id"), F.min("place").alias("lo"), F.max("place").alias("hi"), F.sort_array(taken).alias("x"),
     )
-    out = out.join(known.select("gid", "name"), "gid", "left")
+    # broadcast, as a vocabulary is: a join by gid would deal all items by few ids
+    out = out.join(F.broadcast(known.select("gid", "name")), "gid", "left")
     is_pair, is_bundle = F.col("item_kind") == "observation_bundle", F.col("item_kind") == "measurement_bundle"
     called = F.when(is_bundle, F.col("name")).when(~is_pair, label(F.col("category"), F.col("gid"), F.col("kind"), F.col("name"), F.col("own_label"), F.col("surface")))
     return out.select(

@@ -99,3 +99,14 @@ def test_partitions_of_timelines_follow_the_number_of_events(spark, db, monkeypa
     made = core.QUERIES["windows"](spark, DATA)
     assert made.rdd.getNumPartitions() == -(-n // 20) >= 16
     assert plain(made.toPandas()) == plain(db.sql(core.ORACLES["windows"]).df())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the shared tables are not there")
+@pytest.mark.parametrize("name", ["timeline_ids", "decode_items", "audit_windows", "chunk_sequences"])
+def test_partitions_of_timelines_with_ids_follow_the_number_of_events(spark, db, monkeypatch, name):
+    """Neither value ids nor names deal the events anew: no exchange that the session coalesces."""
+    from caretrail.sources import adapters
+
+    monkeypatch.setattr(adapters, "TASK_EVENTS", 20)
+    n = db.sql("select count(*) from events").fetchall()[0][0]
+    assert core.QUERIES[name](spark, DATA).rdd.getNumPartitions() == -(-n // 20) >= 16
