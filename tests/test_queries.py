@@ -110,3 +110,14 @@ def test_partitions_of_timelines_with_ids_follow_the_number_of_events(spark, db,
     monkeypatch.setattr(adapters, "TASK_EVENTS", 20)
     n = db.sql("select count(*) from events").fetchall()[0][0]
     assert core.QUERIES[name](spark, DATA).rdd.getNumPartitions() == -(-n // 20) >= 16
+
+
+def test_a_filter_on_a_rule_does_not_test_events_with_the_rules(spark):
+    """Rules are evaluated for each distinct code, also where only some categories are asked for."""
+    from caretrail.operators import timeline
+
+    events = spark.sql("select concat('LAB//', id % 3) as code, cast(id as double) as numeric_value from range(20)")
+    some = timeline.classified(events).where("category = 'MEASUREMENT'").groupBy("code").count()
+    tests = [line for line in some._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert tests and not [line for line in tests if "RLIKE" in line]
+    assert sorted(map(tuple, some.collect())) == [("LAB//0", 7), ("LAB//1", 7), ("LAB//2", 6)]
