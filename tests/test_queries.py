@@ -121,3 +121,20 @@ def test_a_filter_on_a_rule_does_not_test_events_with_the_rules(spark):
     tests = [line for line in some._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
     assert tests and not [line for line in tests if "RLIKE" in line]
     assert sorted(map(tuple, some.collect())) == [("LAB//0", 7), ("LAB//1", 7), ("LAB//2", 6)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the shared tables are not there")
+def test_partitions_of_specials_follow_the_number_of_events(spark, monkeypatch):
+    """Histories with their static rows are dealt like timelines, not coalesced; same rows."""
+    from caretrail.sources import adapters
+
+    want = plain(core.specials(spark, DATA).toPandas())
+    monkeypatch.setattr(adapters, "TASK_EVENTS", 20)
+    # as at size, where no side of these joins is small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = core.specials(spark, DATA)
+        assert made.rdd.getNumPartitions() == -(-adapters.size(spark, DATA) // 20) >= 16
+        assert plain(made.toPandas()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
