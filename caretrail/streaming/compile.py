@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.timeline import tokens
-from ..sources.adapters import ordered
+from ..sources.adapters import dealt, many, ordered
 
 EVENTS = "subject_id long, event_id long, time timestamp, t_us long, code string, numeric_value double"
 MODES = ("once", "extend")
@@ -43,7 +43,10 @@ def compile_batch(events: DataFrame, path: str, shards: int, batch: int = 0, mod
     once: a subject's events come in one batch; those of subjects that another batch holds
     are left out. extend: histories go on; the batch's events are kept, and the timelines of
     its subjects are made anew of all their events up to this batch. Events that repeat
-    subject and event_id count once. The subject index is read, not the timelines."""
+    subject and event_id count once. The subject index is read, not the timelines.
+
+    Where events are many they are dealt by subject, and a task writes its subjects' part of
+    each shard; else a shard is one file."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     spark = events.sparkSession
@@ -52,13 +55,16 @@ def compile_batch(events: DataFrame, path: str, shards: int, batch: int = 0, mod
         events.write.mode("overwrite").parquet(f"{path}/events/batch={batch}")
         held = spark.read.schema(f"{EVENTS}, batch long").parquet(f"{path}/events").where(F.col("batch") <= batch)
         touched = held.where(F.col("batch") == batch).select("subject_id").distinct()
-        events = held.join(touched, "subject_id", "left_semi").drop("batch").dropDuplicates(["subject_id", "event_id"])
+        n = held.count()  # stands in the files' footers
+        events = dealt(held, n).join(touched, "subject_id", "left_semi").drop("batch").dropDuplicates(["subject_id", "event_id"])
     else:
         known = subjects(spark, path).where(F.col("batch") != batch).select("subject_id")
-        events = events.join(known, "subject_id", "left_anti")
+        n = events.count()
+        events = dealt(events, n).join(known, "subject_id", "left_anti")
     own = f"{path}/timelines/batch={batch}"
     rows = tokens(ordered(events, "event_id")).withColumn("shard", F.pmod(F.xxhash64("subject_id"), F.lit(shards)))
-    rows.repartition(shards, "shard").sortWithinPartitions("shard", "subject_id", "idx").write.mode("overwrite").partitionBy("shard").parquet(own)
+    rows = rows if many(n) else rows.repartition(shards, "shard")
+    rows.sortWithinPartitions("shard", "subject_id", "idx").write.mode("overwrite").partitionBy("shard").parquet(own)
     done = spark.read.schema(rows.schema).parquet(own).groupBy("subject_id").agg(F.count("*").alias("n"))
     done.write.mode("overwrite").parquet(f"{path}/subjects/batch={batch}")
 
@@ -66,8 +72,9 @@ def compile_batch(events: DataFrame, path: str, shards: int, batch: int = 0, mod
 def compiled(spark: SparkSession, path: str) -> DataFrame:
     """The tokens of every subject, as of the last complete batch that holds it."""
     rows = spark.read.parquet(f"{path}/timelines").withColumn("batch", F.col("batch").cast("long"))
-    last = subjects(spark, path).groupBy("subject_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["subject_id", "batch"], "left_semi").drop("batch", "shard")
+    last = subjects(spark, path).groupBy("subject_id").agg(F.max("batch").alias("last"))
+    # by subject alone: dealt rows stay as they are; what was replaced is left out then
+    return dealt(rows, rows.count()).join(last, "subject_id").where(F.col("batch") == F.col("last")).drop("batch", "last", "shard")
 
 
 def compile_stream(events: DataFrame, path: str, checkpoint: str, shards: int = 16, mode: str = "once") -> StreamingQuery:

@@ -67,3 +67,21 @@ def test_no_events(spark, events, tmp_path):
     assert S.subjects(spark, path).count() == 0
     with pytest.raises(ValueError):
         S.compile_batch(events, path, 2, mode="other")
+
+
+def test_many_events_make_more_files_not_larger_tasks(spark, events, tmp_path, monkeypatch):
+    """Few shards do not bound the tasks; each file holds whole subjects in order."""
+    from caretrail.sources import adapters
+
+    out = str(tmp_path / "out")
+    more = events.crossJoin(spark.range(8).withColumnRenamed("id", "i")).withColumn("subject_id", F.col("subject_id") + 3 * F.col("i")).drop("i")
+    S.compile_batch(more.where("event_id < 2"), out, 2, 0, "extend")  # few: a file a shard
+    assert len(spark.read.parquet(f"{out}/timelines").inputFiles()) == 2
+    monkeypatch.setattr(adapters, "TASK_EVENTS", 3)
+    for _ in range(2):
+        S.compile_batch(more.where("event_id >= 2"), out, 2, 1, "extend")
+    rows = spark.read.parquet(f"{out}/timelines").where("batch = 1").select("subject_id", "idx", "shard", F.input_file_name().alias("f"))
+    files = rows.toPandas().groupby(["shard", "f"], sort=False)
+    assert len(files) > 8 and all(x[["subject_id", "idx"]].apply(tuple, axis=1).is_monotonic_increasing for _, x in files)
+    assert rows.groupBy("subject_id").agg(F.count_distinct("f").alias("n")).where("n > 1").isEmpty()
+    assert shown(S.compiled(spark, out)) == whole(more)
