@@ -315,6 +315,48 @@ def test_near_lines_by_edit_distance_alone(spark, monkeypatch, small, pivots, bl
     assert [got[i] for i in range(len(texts))] == [find(i) != i for i in range(len(texts))]
 
 
+def test_long_lines_are_candidates_only_if_their_words_agree(spark):
+    r = random.Random(5)
+    line = lambda n, frequent: [f"{frequent}{int(r.paretovariate(0.6))}" for _ in range(n)]
+    texts = []
+    for n in (130, 400, 1500):
+        w = line(n, "a")
+        c = list(w)
+        for _ in range(n // 5):
+            k = r.randrange(len(c))
+            c[k : k + r.randint(0, 1)] = [f"x{r.random()}" for _ in range(r.randint(0, 1))]
+        texts += [w, c, line(n, "b")]
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "h long, norm string")
+    rows = spark.createDataFrame([(i // 3, False, i, 0, len(x) << lines.SKETCH, i, 3, True) for i, x in enumerate(texts)], "key long, two boolean, h long, sim long, tag long, comp long, m long, minor boolean")
+    got = {tuple(x) for x in lines._met(rows.join(lines.wide(table), "h"), lines.BITS, 80).collect()}
+    near = {(i, j) for i in range(9) for j in range(i + 1, 9) if i // 3 == j // 3 and lines.alike(" ".join(texts[i]), " ".join(texts[j]))}
+    # the parities of 256 classes alone let all pairs of the 400 and 1500 words pass
+    assert got == near and len(near) == 3
+
+
+def test_near_long_lines_among_many(spark, monkeypatch):
+    for name, value in (("SMALL", 2), ("PIVOTS", 1), ("BLOCK", 4), ("OTHERS", 2), ("LONG", 12)):
+        monkeypatch.setattr(lines, name, value)
+    r = random.Random(3)
+    texts = []
+    for n in [10, 12, 13, 15, 20, 40, 70] * 3:
+        w = [r.choice("abcdef") * 3 for _ in range(n)]
+        for _ in range(4):
+            c = list(w)
+            for _ in range(r.randint(0, n // 5 + 1)):
+                k = r.randrange(len(c))
+                c[k : k + r.randint(0, 1)] = [r.choice("abcdef") * 3 for _ in range(r.randint(0, 1))]
+            texts.append(" ".join(c))
+    first = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if lines.alike(texts[i], texts[j]) and first[i] != first[j]:
+                low, high = sorted((first[i], first[j]))
+                first = [low if x == high else x for x in first]
+    got = {x.doc_id: bool(x.n_removed) for x in lines.dedup_lines(docs(spark, texts), near=None).collect()}
+    assert [got[i] for i in range(len(texts))] == [first[i] != i for i in range(len(texts))]
+
+
 def test_edit_distance():
     r = random.Random(2)
     for _ in range(300):
