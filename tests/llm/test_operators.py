@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from caretrail.llm import bitsliced, jaccard, licenses, lines, ordering, phrases, pieces, substring, toxicity
+from caretrail.llm.base import saved
 from caretrail.llm.components import components
 
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -357,6 +359,24 @@ def test_near_long_lines_among_many(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [first[i] != i for i in range(len(texts))]
 
 
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    """They stayed until the driver's collector came, and were most of the disk that lines took."""
+    before = _shuffle_files(spark)
+    held = [saved(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "held")]
+    held.append(components(spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))))
+    end = time.time() + 20
+    while (left := _shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    assert held[0].count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_edit_distance():
     r = random.Random(2)
     for _ in range(300):
