@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caretrail.llm import bitsliced, jaccard, licenses, lines, ordering, phrases, pieces, substring, toxicity
+from caretrail.llm import bitsliced, exchange, jaccard, licenses, lines, ordering, phrases, pieces, substring, toxicity
 from caretrail.llm.base import saved
 from caretrail.llm.components import components
 
@@ -377,6 +377,25 @@ def test_scratch_tables_leave_no_shuffle_files(spark):
     assert held[0].count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+@pytest.mark.parametrize("later", [False, True])
+def test_meeting_of_keys_in_ranges(spark, monkeypatch, later):
+    monkeypatch.setattr(exchange, "ROWS", 200)
+    monkeypatch.setattr(exchange, "SETTLED", 16)
+    r = random.Random(8)
+    rows = [(r.choice([-(1 << 62), -5, 0, 3, (1 << 62) + 1, r.randrange(-300, 300)]), r.randrange(40), i) for i in range(3000)]
+
+    def emit(batch):
+        yield tuple(c.to_numpy() for c in batch.columns)
+
+    df = spark.createDataFrame(rows, "k long, o long, t long").repartition(5)
+    got = sorted((x.key, x.owner, x.tag) for x in exchange.meet(df, emit, later).collect())
+    owners = {}
+    for k, o, _ in rows:
+        owners.setdefault(k, set()).add(o)
+    want = {x for x in rows if (x[1] > min(owners[x[0]]) if later else len(owners[x[0]]) > 1)}
+    assert got == sorted(want)
+
+
 def test_edit_distance():
     r = random.Random(2)
     for _ in range(300):
