@@ -31,21 +31,34 @@ def described(items: DataFrame) -> DataFrame:
     return items.withColumn("label", F.coalesce("label", own))
 
 
-def reasons(policy: str, gap_h: float, contains: Sequence[str]) -> Column:
-    """Why an item (with label, hook, category, action, item, dt_us) is a boundary, in order."""
+def told(items: DataFrame) -> DataFrame:
+    """items (with label, hook, category) with what ``reasons`` reads, worked out once for all
+    policies: text, and marked, whether a marker's name stands in it."""
     text = F.upper(F.concat_ws(" | ", F.col("label"), F.when(F.col("hook"), "WINDOW_BOUNDARY").otherwise(""), F.col("category")))
+    return items.withColumn("text", text).withColumn("marked", R.has_any(F.col("text"), C.MARKER_PARTS))
+
+
+def _gap(gap_h: float) -> str:
+    return f"gap>={gap_h:g}h"
+
+
+def reasons(policy: str, gap_h: float, contains: Sequence[str]) -> Column:
+    """Why an item (of ``told``, with action, item, dt_us) is a boundary, in order. No function
+    of higher order, which Spark would interpret for each item."""
+    none = F.array().cast("array<string>")
+    if_ = lambda condition, name: F.when(condition, F.array(F.lit(name))).otherwise(none)
     structural = F.col("category") == "STRUCTURAL"
-    gap = F.when((F.col("item") > 0) & (F.col("dt_us") >= int(gap_h * HOUR_US)), f"gap>={gap_h:g}h")
-    moves = F.when(structural & F.col("action").isin(*C.ACTIVE), "transition_like")
-    marks = F.when(R.has_any(text, C.MARKER_PARTS), "marker_like")
-    hook, any_ = F.when(F.col("hook"), "window_hook"), F.when(structural, "structural_any")
-    named = [F.when(F.contains(text, F.lit(n)), f"contains:{n}") for n in contains]
+    gap = if_((F.col("item") > 0) & (F.col("dt_us") >= int(gap_h * HOUR_US)), _gap(gap_h))
+    moves = if_(structural & F.col("action").isin(*C.ACTIVE), "transition_like")
+    marks = if_(F.col("marked"), "marker_like")
+    hook, any_ = if_(F.col("hook"), "window_hook"), if_(structural, "structural_any")
+    named = [if_(F.contains(F.col("text"), F.lit(n)), f"contains:{n}") for n in contains]
     by = {"current": (hook,), "all_structural": (any_,), "gap_only": (), "structural": (any_,), "transition_like": (moves,), "marker_or_transition": (moves, marks), "custom_contains": tuple(named)}
     base = policy.removesuffix("_plus_gap").removesuffix("_or_gap")
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy}")
     found = (*by[base], *((gap,) if policy.endswith("gap") or policy == "gap_only" else ()))
-    return F.array_compact(F.array(*found)).cast("array<string>")
+    return F.concat(none, *found)
 
 
 def judged(items: DataFrame, policies: Sequence[Policy] = EVERY, gap_h: float = 6.0, contains: Sequence[str] = ("ICU",), bundle_gap_h: float = C.BUNDLE_GAP_H, bundle_gap_items: int = C.BUNDLE_GAP_IDX) -> DataFrame:
@@ -61,7 +74,8 @@ def judged(items: DataFrame, policies: Sequence[Policy] = EVERY, gap_h: float =
     ahead = W.partitionBy("subject_id").orderBy("item").rowsBetween(0, W.unboundedFollowing)
     rows = items.withColumn("typed", F.first(F.when(opens, F.struct("lo", "type_id")), ignorenulls=True).over(ahead))
     keep = ("subject_id", "item", "category", "label", "action", "t_us", "lo", "hi", "typed")
-    rows = rows.select(*keep, F.explode(each).alias("p")).select(*keep, "p.policy", "p.placement", "p.reasons")
+    # a column of its own: what stands in explode itself is interpreted
+    rows = told(rows).select(*keep, each.alias("each")).select(*keep, F.explode("each").alias("p")).select(*keep, "p.policy", "p.placement", "p.reasons")
     hit = F.size("reasons") > 0
     w = W.partitionBy(*KEY).orderBy("item")
     last = F.last(F.when(hit, F.struct("item", "t_us")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
@@ -74,7 +88,7 @@ def judged(items: DataFrame, policies: Sequence[Policy] = EVERY, gap_h: float =
     rows = rows.withColumn("member", (F.col("bundle") > 0) & (F.col("item") <= F.col("ends")))
     has = lambda a: F.max(F.when(F.col("member") & (F.col("action") == a), 1).otherwise(0)).over(all_) == 1
     rows = rows.withColumns({"has_both": has("close_open"), "has_open": has("open_next"), "has_close": has("close_current")})
-    gap = F.exists("bundle_reasons", lambda r: r.startswith("gap>="))
+    gap = F.array_contains("bundle_reasons", F.lit(_gap(gap_h)))
     action = (
         F.when(F.col("has_both") | (F.col("has_open") & F.col("has_close")), "close_open").when(F.col("has_open"), "open_next").when(F.col("has_close"), "close_current")
         .when(gap, "open_next").otherwise(F.col("placement"))
@@ -110,24 +124,36 @@ def windows(rows: DataFrame, length: int = 128, n_special: int = 0, most: int =
     n_processed (with specials and markers, at most length), truncated, hours, type_id (of
     the first token in the span that opens one), first and last label and category, and the
     reasons it was opened and closed for."""
+    out = _segments(rows)
+    room = max(0, length - n_special - 2)
+    none = F.array().cast("array<string>")
+    return out.where(F.col("window") < most).select(
+        *KEY, "window", "n_items", "n_tokens", (F.least(F.col("n_tokens"), F.lit(room)) + n_special + 2).alias("n_processed"), (F.col("n_tokens") > room).alias("truncated"), (F.greatest(F.col("end_us") - F.col("start_us"), F.lit(0)) / HOUR_US).alias("hours"),
+        "type_id", "first_label", "first_category", "last_label", "last_category", F.coalesce("opening_reasons", none).alias("opening_reasons"), F.coalesce("closing_reasons", none).alias("closing_reasons"),
+    )
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    """What ``windows`` says of each segment of ``judged`` rows, however many; and label,
+    action and reasons of the bundle that it opens with (begun), and of one that only closes
+    it (ended), if there is one: of each of ``boundaries`` either, as all but those that only
+    close open something."""
     at = lambda c, f: f(c, "item")
+    found = lambda when: F.min_by(F.struct("label", F.col("bundle_action").alias("action"), F.col("bundle_reasons").alias("reasons")), F.when(F.col("member") & when, F.col("item")))
+    only = F.col("bundle_action") == "close_current"
     # a bundle's reasons stand on the rows it opens, and on those it closes
     opened = F.first(F.when((F.col("bundle") > 0) & (F.col("bundle") == F.col("segment")) & (F.col("bundle_action") != "close_current"), F.col("bundle_reasons")), ignorenulls=True)
     closed = F.first(F.when((F.col("side") == "close") & (F.col("bundle_action") != "open_next"), F.col("bundle_reasons")), ignorenulls=True)
     out = rows.groupBy(*KEY, "segment").agg(
         F.count("*").alias("n_items"), at("lo", F.min_by).alias("lo"), at("hi", F.max_by).alias("hi"), at("t_us", F.min_by).alias("start_us"), at("t_us", F.max_by).alias("end_us"), at(F.struct("typed"), F.min_by).alias("t"),
         *[at(c, f).alias(f"{n}_{c}") for n, f in (("first", F.min_by), ("last", F.max_by)) for c in ("label", "category")], opened.alias("opening_reasons"), closed.alias("closing_reasons"),
+        found((F.col("side") == "open") & ~only).alias("begun"), found((F.col("side") == "close") & only).alias("ended"),
     )
     # a bundle with one item only opens: what it closes is known from the window after it
     w = W.partitionBy(*KEY).orderBy("segment")
     out = out.withColumns({"window": F.row_number().over(w).cast("long") - 1, "n_tokens": F.col("hi") - F.col("lo") + 1})
-    room = max(0, length - n_special - 2)
-    none = F.array().cast("array<string>")
     kind = F.when(F.col("t.typed.lo") <= F.col("hi"), F.col("t.typed.type_id"))
-    return out.where(F.col("window") < most).select(
-        *KEY, "window", "n_items", "n_tokens", (F.least(F.col("n_tokens"), F.lit(room)) + n_special + 2).alias("n_processed"), (F.col("n_tokens") > room).alias("truncated"), (F.greatest(F.col("end_us") - F.col("start_us"), F.lit(0)) / HOUR_US).alias("hours"),
-        F.coalesce(kind, F.lit(C.WINDOW_TYPES["UNK"])).alias("type_id"), "first_label", "first_category", "last_label", "last_category", F.coalesce("opening_reasons", none).alias("opening_reasons"), F.coalesce("closing_reasons", none).alias("closing_reasons"),
-    )
+    return out.withColumn("type_id", F.coalesce(kind, F.lit(C.WINDOW_TYPES["UNK"])))
 
 
 MEASURES = ("n_items", "n_tokens", "n_processed", "hours")
@@ -146,19 +172,24 @@ def measures(made: DataFrame) -> DataFrame:
     return h.groupBy("policy", "placement", "measure").agg(F.first("windows").alias("windows"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max("v").alias("largest"), (F.sum("u") / F.first("windows")).alias("unknown_share"), (F.sum("c") / F.first("windows")).alias("truncated_share"))
 
 
-def counters(made: DataFrame, found: DataFrame, most: int = 20) -> DataFrame:
+def counters(rows: DataFrame, windows: int = C.WINDOW_CAP, most: int = 20) -> DataFrame:
     """policy, placement, counter, name, n and rank: the commonest labels, categories and types
-    of windows made, and reasons, labels and actions of the boundaries found."""
+    of the first windows that the bundles of ``judged`` rows make, and reasons, labels and
+    actions of all ``boundaries``. Rows are judged once, for both."""
 
     def named(name, values):
         return F.transform(values, lambda v: F.struct(F.lit(name).alias("counter"), v.cast("string").alias("name")))
 
-    def pairs(*columns):
-        return F.explode(F.concat(*[named(n, c if many else F.array(c)) for n, c, many in columns])).alias("x")
+    def listed(*columns):
+        return F.concat(*[named(n, c if many else F.array(c)) for n, c, many in columns])
+
+    def if_(condition, values):
+        return F.when(condition, values).otherwise(F.array().cast("array<struct<counter:string,name:string>>"))
 
-    a = made.select("policy", "placement", pairs(("opening_label", F.col("first_label"), False), ("closing_label", F.col("last_label"), False), ("opening_category", F.col("first_category"), False), ("closing_category", F.col("last_category"), False), ("window_type", F.col("type_id"), False)))
-    b = found.select("policy", "placement", pairs(("boundary_label", F.col("label"), False), ("boundary_action", F.col("action"), False), ("boundary_reason", F.col("reasons"), True)))
-    n = a.unionByName(b).groupBy("policy", "placement", "x.counter", "x.name").agg(F.count("*").alias("n"))
+    made = listed(("opening_label", F.col("first_label"), False), ("closing_label", F.col("last_label"), False), ("opening_category", F.col("first_category"), False), ("closing_category", F.col("last_category"), False), ("window_type", F.col("type_id"), False))
+    found = lambda b: if_(F.col(b).isNotNull(), listed(("boundary_label", F.col(f"{b}.label"), False), ("boundary_action", F.col(f"{b}.action"), False), ("boundary_reason", F.col(f"{b}.reasons"), True)))
+    each = F.explode(F.concat(if_(F.col("window") < windows, made), found("begun"), found("ended"))).alias("x")
+    n = _segments(rows).select("policy", "placement", each).groupBy("policy", "placement", "x.counter", "x.name").agg(F.count("*").alias("n"))
     rank = F.row_number().over(W.partitionBy("policy", "placement", "counter").orderBy(F.desc("n"), "name"))
     return n.withColumn("rank", rank).where(F.col("rank") <= most)
 

@@ -1,6 +1,7 @@
 """Decoding and boundary policies against a sequential reading on random histories."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,22 @@ def test_policies_like_sequential(spark):
             for x, k in zip(got, spans, strict=True):
                 typed = [y[8] for y in h if h[k[0]][11] <= y[11] <= h[k[-1]][12] and y[7] in ("open_next", "close_open") and y[8] is not None]
                 assert x.type_id == (typed[0] if typed else 0) and x.n_processed == min(x.n_tokens, 7) + 3 and x.truncated == (x.n_tokens > 7)
+
+
+def test_counters_judge_items_once(spark):
+    r = random.Random(6)
+    held = {s: story(r, s) for s in range(50)}
+    df = policies.described(spark.createDataFrame([x for h in held.values() for x in h], ITEM)).repartition(3)
+    rows = policies.judged(df, [(p, where) for p in policies.POLICIES for where in policies.PLACEMENTS])
+    out = policies.counters(rows, windows=2, most=1000)
+    # windows and boundaries each judged all items before
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    want = Counter()
+    for x in policies.windows(rows, most=2).collect():
+        for counter, name in (("opening_label", x.first_label), ("closing_label", x.last_label), ("opening_category", x.first_category), ("closing_category", x.last_category), ("window_type", str(x.type_id))):
+            want[x.policy, x.placement, counter, name] += 1
+    for x in policies.boundaries(rows).collect():
+        for counter, name in (("boundary_label", x.label), ("boundary_action", x.action), *(("boundary_reason", y) for y in x.reasons)):
+            want[x.policy, x.placement, counter, name] += 1
+    assert {k[3] for k in want if k[2] == "boundary_action"} == {"open_next", "close_current", "close_open"}
+    assert {(x.policy, x.placement, x.counter, x.name): x.n for x in out.collect()} == want
